@@ -55,7 +55,11 @@ class Tokens:
         return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
 
-tokens = lru_cache(maxsize=2)(Tokens)
+@lru_cache(maxsize=2)
+def tokens(path: str) -> Tokens:
+    """One for each worker process."""
+    return Tokens(path)
+
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
