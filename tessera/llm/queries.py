@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chat_digest, ogg, packing, secrets
+from . import bpe, chat, chat_digest, common, ogg, packing, secrets, topk, warc
 from .common import table
 
 
@@ -51,12 +51,42 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{common.scratch(spark, 'warc')}/archives"
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    index = warc.read_archive(spark, path, payloads=False).drop("payload")
+    return warc.resolved(common.stored(index, "index"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(vectors.where("id % 50 = 0"), vectors, 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_chat_format": op2_chat_format,
     "op8_secret_scan": op8_secret_scan,
     "op10_ogg_media": op10_ogg_media,
     "op9_pack": op9_pack,
+    "op4_warc": op4_warc,
+    "op6_topk": op6_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+             f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_page FROM d)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first_page = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first_page <> page_id THEN first_page END AS refers_to
+        FROM f""",
+    "op6_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, x.vec_id AS vec_id, CAST(list_dot_product(q.v, x.v) AS BIGINT) AS score
+                   FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0),
+             r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+}
