@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chat_digest, common, ogg, packing, secrets, topk, warc
+from . import bpe, chat, chat_digest, common, ogg, packing, quality, secrets, topk, url_filters, warc
 from .common import table
 
 
@@ -63,6 +63,25 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("id % 50 = 0"), vectors, 5)
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists and days are made from the hosts and ids of the pages by fixed rules, as the tables have neither."""
+    pages = table(spark, sf_dir, "pages")
+    start = F.lit("2020-01-01").cast("date")
+    captures = pages.select(F.col("page_id").alias("id"), "url", F.date_add(start, F.pmod(F.col("page_id") * 7919, F.lit(1461)).cast("int")).alias("day")).dropDuplicates(["id", "url"])
+    listed = pages.select(F.explode(url_filters.keys(F.col("url"))).alias("key")).distinct()
+    x = F.conv(F.substring(F.md5("key"), 1, 4), 16, 10).cast("int")
+    listed = listed.select("key", x.alias("x"), F.when(x % 11 == 0, "allow").when(x % 2 == 0, "adult").otherwise("malware").alias("list"), F.date_add(start, x % 700).alias("added"), F.date_add(start, x % 700 + 30 + F.floor(x / 7).cast("int") % 400).alias("removed")).where("x % 3 = 0")
+    entries = listed.select("key", "list", F.lit("add").alias("action"), F.col("added").alias("day")).unionByName(listed.where("x % 5 < 3").select("key", "list", F.lit("remove").alias("action"), F.col("removed").alias("day"))).unionByName(listed.where("x % 5 = 0").select("key", "list", F.lit("add").alias("action"), F.date_add("removed", 45).alias("day")))
+    return url_filters.evaluate(captures, url_filters.intervals(entries)).withColumnRenamed("id", "page_id")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", quality.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    scored = quality.score(documents, quality.train(documents, ratings, 3))
+    return scored.withColumn("kept", F.col("tail_probability") >= quality.LEAST_PROBABILITY)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_chat_format": op2_chat_format,
@@ -71,9 +90,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pack": op9_pack,
     "op4_warc": op4_warc,
     "op6_topk": op6_topk,
+    "op3_url_filters": op3_url_filters,
+    "op5_quality": op5_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_url_filters": r"""
+        WITH p AS (SELECT page_id, coalesce(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)', 1)), '') AS host,
+                          list_filter(string_split(coalesce(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), ''), '/'), lambda s: s <> '')[1:4] AS segments,
+                          DATE '2020-01-01' + CAST((page_id * 7919) % 1461 AS INTEGER) AS day
+                   FROM (SELECT DISTINCT page_id, url FROM pages)),
+             h AS (SELECT *, string_split(host, '.') AS labels FROM p),
+             k AS (SELECT page_id, host, day, unnest(CASE WHEN host = '' THEN [NULL] ELSE list_distinct(
+                          (CASE WHEN length(host) > 253 OR len(labels) < 2 THEN [host] ELSE list_transform(range(1, len(labels)), lambda i: array_to_string(labels[i:], '.')) END)
+                          || list_transform(range(1, len(segments) + 1), lambda j: host || '/' || array_to_string(segments[1:j], '/'))) END) AS key FROM h),
+             x AS (SELECT key, CAST('0x' || substr(md5(key), 1, 4) AS INTEGER) AS x FROM (SELECT DISTINCT key FROM k WHERE key IS NOT NULL)),
+             l AS (SELECT key, x, CASE WHEN x % 11 = 0 THEN 'allow' WHEN x % 2 = 0 THEN 'adult' ELSE 'malware' END AS list,
+                          DATE '2020-01-01' + x % 700 AS added, DATE '2020-01-01' + CAST(x % 700 + 30 + (x // 7) % 400 AS INTEGER) AS removed FROM x WHERE x % 3 = 0),
+             e AS (SELECT key, list, 'add' AS action, added AS day FROM l
+                   UNION ALL SELECT key, list, 'remove', removed FROM l WHERE x % 5 < 3
+                   UNION ALL SELECT key, list, 'add', removed + 45 FROM l WHERE x % 5 = 0),
+             i AS (SELECT key, list, action, day AS since, lead(day) OVER (PARTITION BY key, list ORDER BY day) AS until FROM e),
+             m AS (SELECT k.page_id, k.host, i.key AS hit, i.list FROM k LEFT JOIN i ON k.key = i.key AND i.action = 'add' AND i.since <= k.day AND (i.until IS NULL OR k.day < i.until))
+        SELECT page_id, host, count(hit) AS n_active, coalesce(array_to_string(list_sort(list(DISTINCT list) FILTER (list IS NOT NULL)), ','), '') AS lists,
+               coalesce(max(length(hit)) FILTER (list <> 'allow'), 0) > coalesce(max(length(hit)) FILTER (list = 'allow'), 0) AS blocked
+        FROM m GROUP BY page_id, host""",
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
              d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
