@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chat_digest, common, ogg, packing, quality, secrets, topk, url_filters, warc
+from . import bpe, chat, chat_digest, common, minhash, ogg, packing, quality, secrets, topk, url_filters, warc
 from .common import table
 
 
@@ -82,6 +82,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("kept", F.col("tail_probability") >= quality.LEAST_PROBABILITY)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_chat_format": op2_chat_format,
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_topk": op6_topk,
     "op3_url_filters": op3_url_filters,
     "op5_quality": op5_quality,
+    "op7_near_dedup": op7_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
