@@ -17,6 +17,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -166,7 +167,7 @@ def select_good(documents: DataFrame, model: Model, least: float = LEAST_PROBABI
     reach = _scorer(documents, model)
 
     @F.pandas_udf("double")
-    def tail(texts: "pd.Series") -> "pd.Series":  # noqa: F821
+    def tail(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: float(reach(text or "")[-1]))
 
     return documents.where(tail(F.col("text")) >= least)

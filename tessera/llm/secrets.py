@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -167,7 +168,7 @@ def redact(df: DataFrame, text_column: str = "text", secret_cost: float = SECRET
     """df with secrets masked in its text, all its columns kept; a null text stays null."""
 
     @F.pandas_udf("string")
-    def masked(texts: "pd.Series") -> "pd.Series":  # noqa: F821
+    def masked(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: text if text is None else redact_text(text, secret_cost))
 
     return df.withColumn(text_column, masked(F.col(text_column)))
