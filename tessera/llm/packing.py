@@ -12,6 +12,7 @@ doc_id are documents without id. An empty table gives an empty result, columns o
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from functools import lru_cache
 
@@ -24,8 +25,8 @@ from .common import map_rows, stored, text_of
 
 END_ID = 1
 CAPACITY = 4096
-#: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+#: Distinct words, and parts of words, whose ids a worker keeps.
+CACHE_WORDS = 700_000
 #: Pieces that one cell of the ranking holds, about.
 CELL_PIECES = 50_000
 
@@ -34,25 +35,57 @@ class Tokens:
     """Ids of whole texts by the tokenizers library, as little-endian unsigned 32-bit integers.
 
     The tokenizer's normalisation and split never look across a blank or a line end and drop both, so the ids of a text
-    are those of its blank-separated words one after the other; frequent words are looked up.
+    are those of its blank-separated words one after the other. A word of Latin letters and punctuation behind them is
+    split between both and taken in lower case; words and such parts are looked up where they are known.
     """
 
+    #: Letters whose lower case and composition are plain; no apostrophe, which goes with the letters after it.
+    LATIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$&#%|()\-]*)")
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def of(self, texts: list[str]) -> list[bytes]:
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        new = list(set().union(*split).difference(self.known))
-        for word, coded in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[word] = np.array(coded.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        for known in (self.words, self.parts):
+            if len(known) > CACHE_WORDS:
+                known.clear()
+                known[""] = b""
+        latin = self.LATIN.fullmatch
+        new, single, other = {}, set(), []
+        for word in set().union(*split).difference(self.words):
+            if m := latin(word):
+                new[word] = both = m[1].lower(), m[2]
+                single.update(both)
+            else:
+                new[word] = word, ""
+                other.append(word)
+        self._learn_single(sorted(single.difference(self.parts)))
+        for word, coded in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            self.parts[word] = np.array(coded.ids, "<u4").tobytes()
+        for word, (first, second) in new.items():
+            self.words[word] = self.parts[first] + self.parts[second] if second else self.parts[first]
+        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+
+    def _learn_single(self, parts: list[str]) -> None:
+        """Parts that the tokenizer's split leaves whole, many in one text: a token that ends a word ends a part."""
+        for at in range(0, len(parts), 1000):
+            some = parts[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("a part was split")
+            data, starts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.parts.update(zip(some, map(data.__getitem__, map(slice, starts, starts[1:]))))
 
 
 @lru_cache(maxsize=2)
