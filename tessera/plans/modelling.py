@@ -1 +1,131 @@
-"""Queries, to come."""
+"""Queries over models, folds and clusters."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import classify as C
+from ..operators import metrics as M
+from ..operators import unsupervised as U
+from ..sources import views as V
+from ..sources.storage import stored
+from .catalog import query
+
+X_ = f"WITH {V.XY}, {V.XYC}"
+MEAN = ", mu AS (SELECT i, avg(v) FILTER (y = 0) AS m0, avg(v) FILTER (y = 1) AS m1 FROM xyc GROUP BY i)"
+DIST = ", ds AS (SELECT run_id, any_value(y) AS y, sqrt(sum(pow(v - m0, 2))) AS s, sqrt(sum(pow(v - m1, 2))) AS u, sum(v * m0) / (sqrt(sum(v * v)) * sqrt(sum(m0 * m0)) + 1e-10) AS c0, sum(v * m1) / (sqrt(sum(v * v)) * sqrt(sum(m1 * m1)) + 1e-10) AS c1 FROM xyc JOIN mu USING (i) GROUP BY run_id)"
+
+
+def scored(df):
+    return df.select("run_id", "y", F.round("score", 6).alias("score"))
+
+
+for _scoring, _sql in (("ratio", "s / (s + u + 1e-10)"), ("softmax", "1 / (1 + exp((u * u - s * s) / 2))"), ("raw", "-u")):
+
+    @query(f"ML20_prototypes_euclidean_{_scoring}", f"{X_}{MEAN}{DIST} SELECT run_id, y, round({_sql}, 6) AS score FROM ds")
+    def euclidean(spark, d, scoring=_scoring):
+        x = V.xy(spark, d)
+        return scored(C.Prototypes("euclidean", scoring=scoring).fit(x).scores(x))
+
+
+@query("ML20_prototypes_cosine", f"{X_}{MEAN}{DIST} SELECT run_id, y, round((1 - c0) / (1 - c0 + 1 - c1 + 1e-10), 6) AS score FROM ds")
+def cosine(spark, d):
+    x = V.xy(spark, d)
+    return scored(C.Prototypes("cosine").fit(x).scores(x))
+
+
+for _covariance in C.COVARIANCES:
+
+    @query(f"ML20_prototypes_mahalanobis_{_covariance}")
+    def mahalanobis(spark, d, covariance=_covariance):
+        x = V.xy(spark, d)
+        return scored(C.Prototypes("mahalanobis", covariance).fit(x).scores(x))
+
+
+LODO = X_ + ", t AS (SELECT DISTINCT dataset_id AS held FROM xy), mu AS (SELECT held, i, avg(v) FILTER (y = 0) AS m0, avg(v) FILTER (y = 1) AS m1 FROM xyc, t WHERE dataset_id <> held GROUP BY held, i), ds AS (SELECT run_id, any_value(y) AS y, any_value(dataset_id) AS dataset_id, sqrt(sum(pow(v - m0, 2))) AS s, sqrt(sum(pow(v - m1, 2))) AS u FROM xyc JOIN mu ON mu.i = xyc.i AND held = dataset_id GROUP BY run_id), sc AS (SELECT run_id, y, dataset_id, round(s / (s + u + 1e-10), 6) AS score FROM ds)"
+
+
+@query("ML25_lodo_scores", LODO + " SELECT run_id, dataset_id, y, score FROM sc")
+def lodo(spark, d):
+    return C.lodo_scores(C.Prototypes("euclidean"), V.xy(spark, d)).select("run_id", "dataset_id", "y", F.round("score", 6).alias("score"))
+
+
+@query("ML25_ML24_lodo_metrics", LODO + ", k AS (SELECT dataset_id, count(*) FILTER (y = 1 AND score >= 0.5) AS tp, count(*) FILTER (y = 0 AND score >= 0.5) AS fp, count(*) FILTER (y = 0 AND score < 0.5) AS tn, count(*) FILTER (y = 1 AND score < 0.5) AS fn FROM sc GROUP BY dataset_id) SELECT dataset_id, tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM k")
+def lodo_metrics(spark, d):
+    s = C.lodo_scores(C.Prototypes("euclidean"), V.xy(spark, d)).withColumn("score", F.round("score", 6))
+    m = M.confusion(M.predicted(s, 0.5), "dataset_id")
+    return m.select("dataset_id", "tp", "fp", "tn", "fn", F.round("accuracy", 6).alias("accuracy"), F.round("f1", 6).alias("f1"))
+
+
+@query("ML26_folds", "SELECT vec_id AS run_id, CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR) || '|42'), 1, 8) AS BIGINT) % 5 AS fold FROM embeddings")
+def folds(spark, d):
+    return C.with_fold(V.xy(spark, d), 5).select("run_id", "fold")
+
+
+@query("ML28_stratified_split", f"WITH {V.XY}, k AS (SELECT run_id, y, row_number() OVER (PARTITION BY y ORDER BY md5(CAST(run_id AS VARCHAR) || '|42'), run_id) AS k, count(*) OVER (PARTITION BY y) AS n FROM xy) SELECT run_id, CASE WHEN k <= floor(n * 0.2) THEN 'test' ELSE 'train' END AS part FROM k")
+def stratified(spark, d):
+    return C.stratified_split(V.xy(spark, d), 0.2).select("run_id", "part")
+
+
+@query("ML26_out_of_fold")
+def out_of_fold(spark, d):
+    return scored(C.out_of_fold(C.Prototypes("euclidean"), V.xy(spark, d)))
+
+
+@query("ML16_linear")
+def linear(spark, d):
+    x = V.xy(spark, d)
+    return scored(C.linear().fit(x).scores(x))
+
+
+@query("ML17_linear_sgd")
+def linear_sgd(spark, d):
+    x = V.xy(spark, d)
+    return scored(C.linear(c=100.0, sgd=True).fit(x).scores(x))
+
+
+@query("ML18_boosted")
+def boosted(spark, d):
+    x = V.xy(spark, d)
+    return scored(C.boosted(trees=5).fit(x).scores(x))
+
+
+@query("ML19_neural")
+def neural(spark, d):
+    x = V.xy(spark, d)
+    return scored(C.neural((64, 16, 2)).fit(x).scores(x))
+
+
+@query("ML19_adversarial")
+def adversarial(spark, d):
+    x = V.xy(spark, d)
+    return scored(C.Adversarial().fit(x).scores(x))
+
+
+@query("ML7_AG22_pca_moments")
+def pca(spark, d):
+    z, _ = U.pca(V.xy(spark, d), 2)
+    return z.groupBy("dataset_id").agg(*[F.round(f(F.col("z")[k]), 6).alias(f"{n}{k}") for k in (0, 1) for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))])
+
+
+@query("ML9_ML12_kmeans")
+def kmeans(spark, d):
+    return U.kmeans(V.xy(spark, d), 5, runs=3).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+NEAR = f"WITH RECURSIVE {V.XY}, pr AS (SELECT a.run_id AS a, b.run_id AS b FROM xy a JOIN xy b ON a.run_id <> b.run_id AND list_distance(a.x, b.x) <= 1.12), core AS (SELECT a AS node FROM pr GROUP BY a HAVING count(*) + 1 >= 3), e AS (SELECT a, b FROM pr WHERE a IN (SELECT node FROM core) AND b IN (SELECT node FROM core)), reach AS (SELECT node, node AS root FROM core UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.node), roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node), border AS (SELECT pr.b, min(root) AS near FROM pr JOIN roots ON pr.a = roots.node GROUP BY pr.b)"
+
+
+@query("ML10_dbscan", NEAR + " SELECT xy.run_id, coalesce(root, near, -1) AS cluster FROM xy LEFT JOIN roots ON node = run_id LEFT JOIN border ON border.b = run_id")
+def dbscan(spark, d):
+    return U.dbscan(V.xy(spark, d), 1.12, 3, stored)
+
+
+@query("ML11_silhouette", f"WITH {V.XY}, p AS (SELECT a.run_id, a.label AS own, b.label AS cluster, sum(list_distance(a.x, b.x)) AS total, count(*) AS n FROM xy a, xy b GROUP BY 1, 2, 3), r AS (SELECT run_id, max(total) FILTER (own = cluster) AS t, max(n) FILTER (own = cluster) AS size, min(total / n) FILTER (own <> cluster) AS b FROM p GROUP BY run_id) SELECT round(avg(CASE WHEN size > 1 THEN (b - t / (size - 1)) / greatest(t / (size - 1), b) ELSE 0 END), 6) AS silhouette FROM r")
+def silhouette(spark, d):
+    return U.silhouette(V.xy(spark, d).withColumn("cluster", F.col("label"))).select(F.round("silhouette", 6).alias("silhouette"))
+
+
+@query("ML29_ML30_dataset_load", f"WITH {V.XY} SELECT dataset_id, y, count(*) AS n, round(avg(x[1]), 6) AS first FROM xy GROUP BY dataset_id, y")
+def dataset_load(spark, d):
+    return V.xy(spark, d).groupBy("dataset_id", "y").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("x")[0]), 6).alias("first"))
