@@ -52,7 +52,7 @@ def components(nodes: DataFrame, edges: DataFrame, stored) -> DataFrame:
     """(node, root): the least node that edges (a, b), given both ways, reach; stored(df) cuts the lineage after each step."""
     labels = stored(nodes.select("node", F.col("node").alias("root")))
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), edges["b"] == F.col("b")).select(edges["a"].alias("node"), "root")
+        near = edges.join(labels.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "root")
         least = labels.unionByName(near).groupBy("node").agg(F.min("root").alias("root"))
         jump = least.withColumnRenamed("root", "via").join(least.select(F.col("node").alias("via"), "root"), "via").select("node", "root")
         moved = stored(jump)
@@ -69,7 +69,7 @@ def dbscan(xy: DataFrame, eps: float, least: int, stored) -> DataFrame:
     linked = pairs.join(core.withColumnRenamed("node", "a"), "a", "left_semi")
     among = stored(linked.join(core.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b"))
     roots = components(core, among, stored)
-    border = linked.join(roots, linked["a"] == roots["node"]).groupBy("b").agg(F.min("root").alias("near"))
+    border = linked.join(roots.withColumnRenamed("node", "a"), "a").groupBy("b").agg(F.min("root").alias("near"))
     return xy.select("run_id").join(roots.select(F.col("node").alias("run_id"), "root"), "run_id", "left").join(border.withColumnRenamed("b", "run_id"), "run_id", "left").select("run_id", F.coalesce("root", "near", F.lit(-1)).cast("long").alias("cluster"))
 
 
