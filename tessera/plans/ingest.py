@@ -114,4 +114,4 @@ def label(prompts: DataFrame, evaluate: Callable[[list[str]], list[dict]]) -> Da
         return pd.Series([json.dumps(found) for found in evaluate(texts.tolist())])
 
     content = F.coalesce("text", X.flattened(F.col("messages")))
-    return prompts.withColumn("labels", F.to_json(R.merged_labels(F.col("labels"), run(content))))
+    return prompts.withColumn("_found", run(content)).withColumn("labels", F.to_json(R.merged_labels(F.col("labels"), F.col("_found")))).drop("_found")
