@@ -27,7 +27,9 @@ RESOLUTIONS = (1, 4, 16)
 QUERY_BLOCK = 8192
 PART_ROWS = 65536
 #: Candidates and queries that are compared at once.
-TILE, QUERY_TILE = 4096, 1024
+TILE, QUERY_TILE = 1024, 1024
+#: Pairs whose vectors are gathered at once.
+PAIRS = 16384
 
 RESULT = "query_id long, vec_id long, score long"
 _ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
@@ -70,28 +72,36 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     width = -(-max(queries.shape[1], 1) // RESOLUTIONS[-1]) * RESOLUTIONS[-1]
     queries, vectors = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (queries, vectors))
     out = []
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
     of_vectors = Statistics(vectors)
     longest = np.linalg.norm(vectors.astype(np.float64), axis=1).max(initial=0)
     for first in range(0, len(queries), QUERY_TILE):
         own_ids, own = query_ids[first : first + QUERY_TILE], queries[first : first + QUERY_TILE]
         of_queries = Statistics(own)
-        slack = 1e-3 + 1e-12 * np.linalg.norm(own.astype(np.float64), axis=1) * longest  # more than floating point can lose in a bound
+        reach = np.linalg.norm(own.astype(np.float64), axis=1) * longest
+        slack = 1e-3 + 1e-12 * reach  # more than floating point can lose in a bound
+        whole = reach.max(initial=0) < 2**52  # then sums of products are exact in floating point
         best_ids = np.full((len(own), k), np.iinfo(np.int64).max)
         best = np.full((len(own), k), np.iinfo(np.int64).min)
         for rows in _tiles(len(vectors)):
             q, x = _survivors(of_queries.levels, of_vectors.rows(rows), best[:, -1] - slack)
-            if not len(q):
-                continue
-            exact = np.einsum("ij,ij->i", own[q], vectors[rows][x])
+            exact = _scores(own, vectors[rows], q, x, whole)
             keep = (own_ids[q] != ids[rows][x]) & (exact >= best[q, -1])
-            _merge(best, best_ids, q[keep], ids[rows][x[keep]], exact[keep])
+            if keep.any():
+                _merge(best, best_ids, q[keep], ids[rows][x[keep]], exact[keep])
         found = best_ids != np.iinfo(np.int64).max
         out.append((np.repeat(own_ids, k).reshape(-1, k)[found], best_ids[found], best[found]))
     return tuple(np.concatenate(column) for column in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
+def _scores(queries: np.ndarray, vectors: np.ndarray, q: np.ndarray, x: np.ndarray, whole: bool) -> np.ndarray:
+    """Exact inner products of the pairs (q, x), by one product of matrices where these are many."""
+    if len(q) * 16 >= len(queries) * len(vectors):
+        kind = np.float64 if whole else np.int64
+        return (queries.astype(kind) @ vectors.T.astype(kind))[q, x].astype(np.int64)
+    parts = [np.einsum("ij,ij->i", queries[q[at : at + PAIRS]], vectors[x[at : at + PAIRS]]) for at in range(0, len(q), PAIRS)]
+    return np.concatenate([np.zeros(0, np.int64), *parts])
+
+
 def _tiles(total: int, least: int = 64):
     """Slices that grow up to TILE: the first ones set the scores that the bounds of the others must reach."""
     at, size = 0, least
@@ -101,22 +111,20 @@ def _tiles(total: int, least: int = 64):
 
 
 def _survivors(queries: list[np.ndarray], vectors: list[np.ndarray], least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query, candidate) positions whose bound reaches the query's least score at every resolution."""
-    q = x = None
+    """(query, candidate) positions whose bound reaches the query's least score at every resolution.
+
+    Rows and columns without a survivor are dropped before the next, finer resolution.
+    """
+    q, x = np.arange(len(least)), np.arange(len(vectors[0]))
+    alive = np.ones((len(q), len(x)), bool)
     for own, other in zip(queries, vectors):
-        if q is None or len(q) * 8 > len(own) * len(other):
-            bound = own @ other.T
-            passed = bound >= least[:, None]
-            if q is not None:
-                before = np.zeros_like(passed)
-                before[q, x] = True
-                passed &= before
-            q, x = np.nonzero(passed)
-        else:
-            bound = np.einsum("ij,ij->i", own[q], other[x])
-            passed = bound >= least[q]
-            q, x = q[passed], x[passed]
-    return q, x
+        alive &= own[q] @ other[x].T >= least[q][:, None]
+        some_q, some_x = alive.any(axis=1), alive.any(axis=0)
+        q, x, alive = q[some_q], x[some_x], alive[some_q][:, some_x]
+        if not len(q):
+            break
+    at_q, at_x = np.nonzero(alive)
+    return q[at_q], x[at_x]
 
 
 def _merge(best: np.ndarray, best_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
