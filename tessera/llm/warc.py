@@ -222,8 +222,11 @@ def resolved(index: DataFrame) -> DataFrame:
 
     index: records of read_archive(), best stored, as both sides of the join read it.
     """
-    responses = index.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("of")).dropDuplicates(["refers_id"])
-    joined = index.join(responses, "refers_id", "left")
-    wrong = F.col("refers_id").isNotNull() & ~F.col("of").eqNullSafe(F.col("payload_digest"))
-    digest = F.when(wrong, F.raise_error(F.lit("a revisit's digest isn't that of its response"))).otherwise(F.col("payload_digest"))
-    return joined.select("page_id", F.coalesce("payload_bytes", "bytes").alias("payload_bytes"), digest.cast("string").alias("payload_digest"), "record_type", "refers_to")
+    responses = index.where("record_type = 'response'")
+    known = responses.select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("of")).dropDuplicates(["refers_id"])
+    # only revisits are joined: the others have no key and would all meet in one task
+    joined = index.where("record_type <> 'response'").join(known, "refers_id", "left")
+    wrong = ~F.col("of").eqNullSafe(F.col("payload_digest"))
+    digest = F.when(wrong, F.raise_error(F.lit("a revisit's digest isn't that of its response"))).otherwise(F.col("payload_digest")).cast("string")
+    revisits = joined.select("page_id", F.col("bytes").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+    return responses.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to")).unionByName(revisits)
