@@ -7,8 +7,8 @@ key is longer) than every matching entry of an allowing list.
 
 Every capture comes back once: a null or malformed url, or a null day, matches nothing. Captures with equal ids count as
 one and must be equal; ties don't matter, as matches are counted and lists are sets. Empty tables give empty results or
-no matches, columns other than the named ones are ignored. Lists of any size are joined by key; a frequent host is one
-key, whose captures are split by adaptive execution, as an interval list of a key is short.
+no matches, columns other than the named ones are ignored. Lists of any size are joined by key; a frequent host's
+captures are dealt to SALTS tasks, and so is a copy of the intervals, which are few for a key.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PATH_DEPTH = 4
+SALTS = 16
 #: The longest name that the domain name system allows; a longer host has no parent domains.
 HOST_CHARS = 253
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)"
@@ -51,7 +52,9 @@ def intervals(entries: DataFrame) -> DataFrame:
 def evaluate(captures: DataFrame, active: DataFrame, allowing: tuple[str, ...] = ("allow",)) -> DataFrame:
     """(id, host, n_active, lists, blocked) for captures (id, url, day) against intervals (key, list, since, until)."""
     by_key = captures.select("id", host(F.col("url")).alias("host"), "day", F.explode_outer(keys(F.col("url"))).alias("key"))
-    joined = by_key.join(active, "key", "left")
+    salted = by_key.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    copies = active.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = salted.join(copies, ["key", "salt"], "left")
     holds = (F.col("since") <= F.col("day")) & (F.col("until").isNull() | (F.col("day") < F.col("until")))
     allows = F.col("list").isin(*allowing)
     longest = lambda which: F.coalesce(F.max(F.when(holds & which, F.length("key"))), F.lit(0))
