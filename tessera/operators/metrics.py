@@ -15,6 +15,12 @@ def top_per_key(rows: DataFrame, keys: list[str], order: list[Column], k: int) -
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_k") <= k).drop("_k")
 
 
+def top_before(rows: DataFrame, positions: DataFrame, key: str, position: str, weight: str, k: int) -> DataFrame:
+    """The k rows of largest weight of each key among those before the key's own query position; positions: (key, at)."""
+    before = rows.join(positions, key).where(F.col(position) < F.col("at")).drop("at")
+    return top_per_key(before, [key], [F.desc(weight), F.asc(position)], k)
+
+
 def softmax_top_k(logits: DataFrame, key: str, token: str, logit: str, k: int) -> DataFrame:
     """(key, token, p) of each key's k largest logits, p being their softmax over all of them."""
     peak = logits.groupBy(key).agg(F.max(logit).alias("_m"))

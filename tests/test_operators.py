@@ -12,6 +12,7 @@ from tessera.operators import metrics
 from tessera.operators import registry as R
 from tessera.operators import stats
 from tessera.operators import unsupervised as U
+from tessera.plans import catalog
 from tessera.plans import ingest as I
 from tessera.sources import converters as K
 from tessera.sources import storage
@@ -237,3 +238,10 @@ def test_streaming(spark, tmp_path):
         query = streaming.append_unprocessed(stream, f"{tmp_path}/runs", f"{tmp_path}/checkpoint")
         query.awaitTermination(120)
     assert sorted(r["run_key"] for r in spark.read.parquet(f"{tmp_path}/runs").collect()) == [0, 1, 2, 3]
+
+
+def test_top_attended_takes_all_before_the_query(spark, tmp_path):
+    rows = [(u, u * 4000 + i, "error" if i % 5 == 0 else "view", float((i * 37 + u) % 41)) for u in (1, 2, 3) for i in range(40)]
+    spark.createDataFrame(rows, "user_id long, event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    expected = {(u, t) for u in (1, 2, 3) for _, t in sorted((-v, t) for q, t, kind, v in rows if q == u and kind != "error" and t < u * 4000 + 39)[:3]}
+    assert {tuple(r) for r in catalog.load()[0]["TK8_top_attended_before"](spark, str(tmp_path)).collect()} == expected
