@@ -1,7 +1,7 @@
 """URL filters: dated list entries become validity intervals, every capture meets the entries active when it was fetched.
 
-A list entry names a key: a host, a parent domain, or a host with up to PATH_DEPTH path segments. `add` and `remove`
-entries of a key take turns; of entries of one list, key and day the removal counts. A capture matches the entries of
+A list entry names a key: a host, a parent domain, or a host with the first segments of a path, any number of them.
+`add` and `remove` entries of a key take turns; of entries of one list, key and day the removal counts. A capture matches the entries of
 all its keys whose interval holds its day. It is blocked if a matching entry of a blocking list is more specific (its
 key is longer) than every matching entry of an allowing list.
 
@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PATH_DEPTH = 4
 SALTS = 16
 #: The longest name that the domain name system allows; a longer host has no parent domains.
 HOST_CHARS = 253
@@ -34,7 +33,7 @@ def keys(url: Column) -> Column:
     of, path = host(url), F.coalesce(F.regexp_extract(url, PATH, 1), F.lit(""))
     labels = F.split(of, r"\.")
     domains = F.when(F.length(of) > HOST_CHARS, F.array(of)).when(F.size(labels) > 1, F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array(of))
-    segments = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, PATH_DEPTH)
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
     prefixes = F.when(F.size(segments) > 0, F.transform(F.sequence(F.lit(1), F.size(segments)), lambda j: F.concat(of, F.lit("/"), F.array_join(F.slice(segments, 1, j), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(of == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, prefixes)))
 

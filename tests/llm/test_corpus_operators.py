@@ -31,6 +31,13 @@ def test_url_filter_follows_dates(spark):
     assert url_filters.evaluate(captures, url_filters.intervals(entries.limit(0))).where("n_active > 0").count() == 0
 
 
+def test_url_filter_takes_the_whole_path(spark):
+    entries = spark.createDataFrame([("h.com/a/b/c/d/e/f", "bad", "add", 10), ("h.com/a/b/c/d/e/f/g", "allow", "add", 20)], "key string, list string, action string, day long")
+    captures = spark.createDataFrame([(1, "http://h.com/a/b/c/d/e/f", 12), (2, "http://h.com/a/b/c/d/e", 12), (3, "http://h.com/a/b/c/d/e/f/g/h", 12), (4, "http://h.com/a/b/c/d/e/f/g/h", 20)], "id long, url string, day long")
+    found = {r["id"]: (r["n_active"], r["blocked"]) for r in url_filters.evaluate(captures, url_filters.intervals(entries)).collect()}
+    assert found == {1: (1, True), 2: (0, False), 3: (1, True), 4: (2, False)}
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
 
