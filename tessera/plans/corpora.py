@@ -85,6 +85,14 @@ def injected(spark, d):
     return K.injected(contexts, attacks).select("idx", "attack", "position", F.length("user_prompt").cast("long").alias("n"))
 
 
+@query("SRC9_JN12_injected_all", "SELECT c.idx, b.item_id AS attack, p.position, CAST(length(c.context) + 1 + length(b.text) AS BIGINT) AS n FROM (SELECT text AS context, min(doc_id) AS idx FROM documents GROUP BY text) c, benchmark b, (SELECT unnest(['start', 'middle', 'end']) AS position) p")
+def injected_all(spark, d):
+    """Every distinct text is a context."""
+    contexts = K.first_of_context(source(spark, d, context="text")).select("idx", "context")
+    attacks = V.table(spark, d, "benchmark").select(F.col("item_id").alias("attack"), F.col("text").alias("attack_str"))
+    return K.injected(contexts, attacks).select("idx", "attack", "position", F.length("user_prompt").cast("long").alias("n"))
+
+
 @query("SRC4_scan_filter_convert", f"WITH n AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, lang FROM documents) SELECT 'fr:train:' || CAST(idx AS VARCHAR) AS prompt_id FROM n WHERE lang = 'fr'")
 def scan_filter_convert(spark, d):
     rows = K.numbered(V.table(spark, d, "documents"), "doc_id")

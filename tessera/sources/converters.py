@@ -84,19 +84,24 @@ def first_of_context(samples: DataFrame) -> DataFrame:
     return samples.groupBy("context").agg(F.min_by(F.struct(*rest), "idx").alias("s")).select("context", "s.*")
 
 
+#: The longest list of attacks that is broadcast.
+BROADCAST_ATTACKS = 10_000
+
+
 def injected(contexts: DataFrame, attacks: DataFrame, positions: tuple[str, ...] = ("start", "middle", "end")) -> DataFrame:
     """Contexts x attacks x positions, the attack put in before, within or after the context's lines.
 
-    The attack list is the small side: a corpus has a few hundred, which its size is checked against.
+    A list of at most BROADCAST_ATTACKS rows is broadcast; a longer one is joined in blocks, partitions of contexts with
+    partitions of attacks.
     """
-    if attacks.count() > 10_000:
-        raise ValueError("a list of attacks has at most 10,000 rows")
-    grid = contexts.crossJoin(F.broadcast(attacks)).crossJoin(F.broadcast(contexts.sparkSession.createDataFrame([(p,) for p in positions], "position string")))
     lines = F.split("context", "\n")
     half = F.floor(F.size(lines) / 2).cast("int")
-    middle = F.array_join(F.concat(F.slice(lines, F.lit(1), half), F.array("attack_str"), F.slice(lines, half + 1, F.size(lines))), "\n")
+    halves = contexts.withColumn("_head", F.when(half > 0, F.array_join(F.slice(lines, F.lit(1), half), "\n"))).withColumn("_tail", F.array_join(F.slice(lines, half + 1, F.size(lines)), "\n"))
+    side = F.broadcast(attacks) if attacks.count() <= BROADCAST_ATTACKS else attacks.hint("shuffle_replicate_nl")
+    grid = halves.crossJoin(side).crossJoin(F.broadcast(contexts.sparkSession.createDataFrame([(p,) for p in positions], "position string")))
+    middle = F.when(F.col("context").isNotNull(), F.concat_ws("\n", "_head", "attack_str", "_tail"))
     text = F.when(F.col("position") == "start", F.concat_ws("\n", "attack_str", "context")).when(F.col("position") == "end", F.concat_ws("\n", "context", "attack_str")).otherwise(middle)
-    return grid.withColumn("user_prompt", text)
+    return grid.withColumn("user_prompt", text).drop("_head", "_tail")
 
 
 def _classed(dataset_id: str, extra: Callable[[], dict[str, Column]], only: str | None, key=None) -> Converter:

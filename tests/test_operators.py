@@ -245,3 +245,19 @@ def test_top_attended_takes_all_before_the_query(spark, tmp_path):
     spark.createDataFrame(rows, "user_id long, event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     expected = {(u, t) for u in (1, 2, 3) for _, t in sorted((-v, t) for q, t, kind, v in rows if q == u and kind != "error" and t < u * 4000 + 39)[:3]}
     assert {tuple(r) for r in catalog.load()[0]["TK8_top_attended_before"](spark, str(tmp_path)).collect()} == expected
+
+
+@pytest.mark.parametrize("number", [3, 10_001])
+def test_injected_takes_every_context_and_attack(spark, number):
+    contexts = {1: "a\nb\nc", 2: "one line", 3: "\nx", 4: ""}
+    attacks = [(k, f"attack {k}") for k in range(number)]
+    found = K.injected(spark.createDataFrame(list(contexts.items()), "idx long, context string"), spark.createDataFrame(attacks, "attack long, attack_str string").repartition(3))
+    expected = {}
+    for idx, context in contexts.items():
+        lines = context.split("\n")
+        for k, attack in attacks:
+            for position, at in (("start", 0), ("middle", len(lines) // 2), ("end", len(lines))):
+                expected[idx, k, position] = "\n".join([*lines[:at], attack, *lines[at:]])
+    rows = found.collect()
+    assert found.columns == ["idx", "context", "attack", "attack_str", "position", "user_prompt"] and len(rows) == len(expected)
+    assert {(r["idx"], r["attack"], r["position"]): r["user_prompt"] for r in rows} == expected
