@@ -187,6 +187,18 @@ def test_near_dedup_edges(spark):
     assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in minhash.classes(df).collect()) == [("2", "2"), ("4", "2"), ("4", "2"), ("None", "2"), ("None", "None")]
 
 
+def test_near_dedup_keeps_a_row_of_each_class(spark):
+    words = [f"w{i}" for i in range(200)]
+    x, near = " ".join(words), " ".join(words[:-1])
+    y, z = " ".join(f"y{i}" for i in range(50)), [f"z{i}" for i in range(200)]
+    rows = [(3, x, 1), (5, near, 2), (5, y, 3), (None, near, 4), (None, x + "!", 5), (7, "q r s", 6), (7, "Q, r s", 7), (None, " ".join(z), 8), (None, " ".join(z[:-1]), 9), (None, "alone", 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(4)
+    assert df.columns == minhash.deduplicate(df).columns
+    kept = [(r["doc_id"], r["n"]) for r in minhash.deduplicate(df).collect()]
+    assert len(kept) == 5 and {n for _, n in kept} & {1, 3, 10} == {1, 3, 10}
+    assert len({n for _, n in kept} & {6, 7}) == 1 and len({n for _, n in kept} & {8, 9}) == 1
+
+
 def test_samples_agree_like_weighted_jaccard():
     rng = np.random.default_rng(5)
     agree, expected = [], []
