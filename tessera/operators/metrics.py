@@ -113,8 +113,10 @@ def pure_datasets(rows: DataFrame) -> DataFrame:
     return class_balance(rows).select("dataset_id", kind.alias("kind")).where("kind IS NOT NULL")
 
 
-def pivoted(metrics: DataFrame, row: str, column: str, values: list[str], metric: str) -> DataFrame:
-    """A row for each dataset, a column for each method."""
+def pivoted(metrics: DataFrame, row: str, column: str, values: list[str] | None, metric: str) -> DataFrame:
+    """A row for each dataset, a column for each method; without values these are all that occur, but null."""
+    if values is None:
+        values = [r[0] for r in metrics.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column).collect()]
     return metrics.groupBy(row).pivot(column, values).agg(F.max(metric))
 
 

@@ -90,6 +90,13 @@ def pivot(spark, d):
     return table.unionByName(table.agg(*[F.max(c).alias(c) for c in ("en", "fr", "de")]).withColumn("dataset_id", F.lit("total")))
 
 
+@query("AG28_pivot_all", f"WITH {V.RUNS} SELECT dataset_id, max(n_chars) FILTER (lang = 'de') AS de, max(n_chars) FILTER (lang = 'en') AS en, max(n_chars) FILTER (lang = 'es') AS es, max(n_chars) FILTER (lang = 'fr') AS fr FROM runs GROUP BY dataset_id UNION ALL SELECT 'total', max(n_chars) FILTER (lang = 'de'), max(n_chars) FILTER (lang = 'en'), max(n_chars) FILTER (lang = 'es'), max(n_chars) FILTER (lang = 'fr') FROM runs")
+def pivot_all(spark, d):
+    """A column for each language that occurs; the SQL names those of the given tables."""
+    table = M.pivoted(V.runs(spark, d), "dataset_id", "lang", None, "n_chars")
+    return table.unionByName(table.agg(*[F.max(c).alias(c) for c in table.columns if c != "dataset_id"]).withColumn("dataset_id", F.lit("total")))
+
+
 XO = f"WITH {V.XY}, {V.XYC}, oncell AS (SELECT run_id, i, y, dataset_id FROM xyc WHERE v > 0.15)"
 RATE = XO + ", n AS (SELECT count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1 FROM xy), cl AS (SELECT i, count(*) FILTER (y = 0) / any_value(n0) AS benign, count(*) FILTER (y = 1) / any_value(n1) AS malicious FROM oncell, n GROUP BY i), fd AS (SELECT i, dataset_id, count(*) / any_value(nd) AS rate FROM oncell JOIN (SELECT dataset_id, count(*) AS nd FROM xy GROUP BY dataset_id) USING (dataset_id) GROUP BY i, dataset_id), td AS (SELECT i, dataset_id AS top_dataset FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY rate DESC, dataset_id) AS k FROM fd) WHERE k = 1), fr AS (SELECT i, benign, malicious, malicious / greatest(benign, 1e-6) AS ratio, top_dataset FROM cl JOIN td USING (i))"
 COEF = ", cf AS (SELECT i, avg(v) FILTER (y = 1) - avg(v) FILTER (y = 0) AS coef FROM xyc GROUP BY i), hd AS (SELECT t.dataset_id, i, avg(v) FILTER (y = 1) - avg(v) FILTER (y = 0) AS coef FROM xyc, (SELECT DISTINCT dataset_id FROM xy) t WHERE xyc.dataset_id <> t.dataset_id GROUP BY t.dataset_id, i), rt AS (SELECT i, CASE WHEN any_value(cf.coef) <= 0 THEN 'infinity'::DOUBLE ELSE min(hd.coef) / any_value(cf.coef) END AS retention, min_by(hd.dataset_id, (hd.coef, hd.dataset_id)) AS worst FROM cf JOIN hd USING (i) GROUP BY i)"

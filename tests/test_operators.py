@@ -261,3 +261,9 @@ def test_injected_takes_every_context_and_attack(spark, number):
     rows = found.collect()
     assert found.columns == ["idx", "context", "attack", "attack_str", "position", "user_prompt"] and len(rows) == len(expected)
     assert {(r["idx"], r["attack"], r["position"]): r["user_prompt"] for r in rows} == expected
+
+
+def test_pivot_has_every_value(spark):
+    df = spark.createDataFrame([("a", "en", 1), ("a", "es", 2), ("b", "xx", 3), ("b", "xx", 4), ("b", None, 5)], "d string, lang string, n long")
+    found = metrics.pivoted(df, "d", "lang", None, "n")
+    assert found.columns == ["d", "en", "es", "xx"] and sorted(tuple(r) for r in found.collect()) == [("a", 1, 2, None), ("b", None, None, 4)]
