@@ -87,7 +87,7 @@ def linear_sgd(spark, d):
 @query("ML18_boosted")
 def boosted(spark, d):
     x = V.xy(spark, d)
-    return scored(C.boosted(trees=5).fit(x).scores(x))
+    return scored(C.boosted().fit(x).scores(x))
 
 
 @query("ML19_neural")
@@ -110,7 +110,7 @@ def pca(spark, d):
 
 @query("ML9_ML12_kmeans")
 def kmeans(spark, d):
-    return U.kmeans(V.xy(spark, d), 5, runs=3).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return U.kmeans(V.xy(spark, d), 5).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 NEAR = f"WITH RECURSIVE {V.XY}, pr AS (SELECT a.run_id AS a, b.run_id AS b FROM xy a JOIN xy b ON a.run_id <> b.run_id AND list_distance(a.x, b.x) <= 1.12), core AS (SELECT a AS node FROM pr GROUP BY a HAVING count(*) + 1 >= 3), e AS (SELECT a, b FROM pr WHERE a IN (SELECT node FROM core) AND b IN (SELECT node FROM core)), reach AS (SELECT node, node AS root FROM core UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.node), roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node), border AS (SELECT pr.b, min(root) AS near FROM pr JOIN roots ON pr.a = roots.node GROUP BY pr.b)"

@@ -267,3 +267,12 @@ def test_pivot_has_every_value(spark):
     df = spark.createDataFrame([("a", "en", 1), ("a", "es", 2), ("b", "xx", 3), ("b", "xx", 4), ("b", None, 5)], "d string, lang string, n long")
     found = metrics.pivoted(df, "d", "lang", None, "n")
     assert found.columns == ["d", "en", "es", "xx"] and sorted(tuple(r) for r in found.collect()) == [("a", 1, 2, None), ("b", None, None, 4)]
+
+
+@pytest.mark.parametrize("name, module, operator", [("ML9_ML12_kmeans", U, "kmeans"), ("ML18_boosted", C, "boosted")])
+def test_models_are_registered_with_their_defaults(spark, sf_dir, monkeypatch, name, module, operator):
+    given = []
+    whole = getattr(module, operator)
+    monkeypatch.setattr(module, operator, lambda *a, **b: given.append(b) or whole(*a, **b))
+    catalog.load()[0][name](spark, sf_dir)
+    assert given == [{}]
