@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,11 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share; Spark's file system removes it at the session's end.
 
-    Where the setting is missing, as in local tests, a temporary folder is made and set.
+    Where the setting is missing, a local session, as in tests, gets a temporary folder; a cluster raises ValueError, as
+    its executors would write to folders of their own.
     """
     key = "spark.checkpoint.dir"
     base = spark.sparkContext.getConf().get(key) or spark.conf.get(key, None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{key} must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set(key, base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -39,9 +44,37 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to a scratch folder as Parquet and read back: its lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch(spark, name)}/data"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch(spark, name)
+    df.write.parquet(f"{path}/data")
+    out = spark.read.schema(df.schema).parquet(f"{path}/data")
+    out._stored_at = path
+    return out
+
+
+def removed(*frames: DataFrame) -> None:
+    """Removes the folders of stored() frames that nothing reads any more."""
+    for df in frames:
+        spark = df.sparkSession
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+_held: list = ["", None]
+
+
+def worker_cache(owner: str, make: Callable):
+    """What make() returns, kept in this worker process until another owner asks: workers outlive tasks and stages, so
+    that otherwise the caches of every operator they have run would add up."""
+    if _held[0] != owner:
+        _held[:] = ["", None]
+        _held[:] = [owner, make()]
+    return _held[1]
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """name, or the first of name1, name2, ... that is no column of frames, in any case of letters."""
+    taken = {column.lower() for df in frames for column in df.columns}
+    return next(each for each in itertools.chain([name], (f"{name}{n}" for n in itertools.count(1))) if each.lower() not in taken)
 
 
 def text_of(column: str):
