@@ -1,6 +1,6 @@
-"""Classifiers over (run_id, x array<double>, y, dataset_id): linear, boosted, neural and prototype models, and their protocol.
+"""Classifiers over (run_id, x array<double>, y, dataset_id): linear, boosted and neural models, their protocol, and folds.
 
-What crosses to the driver are model parameters: d means, a d x d covariance, coefficients.
+What crosses to the driver are model parameters: coefficients, means, a covariance of bounded size.
 """
 
 from __future__ import annotations
@@ -9,15 +9,15 @@ from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import MaxAbsScaler, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import stats
+from .checkpoints import coefficient_rows, top_indices
+from .prototypes import Prototypes
 
 
 class Classifier(Protocol):
@@ -56,9 +56,24 @@ class _Wrapped:
         out = self.model.transform(xy.withColumn("raw", array_to_vector("x")))
         return out.select(*xy.columns, vector_to_array("probability")[1].alias("score"))
 
+    def weights(self) -> np.ndarray:
+        """A linear model's coefficients, a boosted one's importances."""
+        fitted = self.model.stages[-1]
+        return (fitted.coefficients if hasattr(fitted, "coefficients") else fitted.featureImportances).toArray()
+
+    def top_features(self, k: int, direction: str = "positive") -> list[int]:
+        """The dimensions of largest weight; importances have no sign, so there every direction is abs."""
+        return top_indices(self.weights(), k, direction if hasattr(self.model.stages[-1], "coefficients") else "abs")
+
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
 
+    def load(self, path: str) -> "_Wrapped":
+        """A model of this kind as save() left it."""
+        out = self.clone()
+        out.model = PipelineModel.load(path)
+        return out
+
 
 def linear(c: float = 1.0, normalize: bool = True, iterations: int = 200, sgd: bool = False) -> _Wrapped:
     """Logistic regression with balanced classes; its penalty is 1 / (c n), or 1 / c as a stochastic solver counts it."""
@@ -76,163 +91,36 @@ def neural(layers: tuple[int, ...], iterations: int = 50, seed: int = 42) -> _Wr
     return _Wrapped(lambda n: [MaxAbsScaler(inputCol="raw", outputCol="features"), MultilayerPerceptronClassifier(featuresCol="features", layers=list(layers), maxIter=iterations, seed=seed)])
 
 
-class Adversarial:
-    """A network whose hidden layer should tell the class but not the dataset, by reversing the dataset head's gradient.
-
-    It is fitted on at most sample_rows rows, by the smallest hashes of their ids, in one task.
-    """
-
-    def __init__(self, hidden: int = 32, domain_weight: float = 0.1, epochs: int = 60, rate: float = 0.05, patience: int = 10, sample_rows: int = 20_000, seed: int = 42):
-        self.args = dict(hidden=hidden, domain_weight=domain_weight, epochs=epochs, rate=rate, patience=patience, sample_rows=sample_rows, seed=seed)
-        self.parameters: dict | None = None
-        self.history: list[float] = []
-
-    def clone(self) -> "Adversarial":
-        return Adversarial(**self.args)
-
-    def fit(self, xy: DataFrame) -> "Adversarial":
-        a = self.args
-        sample = xy.select("run_id", "x", "y", "dataset_id").orderBy(F.xxhash64("run_id"), "run_id").limit(a["sample_rows"]).toPandas().sort_values("run_id")
-        x = np.array(sample["x"].tolist(), float)
-        scale = np.abs(x).max(axis=0)
-        scale[scale == 0] = 1
-        x, y = x / scale, sample["y"].to_numpy(float)
-        names = sorted(set(sample["dataset_id"]))
-        d = np.eye(len(names))[[names.index(v) for v in sample["dataset_id"]]]
-        rng = np.random.default_rng(a["seed"])
-        w = rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], a["hidden"]))
-        b, u, c, v = np.zeros(a["hidden"]), np.zeros(a["hidden"]), 0.0, np.zeros((a["hidden"], len(names)))
-        best, waited = np.inf, 0
-        for _ in range(a["epochs"]):
-            h = np.maximum(x @ w + b, 0)
-            p = 1 / (1 + np.exp(-np.clip(h @ u + c, -30, 30)))
-            z = h @ v
-            q = np.exp(z - z.max(axis=1, keepdims=True))
-            q /= q.sum(axis=1, keepdims=True)
-            loss = -np.mean(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9))
-            self.history.append(float(loss))
-            waited = 0 if loss < best - 1e-5 else waited + 1
-            best = min(best, loss)
-            if waited >= a["patience"]:
-                break
-            gy, gd = (p - y) / len(y), (q - d) / len(y)
-            gh = (np.outer(gy, u) - a["domain_weight"] * gd @ v.T) * (h > 0)
-            step = a["rate"] * len(names)
-            u, c, v = u - step * h.T @ gy, c - step * gy.sum(), v - step * h.T @ gd
-            w, b = w - step * x.T @ gh, b - step * gh.sum(axis=0)
-        self.parameters = {"scale": scale, "w": w, "b": b, "u": u, "c": c}
-        return self
-
-    def scores(self, xy: DataFrame) -> DataFrame:
-        m = self.parameters
-
-        @F.pandas_udf("double")
-        def score(x: pd.Series) -> pd.Series:
-            rows = np.array(x.tolist(), float).reshape(len(x), -1) / m["scale"]
-            return pd.Series(1 / (1 + np.exp(-np.clip(np.maximum(rows @ m["w"] + m["b"], 0) @ m["u"] + m["c"], -30, 30))))
-
-        return xy.withColumn("score", score("x"))
-
-
-#: How a prototype model estimates the covariance.
-COVARIANCES = ("bayes_ridge", "ridge", "diagonal", "identity", "pooled")
-
-
-class Prototypes:
-    """Latent prototypes: a mean for each class, a distance to both, and a score from the two distances."""
-
-    def __init__(self, distance: str = "mahalanobis", covariance: str = "bayes_ridge", scoring: str = "ratio", reg: float = 1e-6):
-        self.distance, self.covariance, self.scoring, self.reg = distance, covariance, scoring, reg
-        self.means: list[np.ndarray] = []
-        self.precision: np.ndarray | None = None
-
-    def clone(self) -> "Prototypes":
-        return Prototypes(self.distance, self.covariance, self.scoring, self.reg)
-
-    def fit(self, xy: DataFrame) -> "Prototypes":
-        rows = stats.class_means(xy).orderBy("i").collect()  # d rows
-        self.means = [np.array([r[c] if r[c] is not None else 0.0 for r in rows]) for c in ("m0", "m1")]
-        if self.distance == "mahalanobis":
-            self.precision = self._precision(xy, len(rows))
-        return self
-
-    def _precision(self, xy: DataFrame, d: int) -> np.ndarray:
-        shared = xy.sparkSession.sparkContext.broadcast(self.means)
-        pooled = self.covariance != "identity"
-
-        def moments(frames):
-            total, n = np.zeros((d, d)), 0
-            for frame in frames:
-                x = np.array(frame["x"].tolist(), float).reshape(len(frame), d)
-                x = x - np.array([shared.value[int(y)] for y in frame["y"]]).reshape(len(frame), d)
-                total, n = total + x.T @ x, n + len(frame)
-            yield pd.DataFrame({"i": range(d + 1), "v": [*total.tolist(), [float(n)]]})
-
-        # sums of products of the rows' differences from their class mean: d + 1 rows from each task, added up there
-        parts = xy.select("x", "y").mapInPandas(moments, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-        scatter, n = np.zeros((d, d)), 1.0
-        for r in parts:
-            if r["i"] == d:
-                n = r["v"]
-            else:
-                scatter[r["i"], r["j"]] = r["v"]
-        sigma = scatter / max(n - 1, 1)
-        if self.covariance == "bayes_ridge":
-            return d * np.linalg.inv((n - 1) * sigma + np.trace(sigma) * np.eye(d) + self.reg * np.eye(d))
-        if self.covariance == "diagonal":
-            return np.diag(1 / (np.diag(sigma) + self.reg))
-        if not pooled:
-            return np.eye(d)
-        extra = self.reg if self.covariance == "pooled" else max(self.reg, np.trace(sigma) / d)
-        return np.linalg.pinv(sigma + extra * np.eye(d))
-
-    def scores(self, xy: DataFrame) -> DataFrame:
-        safe, unsafe = (self._distance(F.col("x"), m) for m in self.means)
-        both = xy.withColumn("_s", safe).withColumn("_u", unsafe)
-        s, u = F.col("_s"), F.col("_u")
-        if self.scoring == "ratio":
-            score = s / (s + u + 1e-10)
-        elif self.scoring == "softmax":
-            a, b = -u * u / 2, -s * s / 2
-            top = F.greatest(a, b)
-            score = F.exp(a - top) / (F.exp(a - top) + F.exp(b - top))
-        else:
-            score = -u
-        return both.withColumn("score", score).drop("_s", "_u")
-
-    def _distance(self, x: Column, mean: np.ndarray) -> Column:
-        m = F.array(*[F.lit(float(v)) for v in mean])
-        if self.distance == "cosine":
-            return 1 - stats.cosine(x, m, 1e-10)
-        diff = F.zip_with(x, m, lambda a, b: a - b)
-        if self.distance == "euclidean":
-            return stats.norm(diff)
-        precision, centre = self.precision, mean
-
-        @F.pandas_udf("double")
-        def distance(rows: pd.Series) -> pd.Series:
-            z = np.array(rows.tolist(), float).reshape(len(rows), -1) - centre
-            return pd.Series(np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", z, precision, z), 0)))
-
-        return distance(x)
-
-
 def with_fold(rows: DataFrame, folds: int, seed: int = 42) -> DataFrame:
     """rows with `fold`: a shuffled k-fold split by a hash of the id, so every row's fold is its own matter."""
     return rows.withColumn("fold", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.col("run_id").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("long"))
 
 
+#: Hexadecimal digits of the hash that name a cell of the stratified split.
+CELL_DIGITS = 3
+
+
 def stratified_split(rows: DataFrame, test_share: float, seed: int = 42) -> DataFrame:
-    """rows with `part`, train or test: of each class the first by a hash of the id are the test part."""
+    """rows with `part`, train or test: of each class the first by a hash of the id are the test part.
+
+    Ranks go in two levels, within cells of hashes and by the counts of the cells before, so that a class, of which there
+    are few, is in many tasks. Cells are so many a class at any size.
+    """
     key = F.md5(F.concat_ws("|", F.col("run_id").cast("string"), F.lit(str(seed))))
-    sizes = rows.groupBy("y").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy("y").orderBy(key, "run_id"))).join(F.broadcast(sizes), "y")
-    return ranked.withColumn("part", F.when(F.col("_k") <= F.floor(F.col("_n") * test_share), "test").otherwise("train")).drop("_k", "_n")
+    dealt = rows.withColumn("_key", key).withColumn("_cell", F.substring("_key", 1, CELL_DIGITS))
+    cells = dealt.groupBy("y", "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy("y").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cells.select("y", "_cell", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy("y")).alias("_n"))
+    within = F.row_number().over(Window.partitionBy("y", "_cell").orderBy("_key", "run_id"))
+    ranked = dealt.withColumn("_k", within).join(sums, ["y", "_cell"]).withColumn("_k", F.col("_k") + F.col("_before"))
+    return ranked.withColumn("part", F.when(F.col("_k") <= F.floor(F.col("_n") * test_share), "test").otherwise("train")).select(*rows.columns, "part")
 
 
 def out_of_fold(classifier: Classifier, xy: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Scores of every row by a model that hasn't seen it; the loop is over folds, which are few."""
+    """Scores of every row by a model that hasn't seen it; prototypes of all folds at once, else a loop over folds, which are few."""
     dealt = with_fold(xy, folds, seed)
+    if isinstance(classifier, Prototypes) and classifier.distance != "mahalanobis":
+        return classifier.held_out_scores(dealt, "fold")
     out = None
     for k in range(folds):
         model = classifier.clone().fit(dealt.where(F.col("fold") != k).drop("fold"))
@@ -242,7 +130,10 @@ def out_of_fold(classifier: Classifier, xy: DataFrame, folds: int = 5, seed: int
 
 
 def lodo_scores(classifier: Classifier, xy: DataFrame) -> DataFrame:
-    """Leave one dataset out: scores of each dataset by a model fitted on the others; the loop is over datasets, which are few."""
+    """Leave one dataset out: scores of each dataset by a model fitted on the others; prototypes of all datasets at once,
+    else a loop over datasets, which are few."""
+    if isinstance(classifier, Prototypes) and classifier.distance != "mahalanobis":
+        return classifier.held_out_scores(xy, "dataset_id")
     out = None
     for row in xy.select("dataset_id").distinct().orderBy("dataset_id").collect():
         held = row["dataset_id"]
@@ -252,6 +143,18 @@ def lodo_scores(classifier: Classifier, xy: DataFrame) -> DataFrame:
     return out
 
 
+def lodo_coefficients(classifier: _Wrapped, xy: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(i, coef) of a model of all rows, and (dataset_id, i, coef) of one for each dataset held out: d rows a fold."""
+    spark = xy.sparkSession
+    names = [row["dataset_id"] for row in xy.select("dataset_id").distinct().orderBy("dataset_id").collect()]
+    baseline = coefficient_rows(spark, classifier.clone().fit(xy).weights())
+    held = None
+    for name in names:
+        part = coefficient_rows(spark, classifier.clone().fit(xy.where(F.col("dataset_id") != name)).weights()).select(F.lit(name).alias("dataset_id"), "i", "coef")
+        held = part if held is None else held.unionByName(part)
+    return baseline, held
+
+
 def merged_datasets(rows: DataFrame, names: dict[str, str]) -> DataFrame:
     """Datasets that count as one get one name."""
     if not names:

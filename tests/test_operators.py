@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import classify as C
+from tessera.operators.adversarial import Adversarial, Network
+from tessera.operators.checkpoints import top_indices
+from tessera.operators.prototypes import COVARIANCES, Prototypes
 from tessera.operators import matrix as M
 from tessera.operators import metrics
 from tessera.operators import registry as R
@@ -145,23 +148,131 @@ def accuracy(df, threshold=0.5):
     return metrics.confusion(metrics.predicted(df, threshold)).first()["accuracy"]
 
 
-@pytest.mark.parametrize("make", [C.linear, lambda: C.Prototypes("euclidean"), lambda: C.Prototypes("mahalanobis"), C.Adversarial], ids=["linear", "euclidean", "mahalanobis", "adversarial"])
+@pytest.mark.parametrize("make", [C.linear, lambda: Prototypes("euclidean"), lambda: Prototypes("mahalanobis"), lambda: Adversarial((16, 8), rate=0.01, batch=32, domain_weight=0.1)], ids=["linear", "euclidean", "mahalanobis", "adversarial"])
 def test_classifiers_separate(spark, make):
     df, _, _ = xy(spark)
     assert accuracy(make().fit(df).scores(df)) > 0.9
 
 
-def test_mahalanobis_is_closed_form(spark):
+def shrunk(z):
+    """Ledoit and Wolf's estimate by its definition: the distance of the rows' own products from their mean, against that of
+    the mean from the scaled identity."""
+    n, d = z.shape
+    mean = z.T @ z / n
+    target = np.trace(mean) / d * np.eye(d)
+    far = ((mean - target) ** 2).sum() / d
+    near = min(sum(((np.outer(r, r) - mean) ** 2).sum() for r in z) / d / n**2, far)
+    return near / far * target + (1 - near / far) * mean
+
+
+@pytest.mark.parametrize("covariance", COVARIANCES)
+def test_mahalanobis_is_closed_form(spark, covariance):
     df, x, y = xy(spark)
-    model = C.Prototypes("mahalanobis", "pooled", "raw").fit(df)
+    model = Prototypes("mahalanobis", covariance, "raw").fit(df)
     means = [x[y == k].mean(axis=0) for k in (0, 1)]
-    z = x - np.array(means)[y]
-    precision = np.linalg.pinv(z.T @ z / (len(x) - 1) + 1e-6 * np.eye(4))
+    z, own = x - x.mean(axis=0), x[y == 1] - means[1]
+    n, eye = len(x), np.eye(4)
+    precision = {
+        "bayes_ridge": lambda: 4 * np.linalg.inv((n - 1) * np.cov(x.T) + (np.trace(np.cov(x.T)) + 1e-6) * eye),
+        "empirical": lambda: np.linalg.inv(np.cov(x.T, bias=True)) + 1e-6 * eye,
+        "per_class": lambda: np.linalg.inv(np.cov(own.T, bias=True)) + 1e-6 * eye,
+        "shared": lambda: np.linalg.inv(shrunk(z)) + 1e-6 * eye,
+        "ledoit_wolf": lambda: np.linalg.inv(shrunk(z)) + 1e-6 * eye,
+    }[covariance]()
     expected = -np.sqrt(np.einsum("ij,jk,ik->i", x - means[1], precision, x - means[1]))
     found = [r["score"] for r in model.scores(df).orderBy("run_id").collect()]
     assert np.allclose(found, expected)
 
 
+def test_prototypes_need_both_classes(spark):
+    df, _, _ = xy(spark)
+    with pytest.raises(ValueError):
+        Prototypes("euclidean").fit(df.where("y = 1"))
+
+
+@pytest.mark.parametrize("scoring", ["softmax", "ratio", "raw"])
+def test_models_come_back_from_storage(spark, tmp_path, scoring):
+    df, _, _ = xy(spark)
+    scores = lambda model: [r["score"] for r in model.scores(df).orderBy("run_id").collect()]
+    model = Prototypes("mahalanobis", "per_class", scoring).fit(df)
+    model.save(spark, f"{tmp_path}/p")
+    assert scores(Prototypes.load(spark, f"{tmp_path}/p")) == scores(model)
+    network = Adversarial((8,), epochs=3, batch=50, normalize="standard").fit(df)
+    network.save(spark, f"{tmp_path}/a")
+    assert scores(Adversarial.load(spark, f"{tmp_path}/a")) == scores(network)
+    line = C.linear().fit(df)
+    line.save(f"{tmp_path}/l")
+    assert scores(C.linear().load(f"{tmp_path}/l")) == scores(line)
+
+
+def test_adversarial_training(spark):
+    rng = np.random.default_rng(0)
+    y, domain = rng.integers(0, 2, 600), rng.integers(0, 2, 600)
+    x = rng.normal(0, 0.3, (600, 2)) + np.column_stack([y * 2.0 - 1, domain * 2.0 - 1])
+    df = spark.createDataFrame([(i, x[i].tolist(), int(y[i]), str(domain[i])) for i in range(600)], "run_id long, x array<double>, y long, dataset_id string")
+    model = Adversarial((8,), rate=0.01, batch=64, epochs=40, patience=5, domain_weight=0.5).fit(df)
+    history = model.history
+    assert history[0]["reverse"] == 0 and all(a["reverse"] <= b["reverse"] <= 1 for a, b in zip(history, history[1:]))
+    best = [h["f1"] for h in history].index(max(h["f1"] for h in history))
+    assert history[best]["f1"] > 0.95 and len(history) in (best + 6, 40)
+    assert accuracy(model.scores(df)) > 0.95
+
+
+def test_network_gradients():
+    rng = np.random.default_rng(1)
+    for activation in ("gelu", "relu"):
+        net = Network([3, 5, 2], activation, 0.0, False, rng)
+        x, g = rng.normal(size=(4, 3)), rng.normal(size=(4, 2))
+        net.forward(x)
+        by_input, by_weight = net.backward(g)
+        for array, slope in [*zip(net.parameters(), by_weight), (x, by_input)]:
+            at = tuple(rng.integers(0, n) for n in array.shape)
+            values = []
+            for step in (1e-6, -1e-6):
+                array[at] += step
+                values.append((net.forward(x) * g).sum())
+                array[at] -= step
+            assert abs((values[0] - values[1]) / 2e-6 - slope[at]) < 1e-4
+
+
+def test_top_indices():
+    w = np.array([0.5, -2.0, 1.0, 1.0, 0.0])
+    assert [top_indices(w, 2, d) for d in ("positive", "negative", "both", "abs")] == [[2, 3], [1, 4], [2, 3, 1, 4], [1, 2]]
+    with pytest.raises(ValueError):
+        top_indices(w, 2, "up")
+
+
+def test_linear_is_the_optimum(spark):
+    """Newton's method on the same penalised loss."""
+    df, x, y = xy(spark)
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
+    z = np.column_stack([x / np.linalg.norm(x, axis=1, keepdims=True), np.ones(len(x))])
+    free, ridge = np.zeros(5), np.array([1, 1, 1, 1, 0]) / len(x)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ free))
+        gradient = z.T @ (w * (p - y)) / w.sum() + ridge * free
+        free -= np.linalg.solve(z.T @ (z * (w * p * (1 - p))[:, None]) / w.sum() + np.diag(ridge), gradient)
+    assert np.allclose(C.linear().fit(df).weights(), free[:4], atol=1e-4)
+
+
+def test_folds_in_one_pass_are_folds_one_by_one(spark):
+    df, _, _ = xy(spark)
+    for distance in ("euclidean", "cosine"):
+        model = Prototypes(distance)
+        at_once = {r["run_id"]: r["score"] for r in C.lodo_scores(model, df).collect()}
+        for held in (0, 1, 2):
+            for r in model.clone().fit(df.where(F.col("dataset_id") != held)).scores(df.where(F.col("dataset_id") == held)).collect():
+                assert abs(at_once[r["run_id"]] - r["score"]) < 1e-9
+
+
+def test_lodo_coefficients(spark):
+    df, _, _ = xy(spark)
+    baseline, held = C.lodo_coefficients(C.linear(), df)
+    assert np.allclose([r["coef"] for r in baseline.orderBy("i").collect()], C.linear().fit(df).weights())
+    one = C.linear().fit(df.where("dataset_id <> 2")).weights()
+    assert np.allclose([r["coef"] for r in held.where("dataset_id = 2").orderBy("i").collect()], one)
+
+
 def test_pca_is_centred(spark):
     df, x, _ = xy(spark)
     z, variances = U.pca(df, 2)
@@ -244,7 +355,7 @@ def test_top_attended_takes_all_before_the_query(spark, tmp_path):
     rows = [(u, u * 4000 + i, "error" if i % 5 == 0 else "view", float((i * 37 + u) % 41)) for u in (1, 2, 3) for i in range(40)]
     spark.createDataFrame(rows, "user_id long, event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
     expected = {(u, t) for u in (1, 2, 3) for _, t in sorted((-v, t) for q, t, kind, v in rows if q == u and kind != "error" and t < u * 4000 + 39)[:3]}
-    assert {tuple(r) for r in catalog.load()[0]["TK8_top_attended_before"](spark, str(tmp_path)).collect()} == expected
+    assert {tuple(r) for r in catalog.load()[0]["TK8_top_attended"](spark, str(tmp_path)).collect()} == expected
 
 
 @pytest.mark.parametrize("number", [3, 10_001])
