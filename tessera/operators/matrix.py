@@ -51,11 +51,14 @@ def in_range(rows: DataFrame, width: int, column: str = "feature_idx") -> DataFr
 def run_index(rows: DataFrame) -> DataFrame:
     """(run_id, row): the dense index of runs in order of their id, from 0.
 
-    Ranks within ranges of ids plus the runs before each range, so that no task sees all runs.
+    Ranks within ranges of ids plus the runs before each range, so that no task sees all runs. The ranged ids are stored
+    once, as ranges that are computed again might be cut elsewhere.
     """
+    from ..sources.storage import stored
+
     ids = rows.select("run_id").distinct()
     spark = rows.sparkSession
-    ranged = ids.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "run_id").withColumn("part", F.spark_partition_id())
+    ranged = stored(ids.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "run_id").withColumn("part", F.spark_partition_id()))
     ranged = ranged.withColumn("within", F.row_number().over(Window.partitionBy("part").orderBy("run_id")) - 1)
     # the ranges are few, as many as partitions
     before = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -30,10 +30,17 @@ def softmax_top_k(logits: DataFrame, key: str, token: str, logit: str, k: int) -
 
 
 def curve(scored: DataFrame, *by: str) -> DataFrame:
-    """(by, score, tp, fp, n_pos, n_neg): counts at each distinct score as threshold, from the highest."""
+    """(by, score, tp, fp, n_pos, n_neg): counts at each distinct score as threshold, from the highest.
+
+    The ranges' bounds are quantiles that the driver gets first, as many as there are partitions, so that both levels of
+    sums divide the scores alike, whatever is computed again.
+    """
     counts = scored.groupBy(*by, "score").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")).withColumn("q", F.col("n") - F.col("p"))
-    spark = scored.sparkSession
-    ranged = counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by, F.desc("score")).withColumn("_part", F.spark_partition_id())
+    number = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = counts.agg(F.percentile_approx("score", [at / number for at in range(1, number)] or [0.5], 10_000).alias("b")).first()["b"] or []
+    ends = F.array(*(F.lit(float(bound)) for bound in sorted(set(bounds)))).cast("array<double>")
+    part = F.when(F.col("score").isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(ends, lambda bound: bound > F.col("score"))))
+    ranged = counts.withColumn("_part", part)
     within = Window.partitionBy("_part", *by).orderBy(F.desc("score"))
     sums = ranged.withColumn("tp", F.sum("p").over(within)).withColumn("fp", F.sum("q").over(within))
     parts = ranged.groupBy("_part", *by).agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
@@ -72,8 +79,47 @@ def max_f1(scored: DataFrame) -> DataFrame:
 
 
 def target_precision(scored: DataFrame, precision: float) -> DataFrame:
-    """(threshold): the percentile of the negatives' scores, which bounds the false-positive rate; the median of all without negatives."""
-    return scored.agg(F.coalesce(F.percentile(F.when(F.col("y") == 0, F.col("score")), precision), F.percentile("score", 0.5)).alias("threshold"))
+    """(threshold): the percentile of the negatives' scores, which bounds the false-positive rate; the median of all without negatives.
+
+    Exact, between the two scores around the place, which are found in the curve's counts.
+    """
+    c = curve(scored.where("score IS NOT NULL"))
+    above, size, own = F.col("fp") - F.col("q"), F.col("n_neg"), F.col("q")
+    every = [F.col("tp") - F.col("p") + above, F.col("n_pos") + size, F.col("p") + own]
+
+    def percentile(above: Column, size: Column, own: Column, share: float) -> Column:
+        place = (size - 1) * F.lit(share)
+        # of a score's rows, counted from the lowest, the first is size - above - own, the last size - above - 1
+        at = lambda rank: F.max(F.when((own > 0) & (size - above - own <= rank), F.col("score")))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        return low + (high - low) * F.max(place - F.floor(place))
+
+    return c.agg(F.coalesce(F.when(F.max(size) > 0, percentile(above, size, own, precision)), percentile(*every, 0.5)).alias("threshold"))
+
+
+class Constant:
+    """A threshold that is given."""
+
+    def __init__(self, threshold: float = 0.5):
+        self.threshold = threshold
+
+    def select(self, scored: DataFrame) -> DataFrame:
+        return scored.sparkSession.createDataFrame([(float(self.threshold),)], "threshold double")
+
+
+class TargetPrecision:
+    """The threshold that bounds the false-positive rate by 1 - precision."""
+
+    def __init__(self, precision: float = 0.95):
+        self.precision = precision
+
+    def select(self, scored: DataFrame) -> DataFrame:
+        return target_precision(scored, self.precision)
+
+
+class MaxF1:
+    def select(self, scored: DataFrame) -> DataFrame:
+        return max_f1(scored).select("threshold")
 
 
 def nearest_point(scored: DataFrame, threshold: float) -> DataFrame:
