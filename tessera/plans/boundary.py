@@ -5,12 +5,14 @@ The pre- and post-processing around a model call is column expressions; the call
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import time
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -71,6 +73,33 @@ def chunk_evaluator(prompts: DataFrame, classify: Classify, chunk_chars: int = 2
     return prompts.join(scores, "prompt_id").withColumn("pg_label", (F.col("pg_score") >= threshold).cast("int"))
 
 
+#: (output, target tool, attacker's tools, user's tool, attacker's instruction) to a verdict, for one answer.
+Judge = Callable[[str, str, list[str], str, str], dict]
+
+
+def tool_injection_evaluator(prompts: DataFrame, judge: Judge, answer: str = "generated") -> DataFrame:
+    """prompts with `injection`, the verdict on the answer as a JSON object, tool schemas that it echoes taken out first.
+
+    Null without an answer or attacker's tools, or where the judge raises an error. labels is the prompt's JSON object.
+    """
+    schema = "attacker_tools array<string>, user_tool string, attacker_instruction string"
+    of = F.from_json(F.coalesce("labels", F.lit("{}")), schema)
+
+    @F.pandas_udf("string")
+    def verdict(outputs: pd.Series, labels: pd.DataFrame) -> pd.Series:
+        def one(output: str | None, tools: list | None, user_tool: str | None, instruction: str | None) -> str | None:
+            if output is None or tools is None or not len(tools):
+                return None
+            try:
+                return json.dumps(judge(output, tools[0], list(tools), user_tool or "", instruction or ""))
+            except Exception:  # the judge is another's code: an error is no verdict
+                return None
+
+        return pd.Series([one(*each) for each in zip(outputs, labels["attacker_tools"], labels["user_tool"], labels["attacker_instruction"])], dtype=object)
+
+    return prompts.withColumn("injection", verdict(X.without_tools(F.col(answer)), of))
+
+
 def sparse_encode(vectors: DataFrame, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
     """(run_id, position, feature_idx, v): relu(x W + b), non-zero features only; weights d x features, shipped once to a worker."""
     shared = vectors.sparkSession.sparkContext.broadcast((weights, bias))
@@ -96,3 +125,55 @@ class TableInterpreter:
     def interpret(self, features: DataFrame) -> DataFrame:
         found = features.join(self.known, ["layer", "feature_idx"], "left")
         return found.select(*features.columns, F.element_at("explanations", 1).alias("description"), F.slice("activations", 1, 10).alias("activations"), F.when(F.col("explanations").isNotNull(), "table").alias("source"))
+
+
+class RemoteInterpreter:
+    """Descriptions fetched feature by feature from a service, kept in a table, at a bounded rate.
+
+    fetch(layer, feature_idx) returns explanations and activations, or None; each of `tasks` tasks calls it at most
+    per_second / tasks times a second. What the table has isn't fetched again, also that there is nothing.
+    """
+
+    SCHEMA = "layer int, feature_idx int, explanations array<string>, activations array<double>"
+
+    def __init__(self, fetch: Callable[[int, int], tuple[list[str], list[float]] | None], cache_path: str, per_second: float = 2.0, tasks: int = 1):
+        self.fetch, self.cache_path, self.per_second, self.tasks = fetch, cache_path, per_second, tasks
+
+    def interpret(self, features: DataFrame) -> DataFrame:
+        from ..sources.storage import exists
+
+        spark = features.sparkSession
+        wanted = features.select(F.col("layer").cast("int"), F.col("feature_idx").cast("int")).distinct()
+        if exists(spark, self.cache_path):
+            wanted = wanted.join(spark.read.schema(self.SCHEMA).parquet(self.cache_path), ["layer", "feature_idx"], "left_anti")
+        fetch, pause = self.fetch, self.tasks / self.per_second
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            due = 0.0
+            for frame in frames:
+                out = []
+                for layer, feature in zip(frame["layer"], frame["feature_idx"]):
+                    time.sleep(max(0.0, due - time.monotonic()))
+                    due = time.monotonic() + pause
+                    found = fetch(int(layer), int(feature))
+                    out.append((layer, feature, *(found or (None, None))))
+                yield pd.DataFrame(out, columns=["layer", "feature_idx", "explanations", "activations"])
+
+        wanted.repartition(self.tasks).mapInPandas(run, self.SCHEMA).write.mode("append").parquet(self.cache_path)
+        known = spark.read.schema(self.SCHEMA).parquet(self.cache_path).where("explanations IS NOT NULL")
+        return TableInterpreter(known).interpret(features)
+
+
+class ModelInterpreter:
+    """Descriptions by a language model, from the texts in which a feature is largest: contexts (layer, feature_idx, text, v)."""
+
+    def __init__(self, call: Call, contexts: DataFrame, examples: int = 5):
+        self.call, self.contexts, self.examples = call, contexts, examples
+
+    def interpret(self, features: DataFrame) -> DataFrame:
+        largest = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("v")).alias("by"), "text"))), 1, self.examples)
+        own = self.contexts.join(features.select("layer", "feature_idx").distinct(), ["layer", "feature_idx"])
+        ranked = own.withColumn("_k", F.row_number().over(Window.partitionBy("layer", "feature_idx").orderBy(F.desc("v"), "text"))).where(F.col("_k") <= self.examples)
+        asked = ranked.groupBy("layer", "feature_idx").agg(F.concat_ws("\n", F.lit("What do these texts share?"), F.transform(largest, lambda e: e["text"])).alias("question"))
+        answers = asked.withColumn("description", called(F.col("question"), self.call)).drop("question")
+        return features.join(answers, ["layer", "feature_idx"], "left").withColumn("source", F.when(F.col("description").isNotNull(), "model"))

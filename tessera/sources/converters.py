@@ -249,6 +249,11 @@ def shard(df: DataFrame, number: int, of: int) -> DataFrame:
     return df.where(F.pmod("idx", F.lit(of)) == number)
 
 
+def sharded(df: DataFrame, of: int) -> DataFrame:
+    """df with `shard`, the number of each row's shard."""
+    return df.withColumn("shard", F.pmod("idx", F.lit(of)))
+
+
 def shard_size(total: int, number: int, of: int) -> int:
     return total // of + (number < total % of)
 

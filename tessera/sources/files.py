@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..operators import registry as R
-from . import converters
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+from . import converters, storage
+from .storage import exists
 
 
 def read_cases(spark: SparkSession, root: str, kinds: list[str], setting: str) -> DataFrame | None:
@@ -39,6 +36,11 @@ def read_config(text: str) -> dict:
     return config
 
 
+def config_snapshot(*columns: str) -> Column:
+    """The given settings as one JSON object, in that order."""
+    return F.to_json(F.struct(*columns))
+
+
 def prompt_limit(command_line: int | None, dataset: int | None, everywhere: int | None) -> int:
     """The first limit given, by precedence; -1 is none."""
     return next((n for n in (command_line, dataset, everywhere) if n is not None), -1)
@@ -75,6 +77,48 @@ def from_map(column: str, kinds: dict[str, str]):
     return F.struct(*[F.col(column)[f].cast(kind).alias(f) for f, kind in kinds.items()])
 
 
+def graphs_to_json(graphs: DataFrame) -> DataFrame:
+    """(run_id, graph): each graph as one JSON object."""
+    return graphs.select("run_id", F.to_json(F.struct(*graphs.columns)).alias("graph"))
+
+
+def graphs_from_json(rows: DataFrame) -> DataFrame:
+    return rows.select(F.from_json("graph", S.GRAPHS).alias("g")).select("g.*")
+
+
+class RunData:
+    """One run of a store: its row at once, artifacts and arrays when asked for."""
+
+    def __init__(self, store: "Store", run_id: str):
+        self.store, self.run_id = store, run_id
+
+    @cached_property
+    def row(self) -> dict:
+        found = self.store.runs.where(F.col("run_id") == self.run_id).first()
+        if found is None:
+            raise LookupError(f"no run {self.run_id}")
+        return found.asDict()
+
+    @cached_property
+    def labels(self) -> dict:
+        return json.loads(self.row.get("prompt_labels") or "{}")
+
+    def path(self, kind: str) -> str:
+        return self.store.artifact(self.run_id, kind)
+
+    def vectors(self, layer: int, kind: str = "vectors") -> DataFrame:
+        """(position, vec) of a layer, from the table that the artifact names."""
+        spark = self.store.events.sparkSession
+        return storage.read_vectors(spark, self.path(kind), layer).where(F.col("run_id") == self.run_id).drop("run_id")
+
+    def graph(self, kind: str = "graph") -> dict:
+        spark = self.store.events.sparkSession
+        found = read_graphs(spark, self.path(kind)).where(F.col("run_id") == self.run_id).first()
+        if found is None:
+            raise LookupError(f"run {self.run_id} has no {kind}")
+        return found.asDict(recursive=True)
+
+
 class Store:
     """A store's tables of events and artifacts; its current runs are resolved once."""
 
@@ -85,6 +129,13 @@ class Store:
     def runs(self) -> DataFrame:
         return R.get_runs(R.current(self.events), **self.filters).cache()
 
+    def run(self, run_id: str) -> RunData:
+        return RunData(self, run_id)
+
+    def run_data(self) -> list[RunData]:
+        """An accessor for each of the store's runs; their ids come to the driver, no more."""
+        return [RunData(self, row["run_id"]) for row in self.runs.select("run_id").orderBy("run_id").toLocalIterator()]
+
     def artifact(self, run_id: str, kind: str) -> str:
         """The path of a run's artifact; LookupError where it has none."""
         row = R.latest_artifacts(self.artifacts.where((F.col("run_id") == run_id) & (F.col("kind") == kind))).first()

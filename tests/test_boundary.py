@@ -86,3 +86,144 @@ def test_models_are_saved(spark, tmp_path):
     xy = spark.createDataFrame([(i, [float(i % 2), 1.0], i % 2) for i in range(20)], "run_id long, x array<double>, y long")
     C.linear().fit(xy).save(f"{tmp_path}/m")
     assert len(PipelineModel.load(f"{tmp_path}/m").stages) == 2
+
+
+def test_inference_pipeline(spark):
+    from tessera.operators.checkpoints import top_indices
+    from tessera.plans import inference
+
+    def model(texts):
+        return [ValueError("no") if "bad" in t else {0: np.array([1.0, -1.0]), 1: np.array([float(len(t)), 2.0])} for t in texts]
+
+    rows = [(f"p{i}", t) for i, t in enumerate(["a", "abc", "bad", None, ""])]
+    prompts = spark.createDataFrame(rows, "prompt_id string, text string")
+    for position, expected in (("last", [3.0, 2.0]), ("mean", [2.0, 0.5]), ("max", [3.0, 2.0]), (0, [1.0, -1.0]), ([0, -1], [1.0, -1.0, 3.0, 2.0])):
+        x = {r["prompt_id"]: r["x"] for r in inference.extracted(prompts, model, inference.RawExtractor(position), chat=False).collect()}
+        assert x["p1"] == expected and x["p2"] is None and x["p3"] == x["p4"]
+    assert inference.extracted(prompts, model, inference.RawExtractor(5), chat=False).where("x IS NOT NULL").count() == 0
+
+    class First:
+        def scores(self, rows):
+            return rows.withColumn("score", F.col("x")[0])
+
+    sparse = inference.SparseExtractor(np.array([[1.0, -1.0, 0.5], [0.0, 0.0, -1.0]]), np.zeros(3))
+    found = inference.InferencePipeline(model, sparse, First(), 1.0, chat=False).classify(prompts)
+    by_id = {r["prompt_id"]: r for r in found.collect()}
+    assert by_id["p1"]["features"] == [3.0, 0.0, 0.0] and by_id["p1"]["is_malicious"] and by_id["p3"]["prediction"] == 0
+    assert by_id["p2"]["score"] is None and by_id["p2"]["prediction"] is None and len(by_id) == 5
+    weights = np.array([2.0, 1.0, -3.0])
+    for direction in ("positive", "negative", "abs"):
+        top = inference.top_influences(found.where("prompt_id = 'p1'"), weights, 2, direction).orderBy("rank").collect()
+        assert [r["feature_idx"] for r in top] == top_indices(weights * np.array([3.0, 0.0, 0.0]), 2, direction)
+    as_chat = inference.extracted(prompts, lambda texts: [{0: np.array([float("abc" in t and t != "abc")])} for t in texts], inference.RawExtractor())
+    assert {r["prompt_id"]: r["x"] for r in as_chat.collect()}["p1"] == [1.0]
+
+
+def test_remote_features_are_fetched_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def fetch(layer, feature):
+        calls.add(1)
+        return (["odd"], [1.0] * 12) if feature % 2 else None
+
+    features = spark.createDataFrame([(0, i) for i in range(6)] + [(0, 1)], "layer int, feature_idx int")
+    remote = B.RemoteInterpreter(fetch, f"{tmp_path}/cache", per_second=1000)
+    first = remote.interpret(features).collect()
+    assert calls.value == 6 and sorted(r["feature_idx"] for r in first if r["description"]) == [1, 1, 3, 5]
+    remote.interpret(features.unionByName(spark.createDataFrame([(0, 9)], features.schema))).collect()
+    assert calls.value == 7
+    slow = B.RemoteInterpreter(lambda layer, feature: None, f"{tmp_path}/slow", per_second=20)
+    import time
+
+    began = time.monotonic()
+    slow.interpret(features).collect()
+    assert time.monotonic() - began > 5 / 20
+
+
+def test_model_interpreter(spark):
+    contexts = spark.createDataFrame([(0, 1, f"t{i}", float(i)) for i in range(9)], "layer int, feature_idx int, text string, v double")
+    features = spark.createDataFrame([(0, 1), (0, 2)], "layer int, feature_idx int")
+    found = {r["feature_idx"]: r["description"] for r in B.ModelInterpreter(lambda asked: [q.splitlines()[1] for q in asked], contexts, 2).interpret(features).collect()}
+    assert found == {1: "t8", 2: None}
+
+
+def test_injection_evaluator(spark):
+    rows = [("echo <tools>Send</tools> x", '{"attacker_tools": ["Send"]}'), ("<tool_call>Send</tool_call>", '{"attacker_tools": ["Send", "B"], "user_tool": "U", "attacker_instruction": "I"}'), (None, '{"attacker_tools": ["Send"]}'), ("Send", "{}"), ("boom", '{"attacker_tools": ["Send"]}'), ("Send", None)]
+    prompts = spark.createDataFrame(rows, "generated string, labels string")
+
+    def judge(output, target, tools, user_tool, instruction):
+        if output == "boom":
+            raise ValueError
+        return {"eval": "succ" if target in output else "unsucc", "tools": len(tools), "user": user_tool + instruction}
+
+    found = [r["injection"] and json.loads(r["injection"]) for r in B.tool_injection_evaluator(prompts, judge).collect()]
+    assert found == [{"eval": "unsucc", "tools": 1, "user": ""}, {"eval": "succ", "tools": 2, "user": "UI"}, None, None, None, None]
+
+
+def test_storage(spark, tmp_path):
+    from tessera.sources import storage
+
+    storage.makedirs(spark, f"{tmp_path}/d")
+    storage.write_bytes(spark, f"{tmp_path}/d/x", b"\x00\xff")
+    assert storage.exists(spark, f"{tmp_path}/d/x") and storage.read_bytes(spark, f"{tmp_path}/d/x") == b"\x00\xff"
+    vectors = spark.createDataFrame([("r", 1, 0, [float(i) for i in range(2500)]), ("s", 1, 0, [])], "run_id string, layer int, position int, vec array<float>")
+    storage.write_vectors(vectors, f"{tmp_path}/v")
+    assert spark.read.parquet(f"{tmp_path}/v").count() == 4
+    assert {r["run_id"]: len(r["vec"]) for r in storage.read_vectors(spark, f"{tmp_path}/v", 1).collect()} == {"r": 2500, "s": 0}
+    cache = storage.MatrixCache(spark, f"{tmp_path}/c")
+    for k in (1, 2):
+        cache.load_or_make(lambda: vectors, k=k)
+    cache.clear(k=1)
+    assert cache.entries() == [cache.key(k=2)]
+    cache.clear()
+    assert cache.entries() == []
+    storage.write_incidence(spark.createDataFrame([("2024-01-02_00000001", 1), ("2024-01-02_00000002", 1)], "run_id string, v int"), f"{tmp_path}/i")
+    (tmp_path / "runs" / "2024-01-02_0000000a").mkdir(parents=True)
+    (tmp_path / "runs" / "2024-01-02_0000000a" / "f").write_bytes(b"abc")
+    assert tuple(storage.storage_statistics(spark, f"{tmp_path}/runs").first()) == (1, 3, 1)
+
+
+def test_analyzers(spark, tmp_path):
+    from tessera.plans import analyzers
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(k * 6, 1, (30, 3)) for k in (0, 1)])
+    rows = spark.createDataFrame([(i, v.tolist(), int(i >= 30), i % 2) for i, v in enumerate(x)], "run_id long, x array<double>, y long, dataset_id long")
+    out = analyzers.UnsupervisedAnalyzer(n_components=2, n_clusters=2).run(rows.select("run_id", "x"))
+    assert sorted(r["n"] for r in out["cluster_sizes"].collect()) == [30, 30] and out["silhouette"] > 0.6
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    share = np.linalg.svd(z, compute_uv=False) ** 2
+    assert np.allclose(out["explained_variance"], (share / share.sum())[:2]) and np.allclose(out["cumulative_variance"], np.cumsum(share / share.sum())[:2])
+    analyzers.UnsupervisedAnalyzer(2, n_clusters=2).save_results(out, f"{tmp_path}/u")
+    assert json.loads((tmp_path / "u" / "summary.json").read_text())["n_prompts"] == 60
+    pairs = analyzers.DirectionsAnalyzer(10).run_pairwise(rows, [0, 1])
+    assert set(pairs) == {(0, 1)} and pairs[0, 1]["histogram"].agg(F.sum("n")).first()[0] == 30
+    dense = analyzers.dense(spark.createDataFrame([(1, 0, 2.0), (1, 2, 1.0), (1, 2, 1.0)], "run_id long, i long, v double"), 4)
+    assert dense.first()["x"] == [2.0, 0.0, 2.0, 0.0]
+
+
+def test_command_line(spark, tmp_path):
+    from tessera import cli
+
+    (tmp_path / "config.yaml").write_text("num_prompts: -1\ndatasets:\n  advbench:\n    num_prompts: 2\n  enron: {}\n  dolly:\n    enabled: false\n")
+    spark.createDataFrame([(i, f"say {i}") for i in range(5)], "idx long, prompt string").write.parquet(f"{tmp_path}/advbench.parquet")
+    spark.createDataFrame([("mail",), ("mail",), ("other",)], "text string").write.parquet(f"{tmp_path}/enron.parquet")
+    common = [str(tmp_path / "config.yaml"), "--data", str(tmp_path), "--root", f"{tmp_path}/root"]
+    counted = lambda *more: {tuple(r) for r in cli.run(spark, [*more]).collect()}
+    assert {r[0]: r[1:] for r in counted("plan", *common)}["advbench"] == (2, 2)
+    assert ("advbench", "completed", 2) in counted("ingest", *common)
+    assert {r[0]: r[2] for r in counted("plan", *common)} == {"advbench": 0, "enron": 0}
+    assert ("advbench", "completed", 1) in counted("ingest", *common, "--shard", "0/2", "--dataset", "advbench", "--num-prompts", "1", "--force")
+    assert counted("statistics", "--root", f"{tmp_path}/root").pop()[0] > 0
+    with pytest.raises(ValueError):
+        cli.run(spark, ["plan", *common, "--dataset", "none"])
+
+
+def test_labels_only(spark, tmp_path):
+    from tessera.plans import ingest, orchestrate
+
+    rows = spark.createDataFrame([("p1", "d", None, "{}", None, "x"), ("p2", "d", None, "{}", None, "yy")], __import__("tessera.schema", fromlist=["PROMPTS"]).PROMPTS)
+    pipeline = orchestrate.LabelsOnlyIngestionPipeline(spark, str(tmp_path), lambda texts: [{"n": len(t)} for t in texts], ingest.Settings("toy"))
+    assert pipeline.run(rows).first()["n"] == 2 and pipeline.run(rows).count() == 0
+    labels = {r["prompt_id"]: json.loads(r["labels"]) for r in spark.read.parquet(f"{tmp_path}/labels").collect()}
+    assert {k: int(v["n"]) for k, v in labels.items()} == {"p1": 1, "p2": 2}
