@@ -25,6 +25,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> tuple[dict, dict]:
-    from . import classification, corpora, matrices, modelling, runs, texts  # noqa: F401  each registers its queries
+    from . import classification, corpora, matrices, modelling, roundtrips, runs, texts  # noqa: F401  each registers its queries
 
     return QUERIES, ORACLE_SQL

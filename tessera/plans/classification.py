@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import classify as C
 from ..operators import metrics as M
 from ..operators import stats as S
+from ..operators.prototypes import Prototypes
 from ..sources import views as V
+from . import inference
 from .catalog import query
 
 S_ = f"WITH {V.SCORES}, c AS (SELECT score, sum(y)::BIGINT AS p, count(*) - sum(y)::BIGINT AS q FROM scores GROUP BY score), r AS (SELECT score, p, q, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER () AS np, sum(q) OVER () AS nn FROM c WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)), pr AS (SELECT score, tp / (tp + fp) AS precision, tp / np AS recall FROM r)"
@@ -83,15 +86,8 @@ def pure_datasets(spark, d):
     return M.pure_datasets(V.xy(spark, d).select(F.col("label").alias("dataset_id"), "y"))
 
 
-@query("AG28_pivot", f"WITH {V.RUNS} SELECT dataset_id, max(n_chars) FILTER (lang = 'en') AS en, max(n_chars) FILTER (lang = 'fr') AS fr, max(n_chars) FILTER (lang = 'de') AS de FROM runs GROUP BY dataset_id UNION ALL SELECT 'total', max(n_chars) FILTER (lang = 'en'), max(n_chars) FILTER (lang = 'fr'), max(n_chars) FILTER (lang = 'de') FROM runs")
+@query("AG28_pivot", f"WITH {V.RUNS} SELECT dataset_id, max(n_chars) FILTER (lang = 'de') AS de, max(n_chars) FILTER (lang = 'en') AS en, max(n_chars) FILTER (lang = 'es') AS es, max(n_chars) FILTER (lang = 'fr') AS fr FROM runs GROUP BY dataset_id UNION ALL SELECT 'total', max(n_chars) FILTER (lang = 'de'), max(n_chars) FILTER (lang = 'en'), max(n_chars) FILTER (lang = 'es'), max(n_chars) FILTER (lang = 'fr') FROM runs")
 def pivot(spark, d):
-    r = V.runs(spark, d)
-    table = M.pivoted(r, "dataset_id", "lang", ["en", "fr", "de"], "n_chars")
-    return table.unionByName(table.agg(*[F.max(c).alias(c) for c in ("en", "fr", "de")]).withColumn("dataset_id", F.lit("total")))
-
-
-@query("AG28_pivot_all", f"WITH {V.RUNS} SELECT dataset_id, max(n_chars) FILTER (lang = 'de') AS de, max(n_chars) FILTER (lang = 'en') AS en, max(n_chars) FILTER (lang = 'es') AS es, max(n_chars) FILTER (lang = 'fr') AS fr FROM runs GROUP BY dataset_id UNION ALL SELECT 'total', max(n_chars) FILTER (lang = 'de'), max(n_chars) FILTER (lang = 'en'), max(n_chars) FILTER (lang = 'es'), max(n_chars) FILTER (lang = 'fr') FROM runs")
-def pivot_all(spark, d):
     """A column for each language that occurs; the SQL names those of the given tables."""
     table = M.pivoted(V.runs(spark, d), "dataset_id", "lang", None, "n_chars")
     return table.unionByName(table.agg(*[F.max(c).alias(c) for c in table.columns if c != "dataset_id"]).withColumn("dataset_id", F.lit("total")))
@@ -133,17 +129,56 @@ def quadrants(spark, d):
     return M.quadrants(M.firing_rates(*_on(spark, d)), M.retention(*_coefficients(spark, d))).groupBy("quadrant").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("TK5_JN10_influence", f"WITH {V.XY}, {V.XYC}, cf AS (SELECT i, avg(v) FILTER (y = 1) - avg(v) FILTER (y = 0) AS coef FROM xyc GROUP BY i), c AS (SELECT run_id, i, round(v * coef, 9) AS influence FROM xyc JOIN cf USING (i)) SELECT run_id, i, round(influence, 6) AS influence FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY abs(influence) DESC, i) AS k FROM c) WHERE k <= 3")
-def influence(spark, d):
-    coef = _coefficients(spark, d)[0]  # a row for each dimension
-    c = S.long_form(V.xy(spark, d), "run_id").withColumn("i", F.col("i").cast("long")).join(F.broadcast(coef), "i").select("run_id", "i", F.round(F.col("v") * F.col("coef"), 9).alias("influence"))
-    return rounded(M.top_per_key(c, ["run_id"], [F.desc(F.abs("influence")), F.asc("i")], 3), "influence")
+INFLUENCE = f"WITH {V.XY}, {V.XYC}, cf AS (SELECT i, avg(v) FILTER (y = 1) - avg(v) FILTER (y = 0) AS coef FROM xyc GROUP BY i), c AS (SELECT run_id, i, round(v * coef, 9) AS influence FROM xyc JOIN cf USING (i))"
+#: An order of weights for each direction, as SQL.
+ORDER = {"positive": "{} DESC", "negative": "{}", "abs": "abs({}) DESC"}
+
+for _direction, _order in ORDER.items():
+
+    @query(f"TK5_JN10_influence_{_direction}", INFLUENCE + f" SELECT run_id, i, round(influence, 6) AS influence FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY {_order.format('influence')}, i) AS k FROM c) WHERE k <= 3")
+    def influence(spark, d, direction=_direction):
+        coef = _coefficients(spark, d)[0]  # a row for each dimension
+        cells = S.long_form(V.xy(spark, d), "run_id").withColumn("i", F.col("i").cast("long")).join(F.broadcast(coef), "i")
+        c = cells.select("run_id", F.col("i").alias("feature_idx"), F.round(F.col("v") * F.col("coef"), 9).alias("contribution"))
+        return inference.ranked_influences(c, "run_id", 3, direction).select("run_id", F.col("feature_idx").alias("i"), F.round("contribution", 6).alias("influence"))
+
+    @query(f"TK6_top_coefficients_{_direction}", f"WITH {V.XY}, {V.XYC}, cf AS (SELECT i, avg(v) FILTER (y = 1) - avg(v) FILTER (y = 0) AS coef FROM xyc GROUP BY i) SELECT i, round(coef, 6) AS coef FROM cf ORDER BY {_order.format('cf.coef')}, i LIMIT 10")
+    def top_coefficients(spark, d, direction=_direction):
+        model = Prototypes("euclidean").fit(V.xy(spark, d))
+        rows = [(i, float(model.means[1][i] - model.means[0][i])) for i in model.top_features(10, direction)]
+        return rounded(spark.createDataFrame(rows, "i long, coef double"), "coef")
+
+
+@query("TK6_top_coefficients_both", f"WITH {V.XY}, {V.XYC}, cf AS (SELECT i, avg(v) FILTER (y = 1) - avg(v) FILTER (y = 0) AS coef FROM xyc GROUP BY i) SELECT * FROM (SELECT i, 'first' AS part FROM cf ORDER BY coef DESC, i LIMIT 5) UNION ALL SELECT * FROM (SELECT i, 'second' AS part FROM cf ORDER BY coef, i LIMIT 5)")
+def top_coefficients_both(spark, d):
+    found = Prototypes("euclidean").fit(V.xy(spark, d)).top_features(5, "both")
+    return spark.createDataFrame([(i, "first" if at < 5 else "second") for at, i in enumerate(found)], "i long, part string")
+
+
+def _fitted(spark, d):
+    """Coefficients of a linear model, and of one for each dataset held out."""
+    return C.lodo_coefficients(C.linear(), V.xy(spark, d))
+
+
+@query("AG18_retention_fitted")
+def retention_fitted(spark, d):
+    return rounded(M.retention(*_fitted(spark, d)), "retention")
+
+
+@query("AG19_quadrants_fitted")
+def quadrants_fitted(spark, d):
+    return M.quadrants(M.firing_rates(*_on(spark, d)), M.retention(*_fitted(spark, d))).groupBy("quadrant").agg(F.count(F.lit(1)).alias("n"))
+
 
+for _name, _strategy, _sql in (
+    ("constant", M.Constant(0.25), "SELECT 0.25::DOUBLE AS threshold"),
+    ("target_precision", M.TargetPrecision(0.9), f"WITH {V.SCORES} SELECT round(quantile_cont(score, 0.9), 6) AS threshold FROM scores WHERE y = 0"),
+    ("max_f1", M.MaxF1(), S_ + " SELECT score AS threshold FROM pr ORDER BY round(2 * precision * recall / (precision + recall + 1e-10), 12) DESC, score LIMIT 1"),
+):
 
-@query("TK6_top_coefficients", f"WITH {V.XY}, {V.XYC}, cf AS (SELECT i, round(avg(v) FILTER (y = 1) - avg(v) FILTER (y = 0), 9) AS coef FROM xyc GROUP BY i) SELECT i, round(coef, 6) AS coef FROM cf ORDER BY cf.coef DESC, i LIMIT 10")
-def top_coefficients(spark, d):
-    c = _coefficients(spark, d)[0].withColumn("coef", F.round("coef", 9))
-    return rounded(c.orderBy(F.desc("coef"), "i").limit(10), "coef")
+    @query(f"UX4_threshold_{_name}", _sql)
+    def threshold(spark, d, strategy=_strategy):
+        return rounded(strategy.select(V.scores(spark, d)), "threshold")
 
 
 @query("SO3_feature_sets", XO + ", a AS (SELECT DISTINCT i FROM oncell WHERE dataset_id = 0 AND y = 1), b AS (SELECT DISTINCT i FROM oncell WHERE dataset_id = 1 AND y = 1) SELECT 'both' AS what, count(*) AS n FROM (SELECT i FROM a INTERSECT SELECT i FROM b) UNION ALL SELECT 'first', count(*) FROM (SELECT i FROM a EXCEPT SELECT i FROM b)")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import matrix as M
 from ..sources import converters as K
+from ..sources import files, hub
 from ..sources import views as V
+from . import boundary
 from .catalog import query
 
 
@@ -78,15 +81,8 @@ def injecagent(spark, d):
     return p.select("prompt_id", F.md5("tools").alias("tools"), F.md5(F.col("messages")[2]["content"]).alias("call"))
 
 
-@query("SRC9_JN12_injected", "SELECT d.doc_id AS idx, b.item_id AS attack, p.position, CAST(length(d.text) + 1 + length(b.text) AS BIGINT) AS n FROM (SELECT min(doc_id) AS doc_id, any_value(text) AS text FROM documents GROUP BY source) x JOIN documents d USING (doc_id), benchmark b, (SELECT unnest(['start', 'middle', 'end']) AS position) p")
+@query("SRC9_JN12_injected", "SELECT c.idx, b.item_id AS attack, p.position, CAST(length(c.context) + 1 + length(b.text) AS BIGINT) AS n FROM (SELECT text AS context, min(doc_id) AS idx FROM documents GROUP BY text) c, benchmark b, (SELECT unnest(['start', 'middle', 'end']) AS position) p")
 def injected(spark, d):
-    contexts = V.table(spark, d, "documents").groupBy("source").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("s")).select(F.col("s.doc_id").alias("idx"), F.col("s.text").alias("context"))
-    attacks = V.table(spark, d, "benchmark").select(F.col("item_id").alias("attack"), F.col("text").alias("attack_str"))
-    return K.injected(contexts, attacks).select("idx", "attack", "position", F.length("user_prompt").cast("long").alias("n"))
-
-
-@query("SRC9_JN12_injected_all", "SELECT c.idx, b.item_id AS attack, p.position, CAST(length(c.context) + 1 + length(b.text) AS BIGINT) AS n FROM (SELECT text AS context, min(doc_id) AS idx FROM documents GROUP BY text) c, benchmark b, (SELECT unnest(['start', 'middle', 'end']) AS position) p")
-def injected_all(spark, d):
     """Every distinct text is a context."""
     contexts = K.first_of_context(source(spark, d, context="text")).select("idx", "context")
     attacks = V.table(spark, d, "benchmark").select(F.col("item_id").alias("attack"), F.col("text").alias("attack_str"))
@@ -102,9 +98,7 @@ def scan_filter_convert(spark, d):
 
 @query("SRC3_default_names", "SELECT DISTINCT 'x_' || source || '_' || lang AS name FROM documents")
 def default_names(spark, d):
-    repo = F.concat(F.lit("org/x-"), "source")
-    name = F.concat_ws("_", F.regexp_replace(F.element_at(F.split(repo, "/"), -1), "-", "_"), "lang")
-    return V.table(spark, d, "documents").select(name.alias("name")).distinct()
+    return V.table(spark, d, "documents").select(hub.default_name(F.concat(F.lit("org/x-"), "source"), F.col("lang")).alias("name")).distinct()
 
 
 @query("SRC5_SO2_union_tables", "SELECT 'd' AS kind, doc_id AS id, lang FROM documents UNION ALL SELECT 'b', item_id, NULL FROM benchmark")
@@ -120,16 +114,20 @@ def subsets(spark, d):
     return K.numbered(K.union_all(parts), "subset", "doc_id").select("subset", "idx", "doc_id")
 
 
-@query("SRC2_SRC23_hub_scan", "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
+@query("SRC2_SRC23_hub_scan", "SELECT idx, doc_id, lang FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, doc_id, lang FROM documents)")
 def hub_scan(spark, d):
-    return V.table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    return hub.HubTable(spark, d, "org/documents", layout="{root}/{name}.parquet").rows("doc_id").select("idx", "doc_id", "lang")
 
 
 @query("PRJ1_shards", "SELECT doc_id % 7 AS shard, count(*) AS n FROM documents GROUP BY 1")
 def shards(spark, d):
-    s = source(spark, d)
-    parts = [K.shard(s, k, 7).select(F.lit(k).cast("long").alias("shard")) for k in range(7)]
-    return K.union_all(parts).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    return K.sharded(source(spark, d), 7).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("PRJ1_one_shard", "SELECT doc_id AS idx FROM documents WHERE doc_id % 7 = 3")
+def one_shard(spark, d):
+    """The third shard of seven: the operator's feature."""
+    return K.shard(source(spark, d), 3, 7).select("idx")
 
 
 @query("PRJ4_first_prompts", "SELECT doc_id AS idx FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 100")
@@ -139,7 +137,7 @@ def first_prompts(spark, d):
 
 @query("PRJ8_config_snapshot", "SELECT doc_id, '{\"source\":\"' || source || '\",\"lang\":\"' || lang || '\",\"n_chars\":' || CAST(n_chars AS VARCHAR) || '}' AS config FROM documents")
 def config_snapshot(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", F.to_json(F.struct("source", "lang", "n_chars")).alias("config"))
+    return V.table(spark, d, "documents").select("doc_id", files.config_snapshot("source", "lang", "n_chars").alias("config"))
 
 
 @query("SO4_layer_union", f"WITH {V.INCIDENCE} SELECT run_id, array_to_string(list_sort(list_distinct(list(layer))), ',') AS layers FROM incidence GROUP BY run_id")
@@ -147,11 +145,11 @@ def layer_union(spark, d):
     return V.incidence(spark, d).groupBy("run_id").agg(F.array_join(F.array_sort(F.array_union(F.collect_set("layer"), F.array().cast("array<bigint>"))), ",").alias("layers"))
 
 
-@query("JN9_JN13_interpretations", f"WITH {V.INCIDENCE} SELECT layer, feature_idx, count(*) AS n, CASE WHEN feature_idx % 2 = 0 THEN 'even' END AS description FROM incidence GROUP BY layer, feature_idx")
+@query("JN9_JN13_interpretations", f"WITH {V.INCIDENCE} SELECT layer, feature_idx, count(*) AS n, CASE WHEN feature_idx % 2 = 0 THEN 'even' END AS description, CASE WHEN feature_idx % 2 = 0 THEN 10 END AS n_activations FROM incidence GROUP BY layer, feature_idx")
 def interpretations(spark, d):
     features = V.incidence(spark, d).groupBy("layer", "feature_idx").agg(F.count(F.lit(1)).alias("n"))
-    known = features.where("feature_idx % 2 = 0").select("layer", "feature_idx", F.array(F.lit("even"), F.lit("more")).alias("explanations"))
-    return features.join(known, ["layer", "feature_idx"], "left").select("layer", "feature_idx", "n", F.element_at("explanations", 1).alias("description"))
+    known = features.where("feature_idx % 2 = 0").select("layer", "feature_idx", F.array(F.lit("even"), F.lit("more")).alias("explanations"), F.array_repeat(F.lit(0.5), 12).alias("activations"))
+    return boundary.TableInterpreter(known).interpret(features).select("layer", "feature_idx", "n", "description", F.size("activations").alias("n_activations"))
 
 
 @query("AG25_logit_attribution", f"WITH {V.INCIDENCE} SELECT layer, feature_idx, round(sum(v * (label + 1) / 10), 6) AS attribution FROM incidence GROUP BY layer, feature_idx")
@@ -161,10 +159,12 @@ def logit_attribution(spark, d):
     return i.join(F.broadcast(probabilities), "label").groupBy("layer", "feature_idx").agg(F.round(F.sum(F.col("v") * F.col("p")), 6).alias("attribution"))
 
 
-@query("JN3_two_joins", f"WITH {V.RUNS}, {V.INCIDENCE} SELECT i.run_id, count(*) AS n FROM incidence i JOIN runs r ON r.run_id = i.run_id WHERE i.feature_idx < 4 AND r.lang = 'en' GROUP BY i.run_id")
+@query("JN3_two_joins", f"WITH {V.RUNS}, {V.INCIDENCE}, t AS (SELECT layer, feature_idx FROM (SELECT layer, feature_idx, count(DISTINCT run_id) AS n FROM incidence GROUP BY layer, feature_idx) ORDER BY n DESC, layer, feature_idx LIMIT 20) SELECT i.run_id, count(*) AS n FROM incidence i JOIN runs r ON r.run_id = i.run_id JOIN t ON t.layer = i.layer AND t.feature_idx = i.feature_idx WHERE r.lang = 'en' GROUP BY i.run_id")
 def two_joins(spark, d):
+    i = V.incidence(spark, d)
     runs = V.runs(spark, d).where("lang = 'en'").select("run_id")
-    return V.incidence(spark, d).where("feature_idx < 4").join(runs, "run_id").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    top = M.top_features(M.feature_frequency(i), 20).select(*M.KEY)
+    return i.join(runs, "run_id").join(F.broadcast(top), M.KEY).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("PRJ6_capture_slice", f"WITH {V.INCIDENCE} SELECT run_id, layer, count(*) AS n FROM incidence WHERE layer IN (1, 3) AND feature_idx IN (0, 15) GROUP BY run_id, layer")

@@ -6,9 +6,14 @@ from pyspark.sql import functions as F
 
 from ..operators import classify as C
 from ..operators import metrics as M
+from ..operators import stats as S
 from ..operators import unsupervised as U
+from ..operators.adversarial import Adversarial
+from ..operators.checkpoints import coefficient_rows
+from ..operators.prototypes import COVARIANCES, Prototypes
 from ..sources import views as V
 from ..sources.storage import stored
+from .analyzers import UnsupervisedAnalyzer
 from .catalog import query
 
 X_ = f"WITH {V.XY}, {V.XYC}"
@@ -25,21 +30,21 @@ for _scoring, _sql in (("ratio", "s / (s + u + 1e-10)"), ("softmax", "1 / (1 + e
     @query(f"ML20_prototypes_euclidean_{_scoring}", f"{X_}{MEAN}{DIST} SELECT run_id, y, round({_sql}, 6) AS score FROM ds")
     def euclidean(spark, d, scoring=_scoring):
         x = V.xy(spark, d)
-        return scored(C.Prototypes("euclidean", scoring=scoring).fit(x).scores(x))
+        return scored(Prototypes("euclidean", scoring=scoring).fit(x).scores(x))
 
 
 @query("ML20_prototypes_cosine", f"{X_}{MEAN}{DIST} SELECT run_id, y, round((1 - c0) / (1 - c0 + 1 - c1 + 1e-10), 6) AS score FROM ds")
 def cosine(spark, d):
     x = V.xy(spark, d)
-    return scored(C.Prototypes("cosine").fit(x).scores(x))
+    return scored(Prototypes("cosine", scoring="ratio").fit(x).scores(x))
 
 
-for _covariance in C.COVARIANCES:
+for _covariance in COVARIANCES:
 
     @query(f"ML20_prototypes_mahalanobis_{_covariance}")
     def mahalanobis(spark, d, covariance=_covariance):
         x = V.xy(spark, d)
-        return scored(C.Prototypes("mahalanobis", covariance).fit(x).scores(x))
+        return scored(Prototypes("mahalanobis", covariance).fit(x).scores(x))
 
 
 LODO = X_ + ", t AS (SELECT DISTINCT dataset_id AS held FROM xy), mu AS (SELECT held, i, avg(v) FILTER (y = 0) AS m0, avg(v) FILTER (y = 1) AS m1 FROM xyc, t WHERE dataset_id <> held GROUP BY held, i), ds AS (SELECT run_id, any_value(y) AS y, any_value(dataset_id) AS dataset_id, sqrt(sum(pow(v - m0, 2))) AS s, sqrt(sum(pow(v - m1, 2))) AS u FROM xyc JOIN mu ON mu.i = xyc.i AND held = dataset_id GROUP BY run_id), sc AS (SELECT run_id, y, dataset_id, round(s / (s + u + 1e-10), 6) AS score FROM ds)"
@@ -47,12 +52,12 @@ LODO = X_ + ", t AS (SELECT DISTINCT dataset_id AS held FROM xy), mu AS (SELECT
 
 @query("ML25_lodo_scores", LODO + " SELECT run_id, dataset_id, y, score FROM sc")
 def lodo(spark, d):
-    return C.lodo_scores(C.Prototypes("euclidean"), V.xy(spark, d)).select("run_id", "dataset_id", "y", F.round("score", 6).alias("score"))
+    return C.lodo_scores(Prototypes("euclidean", scoring="ratio"), V.xy(spark, d)).select("run_id", "dataset_id", "y", F.round("score", 6).alias("score"))
 
 
 @query("ML25_ML24_lodo_metrics", LODO + ", k AS (SELECT dataset_id, count(*) FILTER (y = 1 AND score >= 0.5) AS tp, count(*) FILTER (y = 0 AND score >= 0.5) AS fp, count(*) FILTER (y = 0 AND score < 0.5) AS tn, count(*) FILTER (y = 1 AND score < 0.5) AS fn FROM sc GROUP BY dataset_id) SELECT dataset_id, tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn), 6) AS accuracy, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM k")
 def lodo_metrics(spark, d):
-    s = C.lodo_scores(C.Prototypes("euclidean"), V.xy(spark, d)).withColumn("score", F.round("score", 6))
+    s = C.lodo_scores(Prototypes("euclidean", scoring="ratio"), V.xy(spark, d)).withColumn("score", F.round("score", 6))
     m = M.confusion(M.predicted(s, 0.5), "dataset_id")
     return m.select("dataset_id", "tp", "fp", "tn", "fn", F.round("accuracy", 6).alias("accuracy"), F.round("f1", 6).alias("f1"))
 
@@ -67,9 +72,12 @@ def stratified(spark, d):
     return C.stratified_split(V.xy(spark, d), 0.2).select("run_id", "part")
 
 
-@query("ML26_out_of_fold")
+OUT = X_ + ", f AS (SELECT *, CAST('0x' || substr(md5(CAST(run_id AS VARCHAR) || '|42'), 1, 8) AS BIGINT) % 5 AS fold FROM xyc), t AS (SELECT DISTINCT fold AS held FROM f), mu AS (SELECT held, i, avg(v) FILTER (y = 0) AS m0, avg(v) FILTER (y = 1) AS m1 FROM f, t WHERE fold <> held GROUP BY held, i), ds AS (SELECT run_id, any_value(y) AS y, sqrt(sum(pow(v - m0, 2))) AS s, sqrt(sum(pow(v - m1, 2))) AS u FROM f JOIN mu ON mu.i = f.i AND held = fold GROUP BY run_id)"
+
+
+@query("ML26_out_of_fold", OUT + " SELECT run_id, y, round(s / (s + u + 1e-10), 6) AS score FROM ds")
 def out_of_fold(spark, d):
-    return scored(C.out_of_fold(C.Prototypes("euclidean"), V.xy(spark, d)))
+    return scored(C.out_of_fold(Prototypes("euclidean", scoring="ratio"), V.xy(spark, d)))
 
 
 @query("ML16_linear")
@@ -78,6 +86,18 @@ def linear(spark, d):
     return scored(C.linear().fit(x).scores(x))
 
 
+@query("ML16_linear_optimum", "SELECT CAST(i AS BIGINT) AS i, 0.0::DOUBLE AS gradient FROM (SELECT unnest(range(max(len(embedding)))) AS i FROM embeddings)")
+def linear_optimum(spark, d):
+    """The gradient of the penalised loss at the fitted coefficients: none at the optimum, to three places."""
+    x = V.xy(spark, d)
+    model = C.linear().fit(x)
+    rows = C.balanced(model.scores(x).withColumn("x", S.l2_normalized(F.col("x"), 0.0)))
+    total, n = rows.agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).first()
+    by_dim = S.long_form(rows.withColumn("g", F.col("w") * (F.col("score") - F.col("y"))), "g").groupBy("i").agg((F.sum(F.col("g") * F.col("v")) / total).alias("slope"))
+    both = by_dim.join(F.broadcast(coefficient_rows(spark, model.weights())), "i")
+    return both.select(F.col("i").cast("long").alias("i"), F.round(F.abs(F.col("slope") + F.col("coef") / n), 3).alias("gradient"))
+
+
 @query("ML17_linear_sgd")
 def linear_sgd(spark, d):
     x = V.xy(spark, d)
@@ -99,7 +119,7 @@ def neural(spark, d):
 @query("ML19_adversarial")
 def adversarial(spark, d):
     x = V.xy(spark, d)
-    return scored(C.Adversarial().fit(x).scores(x))
+    return scored(Adversarial(domain_weight=0.1).fit(x).scores(x))
 
 
 @query("ML7_AG22_pca_moments")
@@ -108,6 +128,28 @@ def pca(spark, d):
     return z.groupBy("dataset_id").agg(*[F.round(f(F.col("z")[k]), 6).alias(f"{n}{k}") for k in (0, 1) for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))])
 
 
+@query("ML7_total_variance", f"{X_}, t AS (SELECT i, var_pop(v) AS s FROM xyc GROUP BY i) SELECT round(sum(s), 6) AS total FROM t")
+def total_variance(spark, d):
+    """All components together have the variance of all dimensions."""
+    x = V.xy(spark, d)
+    z, _ = U.pca(x, x.agg(F.max(F.size("x"))).first()[0])
+    return S.long_form(z.select(F.col("z").alias("x"))).groupBy("i").agg(F.var_pop("v").alias("s")).agg(F.round(F.sum("s"), 6).alias("total"))
+
+
+@query("WN8_cumulative_variance")
+def cumulative_variance(spark, d):
+    """(component, explained, cumulative): shares of the variance, the first components first."""
+    _, explained = U.pca(V.xy(spark, d), 10)
+    rows = zip(range(1, 11), explained, U.cumulative(explained))
+    return spark.createDataFrame([(at, round(one, 6), round(so_far, 6)) for at, one, so_far in rows], "component int, explained double, cumulative double")
+
+
+@query("ML12_unsupervised")
+def unsupervised(spark, d):
+    out = UnsupervisedAnalyzer(n_components=8, n_clusters=4).run(V.xy(spark, d).select("run_id", "x"))
+    return out["cluster_sizes"].withColumn("silhouette", F.lit(round(out["silhouette"], 6)))
+
+
 @query("ML9_ML12_kmeans")
 def kmeans(spark, d):
     return U.kmeans(V.xy(spark, d), 5).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))

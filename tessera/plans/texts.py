@@ -154,16 +154,8 @@ def softmax_top_k(spark, d):
     return top(e, "q", "t", "x", 5).withColumn("p", F.round("p", 6))
 
 
-@query("TK8_top_attended", "SELECT q, t FROM (SELECT user_id AS q, event_id AS t, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events WHERE event_type <> 'error' AND event_id < 5000) WHERE k <= 3")
+@query("TK8_top_attended", "WITH l AS (SELECT user_id, max(event_id) AS last_id FROM events GROUP BY user_id) SELECT q, t FROM (SELECT user_id AS q, event_id AS t, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events JOIN l USING (user_id) WHERE event_type <> 'error' AND event_id < last_id) WHERE k <= 3")
 def top_attended(spark, d):
-    from ..operators.metrics import top_per_key
-
-    e = V.table(spark, d, "events").where("event_type <> 'error' AND event_id < 5000").select(F.col("user_id").alias("q"), F.col("event_id").alias("t"), "value")
-    return top_per_key(e, ["q"], [F.desc("value"), F.asc("t")], 3).select("q", "t")
-
-
-@query("TK8_top_attended_before", "WITH l AS (SELECT user_id, max(event_id) AS last_id FROM events GROUP BY user_id) SELECT q, t FROM (SELECT user_id AS q, event_id AS t, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events JOIN l USING (user_id) WHERE event_type <> 'error' AND event_id < last_id) WHERE k <= 3")
-def top_attended_before(spark, d):
     """The query position of a user is its last event."""
     from ..operators.metrics import top_before
 
