@@ -6,7 +6,8 @@ Archives are gzip files that Spark's text source writes and reads with the recor
 in any store that Spark reaches; a file is read front to back by one task, one record in memory at a time.
 
 Reading groups segments by origin id, orders them by number, verifies the total length and the digests, and decodes the
-chunked framing; anything wrong raises ValueError.
+chunked framing; anything wrong raises ValueError. Blank lines before a record are passed over: where a file's last block
+ends in a line break, the text source finds the separator early and leaves one.
 
 A null html is an empty payload, a null url has no target header, a null page_id is archived and comes back null.
 Repeated rows of a page are as many records, all responses or all revisits. An empty table gives an empty archive.
@@ -16,6 +17,7 @@ Columns other than the named ones are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, slices
+from .common import map_rows, slices, stored
 
 SEPARATOR = b"\r\n\r\n"
 VERSION = b"WARC/1.1"
@@ -93,19 +95,20 @@ def records_of(page_id: int | None, url: str | None, payload: bytes, digest: str
     return out
 
 
-def write_archive(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, revisit_least: int = REVISIT_LEAST) -> None:
+def write_archive(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, revisit_least: int = REVISIT_LEAST, file_records: int = FILE_RECORDS) -> None:
     """Writes pages (page_id, url, html) to gzip archives below path."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     copied = rows.where(F.octet_length("payload") >= revisit_least).groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     another = F.when(~F.col("first_page").eqNullSafe(F.col("page_id")), F.col("first_page"))
-    linked = rows.join(copied, "digest", "left").select("page_id", "url", "payload", "digest", another.alias("first_page"))
+    # stored, so that Spark can split the rows of a frequent digest
+    linked = rows.join(stored(copied, "copied"), "digest", "left").select("page_id", "url", "payload", "digest", another.alias("first_page"))
 
     def kernel(batch: pa.RecordBatch) -> dict:
         return {"record": [record for row in zip(*(column.to_pylist() for column in batch.columns)) for record in records_of(*row, segment_bytes)]}
 
     # the cast keeps bytes as they are, also where a segment ends within a character
-    map_rows(linked, "record binary", kernel).select(F.col("record").cast("string")).write.option("lineSep", SEPARATOR.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    map_rows(linked, "record binary", kernel).select(F.col("record").cast("string")).write.option("lineSep", SEPARATOR.decode()).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
 def parse_stream(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -114,7 +117,11 @@ def parse_stream(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byte
     need = 0
     for piece in pieces:
         buffer += piece
-        while len(buffer) >= max(need, 1):
+        while True:
+            while not need and buffer[:1] in (b"\r", b"\n"):
+                del buffer[0]
+            if len(buffer) < max(need, 1):
+                break
             end = buffer.find(SEPARATOR)
             if end < 0:
                 break
@@ -132,7 +139,7 @@ def parse_stream(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byte
             del buffer[:need]
             need = 0
             yield fields, block
-    if buffer:
+    if need or buffer:
         raise ValueError("the last record is cut off")
 
 
@@ -183,38 +190,41 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
 
     records = lines.mapInArrow(parse, _RAW).repartition("origin_id").sortWithinPartitions("origin_id", "segment")
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         group: list[dict] = []
         for batch in slices(batches, 64):
-            out = []
             for row in batch.to_pylist():
                 if group and row["origin_id"] != group[0]["origin_id"]:
-                    out += _assembled(group, payloads)
+                    yield from _assembled(group, payloads)
                     group = []
-                if row["segment"]:
-                    group.append(row)
+                if not row["segment"]:
+                    yield row["record_id"], row["record_type"], row["page_id"], row["refers_id"], row["payload_bytes"], row["digest"], row["payload"]
+                elif group and group[-1]["segment"] == row["segment"] and group[-1]["block"] == row["block"]:
+                    group[-1]["copies"] += 1  # of a page that was archived again
                 else:
-                    out.append((row["record_id"], row["record_type"], row["page_id"], row["refers_id"], row["payload_bytes"], row["digest"], row["payload"]))
-            if out:
-                yield _batch(out, _READ_ARROW)
+                    group.append({**row, "copies": 1})
         if group:
-            yield _batch(_assembled(group, payloads), _READ_ARROW)
+            yield from _assembled(group, payloads)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = join(batches)
+        while some := list(itertools.islice(rows, 64)):
+            yield _batch(some, _READ_ARROW)
 
-    return records.mapInArrow(join, _READ)
+    return records.mapInArrow(gathered, _READ)
 
 
-def _assembled(segments: list[dict], payloads: bool) -> list[tuple]:
+def _assembled(segments: list[dict], payloads: bool) -> Iterator[tuple]:
     """The record that segments of one origin make, as often as it was archived."""
-    first = segments[0]
-    copies = sum(s["segment"] == 1 for s in segments)
-    parts = segments[::copies] if copies else segments
-    if [s["segment"] for s in segments] != [n + 1 for n in range(len(parts)) for _ in range(copies)]:
+    first, copies = segments[0], segments[0]["copies"]
+    if [(s["segment"], s["copies"]) for s in segments] != [(n + 1, copies) for n in range(len(segments))] or not segments[-1]["total"]:
         raise ValueError(f"segments of {first['origin_id']} are missing")
-    block = b"".join(s["block"] for s in parts)
-    if len(block) != parts[-1]["total"]:
+    block = b"".join(s["block"] for s in segments)
+    if len(block) != segments[-1]["total"]:
         raise ValueError(f"the segments of {first['origin_id']} don't have the total length")
     payload = _checked(http_payload(block), first["digest"])
-    return [(first["record_id"], first["record_type"], first["page_id"], first["refers_id"], len(payload), first["digest"], payload if payloads else None)] * copies
+    made = first["record_id"], first["record_type"], first["page_id"], first["refers_id"], len(payload), first["digest"], payload if payloads else None
+    yield from itertools.repeat(made, copies)
 
 
 def resolved(index: DataFrame) -> DataFrame:
@@ -224,6 +234,7 @@ def resolved(index: DataFrame) -> DataFrame:
     """
     responses = index.where("record_type = 'response'")
     known = responses.select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("bytes"), F.col("payload_digest").alias("of")).dropDuplicates(["refers_id"])
+    known = stored(known, "known")  # so that Spark can split the revisits of a frequent response
     # only revisits are joined: the others have no key and would all meet in one task
     joined = index.where("record_type <> 'response'").join(known, "refers_id", "left")
     wrong = ~F.col("of").eqNullSafe(F.col("payload_digest"))
