@@ -6,13 +6,16 @@ n (mean_q - mean_x)^2 + (dev_q - dev_x)^2, so the inner product (|q|^2 + |x|^2 -
 the sum of n mean_q mean_x + dev_q dev_x. Coarse to fine, candidates whose bound is below a query's k-th best exact
 score so far are dropped; survivors get exact integer scores.
 
-Queries are dealt to blocks by a hash, candidates to parts; each block meets each part in one task, both of bounded
-size, and returns at most k rows for each query. No pair of rows is ever emitted otherwise.
+Queries are dealt to blocks by a hash, candidates to parts; each block meets each part in one task, both of at most
+BLOCK_BYTES as matrices, and returns at most k rows for each query. No pair of rows is ever emitted otherwise. A candidate
+is copied once for each block: for 64 components a copy takes as long as comparing it with a few hundred queries, and a
+block has tens of thousands.
 
 A vector that is null, or holds a null or non-finite component, takes no part; nor does a row without an id. Shorter
 vectors count as padded with zeros. A candidate with a query's own id is not its neighbour; rows repeated with
 equal ids and vectors count once. Ties go to the smaller id. Fewer candidates than k give fewer rows, an empty table gives
-none. Columns other than the named ones are ignored. Components are taken as integers in the range of +-2^25.
+none. Columns other than the named ones are ignored. Components are integers; those whose scores might not fit into 62
+bits raise ValueError.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ from pyspark.sql import functions as F
 
 #: Segments of a vector at each resolution, coarse to fine.
 RESOLUTIONS = (1, 4, 16)
-QUERY_BLOCK = 8192
-PART_ROWS = 65536
+#: Bytes of a block of queries, and of a part of the candidates, with 8 for each component.
+BLOCK_BYTES = 32 << 20
+#: Candidates that a part has at least, if there are enough tasks without it.
+LEAST_PART_ROWS = 2048
 #: Candidates and queries that are compared at once.
 TILE, QUERY_TILE = 1024, 1024
 #: Pairs whose vectors are gathered at once.
@@ -140,17 +145,21 @@ def _merge(best: np.ndarray, best_ids: np.ndarray, q: np.ndarray, ids: np.ndarra
     best[touched], best_ids[touched] = all_scores[take], all_ids[take]
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int, query_block: int = QUERY_BLOCK, part_rows: int = PART_ROWS) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int, block_bytes: int = BLOCK_BYTES, part_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score) for integer vectors (id, v); exact.
 
-    The numbers of blocks and parts follow from two counts, so that each task holds about query_block queries and
-    part_rows candidates at any size.
+    The numbers of blocks and parts follow from the rows and the longest vector, so that a task's memory is bounded at
+    any size.
     """
     queries, candidates = queries.dropDuplicates(["id", "v"]), candidates.dropDuplicates(["id", "v"])
-    blocks = max(1, -(-queries.count() // query_block))
+    largest = F.max(F.array_max(F.transform("v", lambda c: F.abs(c))))
+    of = [df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width"), F.coalesce(largest, F.lit(0)).alias("largest")).first() for df in (queries, candidates)]
+    width = max(1, *(each["width"] for each in of))
+    if width * of[0]["largest"] * of[1]["largest"] >= 1 << 62:
+        raise ValueError("the components are too large for exact scores")
+    blocks = max(1, -(-of[0]["n"] * width * 8 // block_bytes))
     parallel = queries.sparkSession.sparkContext.defaultParallelism
-    total = candidates.count()
-    parts = max(1, -(-total // part_rows), min(4 * parallel, total // 2048) // blocks)
+    parts = max(1, -(-of[1]["n"] * width * 8 // part_bytes), min(4 * parallel, of[1]["n"] // LEAST_PART_ROWS) // blocks)
     by_block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")
     by_part = F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int")
     left = queries.select("id", "v", by_block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
@@ -159,7 +168,6 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, query_block: int =
     def meet(q: pa.Table, x: pa.Table) -> pa.Table:
         if not q.num_rows or not x.num_rows:
             return _ARROW.empty_table()
-        width = max(int(np.asarray(t.column("v").combine_chunks().value_lengths()).max()) for t in (q, x))
         found = search_block(np.asarray(q.column("id")), _matrix(q.column("v"), width), np.asarray(x.column("id")), _matrix(x.column("v"), width), k)
         return pa.table(list(map(pa.array, found)), schema=_ARROW)
 
