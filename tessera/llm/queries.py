@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from . import bpe, chat, chat_digest, common, minhash, ogg, packing, quality, secrets, topk, url_filters, warc
 from .common import table
 
+#: Ranked words of English and of several languages.
+WORD_LISTS = (public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
 
 def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -26,7 +29,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"))
+    found = secrets.scan(table(spark, sf_dir, "documents"), lists=WORD_LISTS)
     spans = F.transform(F.arrays_zip("kinds", "starts", "ends"), lambda s: F.concat_ws(":", s["kinds"], s["starts"], s["ends"]))
     base = F.filter(spans, lambda s: F.split_part(s, F.lit(":"), F.lit(1)).isin(*secrets.BASE_KINDS))
     counts = [F.expr(f"cast(size(filter(kinds, kind -> kind = '{kind}')) as long)").alias(f"n_{kind}") for kind in secrets.BASE_KINDS]
@@ -67,7 +70,7 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists and days are made from the hosts and ids of the pages by fixed rules, as the tables have neither."""
     pages = table(spark, sf_dir, "pages")
     start = F.lit("2020-01-01").cast("date")
-    captures = pages.select(F.col("page_id").alias("id"), "url", F.date_add(start, F.pmod(F.col("page_id") * 7919, F.lit(1461)).cast("int")).alias("day")).dropDuplicates(["id", "url"])
+    captures = pages.select(F.col("page_id").alias("id"), "url", F.date_add(start, F.pmod(F.col("page_id") * 7919, F.lit(1461)).cast("int")).alias("day"))
     listed = pages.select(F.explode(url_filters.keys(F.col("url"))).alias("key")).distinct()
     x = F.conv(F.substring(F.md5("key"), 1, 4), 16, 10).cast("int")
     listed = listed.select("key", x.alias("x"), F.when(x % 11 == 0, "allow").when(x % 2 == 0, "adult").otherwise("malware").alias("list"), F.date_add(start, x % 700).alias("added"), F.date_add(start, x % 700 + 30 + F.floor(x / 7).cast("int") % 400).alias("removed")).where("x % 3 = 0")
@@ -100,14 +103,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+             e AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS state, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+                          regexp_replace(replace(text, '\', '\\'), '([<\[])(s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\]|ANS>|ROLE>|/ROLE>|SAYS>)', '\1\\.\2', 'g') AS escaped,
+                          regexp_replace(replace(role, '\', '\\'), '([<\[])(s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\]|ANS>|ROLE>|/ROLE>|SAYS>)', '\1\\.\2', 'g') AS named FROM c),
+             f AS (SELECT *, CASE role WHEN 'system' THEN 8 + 11 WHEN 'user' THEN 7 + 8 WHEN 'assistant' THEN 6 + 5 ELSE 6 + length(named) + 6 + 7 END + length(escaped) AS chars,
+                          CASE WHEN k = 1 OR state NOT IN ('system', 'user', 'assistant') THEN role IN ('system', 'user')
+                               WHEN state = 'user' THEN role = 'assistant' ELSE role = 'user' END AS valid FROM e)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(3 + sum(chars) AS BIGINT) AS formatted_chars, CAST(count(*) FILTER (NOT valid) AS BIGINT) AS n_invalid
+        FROM f GROUP BY conv_id""",
     "op3_url_filters": r"""
-        WITH p AS (SELECT page_id, coalesce(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)', 1)), '') AS host,
-                          list_filter(string_split(coalesce(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), ''), '/'), lambda s: s <> '')[1:4] AS segments,
+        WITH p AS (SELECT page_id, regexp_replace(coalesce(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?(\[[^\]/?#]*\]|[^/:?#]*)', 1)), ''), '\.$', '') AS host,
+                          list_filter(string_split(coalesce(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), ''), '/'), lambda s: s <> '') AS segments,
                           DATE '2020-01-01' + CAST((page_id * 7919) % 1461 AS INTEGER) AS day
                    FROM (SELECT DISTINCT page_id, url FROM pages)),
              h AS (SELECT *, string_split(host, '.') AS labels FROM p),
              k AS (SELECT page_id, host, day, unnest(CASE WHEN host = '' THEN [NULL] ELSE list_distinct(
-                          (CASE WHEN length(host) > 253 OR len(labels) < 2 THEN [host] ELSE list_transform(range(1, len(labels)), lambda i: array_to_string(labels[i:], '.')) END)
+                          (CASE WHEN length(host) > 253 OR len(labels) < 2 OR regexp_matches(host, '^(\[.*|[0-9]+(\.[0-9]+){3})$') THEN [host] ELSE list_transform(range(1, len(labels)), lambda i: array_to_string(labels[i:], '.')) END)
                           || list_transform(range(1, len(segments) + 1), lambda j: host || '/' || array_to_string(segments[1:j], '/'))) END) AS key FROM h),
              x AS (SELECT key, CAST('0x' || substr(md5(key), 1, 4) AS INTEGER) AS x FROM (SELECT DISTINCT key FROM k WHERE key IS NOT NULL)),
              l AS (SELECT key, x, CASE WHEN x % 11 = 0 THEN 'allow' WHEN x % 2 = 0 THEN 'adult' ELSE 'malware' END AS list,

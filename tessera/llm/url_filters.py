@@ -5,10 +5,10 @@ A list entry names a key: a host, a parent domain, or a host with the first segm
 all its keys whose interval holds its day. It is blocked if a matching entry of a blocking list is more specific (its
 key is longer) than every matching entry of an allowing list.
 
-Every capture comes back once: a null or malformed url, or a null day, matches nothing. Captures with equal ids count as
-one and must be equal; ties don't matter, as matches are counted and lists are sets. Empty tables give empty results or
-no matches, columns other than the named ones are ignored. Lists of any size are joined by key; a frequent host's
-captures are dealt to SALTS tasks, and so is a copy of the intervals, which are few for a key.
+Every capture comes back once: a null or malformed url, or a null day, matches nothing. Captures equal in id, url and day
+count as one; ties don't matter, as matches and lists are sets. Empty tables give empty results or no matches, columns
+other than the named ones are ignored. Captures of any number meet list entries of any number by key and date; both
+sides of that join are plain shuffles, so that adaptive execution splits the captures of a frequent key.
 """
 
 from __future__ import annotations
@@ -16,28 +16,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 16
+from .common import stored
+
 #: The longest name that the domain name system allows; a longer host has no parent domains.
 HOST_CHARS = 253
-HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)"
+#: A host may be an address in brackets.
+HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?(\[[^\]/?#]*\]|[^/:?#]*)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)"
+ADDRESS = r"^(\[.*|[0-9]+(\.[0-9]+){3})$"
 
 
 def host(url: Column) -> Column:
-    """The host in lower case, "" where there is none."""
-    return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
+    """The host in lower case and without the root's dot, "" where there is none."""
+    return F.regexp_replace(F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit(""))), r"\.$", "")
 
 
-def keys(url: Column) -> Column:
-    """All keys that entries for this url can have."""
-    of, path = host(url), F.coalesce(F.regexp_extract(url, PATH, 1), F.lit(""))
+def segments(url: Column) -> Column:
+    """The path's segments without empty ones; query and fragment are no part of it."""
+    return F.filter(F.split(F.coalesce(F.regexp_extract(url, PATH, 1), F.lit("")), "/"), lambda s: s != "")
+
+
+def keys_of(of: Column, parts: Column) -> Column:
+    """All keys of a host and the segments of a path; an address has no parent domains."""
     labels = F.split(of, r"\.")
-    domains = F.when(F.length(of) > HOST_CHARS, F.array(of)).when(F.size(labels) > 1, F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array(of))
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    prefixes = F.when(F.size(segments) > 0, F.transform(F.sequence(F.lit(1), F.size(segments)), lambda j: F.concat(of, F.lit("/"), F.array_join(F.slice(segments, 1, j), "/")))).otherwise(F.array().cast("array<string>"))
+    whole = (F.length(of) > HOST_CHARS) | (F.size(labels) < 2) | of.rlike(ADDRESS)
+    domains = F.when(whole, F.array(of)).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    prefixes = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda j: F.concat(of, F.lit("/"), F.array_join(F.slice(parts, 1, j), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(of == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, prefixes)))
 
 
+def keys(url: Column) -> Column:
+    """All keys that entries for this url can have."""
+    return keys_of(host(url), segments(url))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(key, list, since, until) from entries (key, list, action, day); until is exclusive, null while an entry stands.
 
@@ -49,16 +61,17 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def evaluate(captures: DataFrame, active: DataFrame, allowing: tuple[str, ...] = ("allow",)) -> DataFrame:
-    """(id, host, n_active, lists, blocked) for captures (id, url, day) against intervals (key, list, since, until)."""
-    by_key = captures.select("id", host(F.col("url")).alias("host"), "day", F.explode_outer(keys(F.col("url"))).alias("key"))
-    salted = by_key.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    copies = active.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = salted.join(copies, ["key", "salt"], "left")
+    """(id, host, n_active, lists, blocked) for captures (id, url, day) against intervals (key, list, since, until).
+
+    Keys deeper than any entry can match nothing and aren't made.
+    """
+    active = stored(active.select("key", "list", "since", "until"), "intervals")
+    deepest = active.agg(F.coalesce(F.max(F.size(F.split("key", "/")) - 1), F.lit(0)).alias("depth")).first()["depth"]
+    parts = captures.select("id", "url", "day", host(F.col("url")).alias("host"), F.slice(segments(F.col("url")), 1, deepest).alias("parts"))
+    by_key = parts.select("id", "url", "day", F.explode_outer(keys_of(F.col("host"), F.col("parts"))).alias("key")).alias("c")
     holds = (F.col("since") <= F.col("day")) & (F.col("until").isNull() | (F.col("day") < F.col("until")))
-    allows = F.col("list").isin(*allowing)
-    longest = lambda which: F.coalesce(F.max(F.when(holds & which, F.length("key"))), F.lit(0))
-    return (
-        joined.groupBy("id", "host")
-        .agg(F.count(F.when(holds, 1)).alias("n_active"), F.array_join(F.array_sort(F.collect_set(F.when(holds, F.col("list")))), ",").alias("lists"), longest(~allows).alias("block"), longest(allows).alias("allow"))
-        .select("id", "host", "n_active", "lists", (F.col("block") > F.col("allow")).alias("blocked"))
-    )
+    joined = by_key.join(active.alias("a"), (F.col("c.key") == F.col("a.key")) & holds, "left")
+    hits = joined.groupBy("id", "url", "day").agg(F.collect_set(F.when(F.col("list").isNotNull(), F.struct(F.col("a.key").alias("key"), "list"))).alias("hits"))
+    longest = lambda which: F.coalesce(F.array_max(F.transform(F.filter("hits", which), lambda h: F.length(h["key"]))), F.lit(0))
+    blocked = longest(lambda h: ~h["list"].isin(*allowing)) > longest(lambda h: h["list"].isin(*allowing))
+    return hits.select("id", host(F.col("url")).alias("host"), F.size("hits").cast("long").alias("n_active"), F.array_join(F.array_sort(F.array_distinct("hits.list")), ",").alias("lists"), blocked.alias("blocked"))
