@@ -6,13 +6,12 @@ smallest hashes of their ids), which bounds what comes to the driver at any corp
 
 Null and empty texts have the features of an empty text. Rows are scored one by one: repeated rows get equal results, an
 empty table gives an empty result. Of several ratings of a document the lowest counts, ratings without documents or
-grades are left out. With fewer than two grades in the sample every document gets the highest grade. Columns other than
-the named ones are ignored by score(); select_good() keeps them.
+grades are left out. Where all of the sample have one grade, every document gets that grade; without any rating, the
+highest. Columns other than the named ones are ignored by score(); select_good() keeps them.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -22,49 +21,63 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_of
+from . import words
+from .common import SLICE_ROWS, map_rows, text_of
 
 SAMPLE_ROWS = 8000
 BITS = 18
-TOKEN = re.compile(r"\w+|[^\w\s]+")
-#: Words whose bucket a worker keeps.
-CACHE_WORDS = 400_000
 STEPS, RATE, RIDGE = 200, 0.05, 1e-4
 #: Standard errors by which the mean grade of a feature's documents must differ from the mean grade, to be fitted.
 SCREEN = 4.0
 LEAST_PROBABILITY = 0.5
 
-_buckets: dict[str, int] = {}
-
 
 def _share(part: int, whole: int) -> int:
     """A share as one of about nine levels."""
     return min(8, (part * 16 // whole + 1).bit_length() + 3 * (part * 2 > whole)) if part else 0
 
 
-def feature_ids(text: str) -> np.ndarray:
-    """The distinct hash buckets of a text's words, symbols and form, sorted."""
-    if len(_buckets) > CACHE_WORDS:
-        _buckets.clear()
-    tokens = TOKEN.findall(text)
-    distinct = set(tokens)
-    lines = text.split("\n")
-    words = [token for token in tokens if token[0].isalnum()]
-    form = {
-        f"\x00upper={_share(sum(len(w) > 1 and w.isupper() for w in words), len(words))}",
-        f"\x00symbols={_share(len(tokens) - len(words), len(tokens))}",
-        f"\x00distinct={_share(len(distinct), len(tokens))}",
-        f"\x00lines={_share(len(lines) - len(set(lines)), len(lines))}",
-        f"\x00words={len(words).bit_length()}",
-        f"\x00digits={_share(sum(w[0].isdigit() for w in words), len(words))}",
-    }
-    out = set()
-    for token in {t.lower() for t in distinct} | form:
-        bucket = _buckets.get(token)
-        if bucket is None:
-            bucket = _buckets[token] = zlib.crc32(token.encode()) >> (32 - BITS)
-        out.add(bucket)
-    return np.array(sorted(out), np.int32)
+def _form(name: str, level: int) -> int:
+    return zlib.crc32(f"\0{name}={level}".encode()) >> (32 - BITS)
+
+
+def features_of(texts: list[str]) -> list[np.ndarray]:
+    """For each text the distinct hash buckets of its words and symbols, in lower case, and of its form, sorted.
+
+    Words are runs of word characters, symbols runs of others but white space; a run that begins with an underscore
+    counts as neither in the shares. Form: shares of words in capitals, of symbols, of distinct buckets, of repeated
+    lines and of numbers, and the length, each by levels.
+    """
+    joined, bounds = words.joined_texts(texts)
+    parts = [(np.zeros(0, np.int64), *(np.zeros(0, bool) for _ in range(3)), np.zeros(0, np.int64))]
+    for at, chars, kinds in words.windows(joined, words.classes(r"\w", r"[^\w\s]")):
+        starts, lengths = words.runs(kinds)
+        if not len(starts):
+            continue
+        within, first = words.places(starts, lengths)
+        word = (kinds[starts] == 1) & (chars[starts] != ord("_"))
+        capitals = word & (lengths > 1) & (np.bitwise_or.reduceat(words.cases()[chars[within]], first) == 1)
+        number = word & (words.classes(r"\d")[chars[starts]] > 0)
+        bucket = words.run_hashes(words.lower_case()[chars], starts, lengths) >> np.uint64(64 - BITS)
+        parts.append((starts + at, word, capitals, number, bucket.astype(np.int64)))
+    starts, word, capitals, number, bucket = (np.concatenate(column) for column in zip(*parts))
+    text = np.searchsorted(bounds, starts, "right") - 1
+    tokens, n_words, n_capitals, n_numbers = (np.bincount(text[which], minlength=len(texts)).tolist() for which in (slice(None), word, capitals, number))
+    distinct = words.distinct((text << BITS) | bucket)
+    cuts = np.searchsorted(distinct >> BITS, np.arange(len(texts) + 1)).tolist()
+    out = []
+    for at, own in enumerate(texts):
+        lines = own.split("\n")
+        form = [
+            _form("upper", _share(n_capitals[at], n_words[at])),
+            _form("symbols", _share(tokens[at] - n_words[at], tokens[at])),
+            _form("distinct", _share(cuts[at + 1] - cuts[at], tokens[at])),
+            _form("lines", _share(len(lines) - len(set(lines)), len(lines))),
+            _form("words", n_words[at].bit_length()),
+            _form("digits", _share(n_numbers[at], n_words[at])),
+        ]
+        out.append(words.distinct(np.concatenate([distinct[cuts[at] : cuts[at + 1]] & ((1 << BITS) - 1), form])).astype(np.int32))
+    return out
 
 
 @dataclass(frozen=True)
@@ -93,7 +106,8 @@ def screened(features: list[np.ndarray], grades: np.ndarray, least: float = SCRE
 def fit(features: list[np.ndarray], grades: np.ndarray, n_grades: int, steps: int = STEPS, rate: float = RATE, ridge: float = RIDGE, screen: float = SCREEN) -> Model:
     """Maximum likelihood with a ridge, by full-batch Adam; thresholds are a first one and positive gaps."""
     if len(set(grades.tolist())) < 2:
-        return Model(np.zeros(1 << BITS), np.full(n_grades - 1, -40.0))
+        only = grades[0] if len(grades) else n_grades - 1
+        return Model(np.zeros(1 << BITS), np.where(np.arange(1, n_grades) <= only, -40.0, 40.0))
     features = screened(features, grades, screen)
     counts = np.array([len(f) for f in features])
     used, flat = np.unique(np.concatenate(features).astype(np.int64), return_inverse=True)
@@ -131,7 +145,7 @@ def rated_features(documents: DataFrame, ratings: DataFrame, sample_rows: int =
     texts = documents.select(F.col("doc_id").cast("long"), text_of("text").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", F.col("grade").cast("int"), "text")
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column(0), "grade": batch.column(1), "ids": [feature_ids(text).tobytes() for text in batch.column(2).to_pylist()]}
+        return {"doc_id": batch.column(0), "grade": batch.column(1), "ids": [ids.tobytes() for ids in features_of(batch.column(2).to_pylist())]}
 
     rows = sorted(map_rows(texts, "doc_id long, grade int, ids binary", kernel).dropDuplicates().collect())
     return [np.frombuffer(row["ids"], np.int32) for row in rows], np.array([row["grade"] for row in rows], np.int64)
@@ -142,11 +156,13 @@ def train(documents: DataFrame, ratings: DataFrame, n_grades: int, sample_rows:
 
 
 def _scorer(df: DataFrame, model: Model):
+    """From texts to the probabilities of reaching each grade but the lowest, a row for each."""
     shared = df.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
 
-    def reach(text: str) -> np.ndarray:
+    def reach(texts: list[str]) -> np.ndarray:
         weights, thresholds = shared.value
-        return _sigmoid(float(weights[feature_ids(text)].astype(np.float64).sum()) - thresholds)
+        sums = np.array([weights[ids].astype(np.float64).sum() for ids in features_of(texts)])
+        return _sigmoid(sums[:, None] - thresholds)
 
     return reach
 
@@ -156,8 +172,8 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     reach = _scorer(documents, model)
 
     def kernel(batch: pa.RecordBatch) -> dict:
-        found = [reach(text) for text in batch.column(1).to_pylist()]
-        return {"doc_id": batch.column(0), "expected_grade": [float(p.sum()) for p in found], "tail_probability": [float(p[-1]) for p in found]}
+        found = reach(batch.column(1).to_pylist())
+        return {"doc_id": batch.column(0), "expected_grade": found.sum(axis=1), "tail_probability": found[:, -1].copy()}
 
     return map_rows(documents.select(F.col("doc_id").cast("long"), text_of("text")), "doc_id long, expected_grade double, tail_probability double", kernel)
 
@@ -168,7 +184,8 @@ def select_good(documents: DataFrame, model: Model, least: float = LEAST_PROBABI
 
     @F.pandas_udf("double")
     def tail(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: float(reach(text or "")[-1]))
+        every = texts.fillna("").tolist()
+        return pd.Series(np.concatenate([np.zeros(0), *(reach(every[at : at + SLICE_ROWS])[:, -1] for at in range(0, len(every), SLICE_ROWS))]))
 
     return documents.where(tail(F.col("text")) >= least)
 
