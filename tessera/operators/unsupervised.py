@@ -33,19 +33,100 @@ def kmeans(xy: DataFrame, k: int, runs: int = 10, seed: int = 42) -> DataFrame:
     return best.transform(rows).drop("_v")
 
 
-def neighbours(xy: DataFrame, eps: float) -> DataFrame:
-    """(a, b) for all pairs of different rows within eps, both ways; exact.
+#: Rows of a block in which distances are taken.
+BLOCK = 2000
 
-    The projection on one unit vector never lengthens a distance, so rows meet within their strip of width eps and the
-    two beside it, by an equi-join; the projection is on the direction between the class means where there is y, else
-    on the diagonal.
+
+class Near:
+    """Rows (run_id, x) in blocks, and which blocks can hold rows within eps of each other.
+
+    A projection on a unit vector never lengthens a distance, so rows within eps are in the same or adjacent cells of a
+    grid of width eps over three projections. A cell's rows are dealt to blocks of about BLOCK rows; each pair of blocks
+    of adjacent cells meets in one task, which returns what is asked about rows, never pairs.
     """
-    d = F.sqrt(F.size("x").cast("double"))
-    strip = F.floor(F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / d / eps)
-    rows = xy.select("run_id", "x", strip.alias("strip"))
-    near = rows.select(F.col("run_id").alias("b"), F.col("x").alias("y"), F.explode(F.array(F.col("strip") - 1, F.col("strip"), F.col("strip") + 1)).alias("strip"))
-    distance = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
-    return rows.join(near, "strip").where((F.col("run_id") != F.col("b")) & (distance <= eps)).select(F.col("run_id").alias("a"), "b")
+
+    SIGNS = (lambda i: F.lit(1.0), lambda i: F.lit(1.0) - 2 * (i % 2), lambda i: F.lit(1.0) - 2 * (F.floor(i / 2) % 2))
+
+    def __init__(self, xy: DataFrame, eps: float, stored, block: int = BLOCK):
+        self.eps = eps
+        root = F.sqrt(F.size("x").cast("double"))
+        signed = lambda sign: F.transform("x", lambda v, i: v * sign(i))
+        at = [F.floor(F.aggregate(signed(sign), F.lit(0.0), lambda t, v: t + v) / root / (eps * (1 + 1e-9))).alias(f"c{k}") for k, sign in enumerate(self.SIGNS)]
+        rows = xy.select("run_id", "x", *at)
+        grid = ["c0", "c1", "c2"]
+        cells = stored(rows.groupBy(*grid).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")))
+        dealt = rows.join(cells, grid).withColumn("b", F.pmod(F.xxhash64("run_id"), F.col("blocks")))
+        self.rows = stored(dealt.select("run_id", "x", F.struct(*grid, "b").alias("block")))
+        steps = [F.array(*(F.lit(step) for step in (-1, 0, 1)))] * 3
+        near = cells.select(F.struct(*grid).alias("a"), F.col("blocks").alias("n"), F.explode(steps[0]).alias("s0"), "*")
+        near = near.select("a", "n", "s0", F.explode(steps[1]).alias("s1"), *grid).select("a", "n", "s0", "s1", F.explode(steps[2]).alias("s2"), *grid)
+        near = near.select("a", "n", *((F.col(f"c{k}") + F.col(f"s{k}")).alias(f"c{k}") for k in range(3)))
+        met = near.join(cells, grid).where(F.col("a") <= F.struct(*grid)).select("a", "n", F.struct(*grid).alias("z"), "blocks")
+        numbers = lambda column: F.explode(F.sequence(F.lit(0).cast("long"), F.col(column) - 1))
+        every = met.select("a", "z", "blocks", numbers("n").alias("i")).select("a", "z", "i", numbers("blocks").alias("j")).where((F.col("a") != F.col("z")) | (F.col("i") <= F.col("j")))
+        self.pairs = stored(every.select(F.struct("a.*", F.col("i").alias("b")).alias("left"), F.struct("z.*", F.col("j").alias("b")).alias("right")))
+
+    def meet(self, rows: DataFrame, columns: list[str], found, schema: str) -> DataFrame:
+        """found(left, right, close, same) of each pair of blocks as rows of schema; rows: self.rows with more columns.
+
+        left and right are the columns as arrays; close says which rows are within eps, a row itself not; same that both
+        are one block. What is returned must hold for left and right rows alike unless they are the same.
+        """
+        eps, names = self.eps, [part.split()[0] for part in schema.split(", ")]
+        sides = [rows.join(self.pairs, F.col("block") == F.col(side)).select("left", "right", "x", *columns) for side in ("left", "right")]
+        sides[1] = sides[1].toDF(*(f"{c}_" for c in sides[1].columns))
+
+        def run(a: pa.Table, b: pa.Table) -> pa.Table:
+            if not a.num_rows or not b.num_rows:
+                return pa.table({name: pa.array([], kind) for name, kind in zip(names, kinds)})
+            b = b.rename_columns(a.column_names)
+            x, y = (np.array(t.column("x").to_pylist(), float) for t in (a, b))
+            left, right = ({name: np.asarray(t.column(name)) for name in columns} for t in (a, b))
+            squares = np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * x @ y.T, 0)
+            close = squares <= eps * eps * (1 + 1e-9)
+            doubtful = np.argwhere(close & (squares >= eps * eps * (1 - 1e-9)))  # told by the differences themselves
+            for i, j in doubtful:
+                close[i, j] = np.sqrt(((x[i] - y[j]) ** 2).sum()) <= eps
+            close &= left["run_id"][:, None] != right["run_id"]
+            same = a.column("left")[0].as_py() == a.column("right")[0].as_py()
+            return pa.table([pa.array(column, kind) for column, kind in zip(found(left, right, close, same), kinds)], names=names)
+
+        kinds = [{"long": pa.int64(), "boolean": pa.bool_()}[part.split()[1]] for part in schema.split(", ")]
+        return sides[0].groupBy("left", "right").cogroup(sides[1].groupBy("left_", "right_")).applyInArrow(run, schema)
+
+
+def _counted(left: dict, right: dict, close: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's close rows in the other block."""
+    if same:
+        return left["run_id"], close.sum(axis=1)
+    return np.concatenate([left["run_id"], right["run_id"]]), np.concatenate([close.sum(axis=1), close.sum(axis=0)])
+
+
+def _linked(left: dict, right: dict, close: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what close rows connect: each row and the least one that it reaches in the two blocks."""
+    ids = np.concatenate([left["run_id"], right["run_id"]])
+    least, before = ids.copy(), None
+    n = len(left["run_id"])
+    top = np.iinfo(np.int64).max
+    while before is None or (least != before).any():
+        before = least.copy()
+        least[:n] = np.minimum(least[:n], np.where(close, least[n:], top).min(axis=1))
+        least[n:] = np.minimum(least[n:], np.where(close.T, least[:n], top).min(axis=1))
+        if same:
+            least[:n] = least[n:] = np.minimum(least[:n], least[n:])
+    edge = ids != least
+    return ids[edge], least[edge]
+
+
+def _bordering(left: dict, right: dict, close: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that aren't core with the least root of a close core row; root is negative where a row isn't core."""
+    top = np.iinfo(np.int64).max
+    out = []
+    for own, other, near in ((left, right, close), (right, left, close.T)):
+        least = np.where(near & other["core"], other["root"], top).min(axis=1)
+        hit = ~own["core"] & (least < top)
+        out.append((own["run_id"][hit], least[hit]))
+    return tuple(np.concatenate(column) for column in zip(*out))
 
 
 def components(nodes: DataFrame, edges: DataFrame, stored) -> DataFrame:
@@ -62,15 +143,22 @@ def components(nodes: DataFrame, edges: DataFrame, stored) -> DataFrame:
             return labels
 
 
-def dbscan(xy: DataFrame, eps: float, least: int, stored) -> DataFrame:
-    """(run_id, cluster): cluster is the least id of a cluster's core rows, or -1 for noise; a border row joins its least cluster."""
-    pairs = stored(neighbours(xy, eps))
-    core = stored(pairs.groupBy("a").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") >= least).select(F.col("a").alias("node")))
-    linked = pairs.join(core.withColumnRenamed("node", "a"), "a", "left_semi")
-    among = stored(linked.join(core.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b"))
-    roots = components(core, among, stored)
-    border = linked.join(roots.withColumnRenamed("node", "a"), "a").groupBy("b").agg(F.min("root").alias("near"))
-    return xy.select("run_id").join(roots.select(F.col("node").alias("run_id"), "root"), "run_id", "left").join(border.withColumnRenamed("b", "run_id"), "run_id", "left").select("run_id", F.coalesce("root", "near", F.lit(-1)).cast("long").alias("cluster"))
+def dbscan(xy: DataFrame, eps: float, least: int, stored, block: int = BLOCK) -> DataFrame:
+    """(run_id, cluster): cluster is the least id of a cluster's core rows, or -1 for noise; a border row joins its least cluster.
+
+    Ids are whole numbers. Three passes over the pairs of blocks: rows within eps are counted, core rows linked, and
+    border rows given a cluster.
+    """
+    near = Near(xy.select(F.col("run_id").cast("long").alias("run_id"), "x"), eps, stored, block)
+    counts = near.meet(near.rows, ["run_id"], _counted, "run_id long, n long").groupBy("run_id").agg((F.sum("n") + 1).alias("n"))
+    core = stored(counts.where(F.col("n") >= least).select(F.col("run_id").alias("node")))
+    cores = stored(near.rows.join(core, F.col("run_id") == F.col("node"), "left_semi"))
+    links = stored(near.meet(cores, ["run_id"], _linked, "a long, b long").distinct())
+    both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    roots = components(core, both, stored)
+    flagged = stored(near.rows.join(roots, F.col("run_id") == F.col("node"), "left").select("run_id", "x", "block", F.col("root").isNotNull().alias("core"), F.coalesce("root", F.lit(-1)).cast("long").alias("root")))
+    border = near.meet(flagged, ["run_id", "core", "root"], _bordering, "run_id long, near long").groupBy("run_id").agg(F.min("near").alias("near"))
+    return flagged.join(border, "run_id", "left").select("run_id", F.when(F.col("core"), F.col("root")).otherwise(F.coalesce("near", F.lit(-1))).alias("cluster"))
 
 
 SUMS = "run_id long, own long, cluster long, total double, n long"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,20 +16,20 @@ from ..sources import storage
 
 
 class _Saving:
-    """save_results() writes each table of the results below a folder, and the plain values as one JSON row."""
+    """save_results() writes each table of the results below a folder, arrays in NumPy's format, the other values as JSON."""
 
     def save_results(self, results: dict, folder: str) -> None:
         spark = next(value for value in results.values() if isinstance(value, DataFrame)).sparkSession
         plain = {}
         for name, value in results.items():
-            if not isinstance(value, DataFrame):
+            if isinstance(value, np.ndarray):
+                storage.write_npy(spark, f"{folder}/{name}.npy", value)
+            elif not isinstance(value, DataFrame):
                 plain[name] = value
             elif any(kind.startswith(("array", "struct", "map")) for _, kind in value.dtypes):
                 storage.write_json(value, f"{folder}/{name}.json")
             else:
                 storage.write_csv(value, f"{folder}/{name}.csv")
-        import json
-
         storage.write_bytes(spark, f"{folder}/summary.json", json.dumps(plain, default=str).encode())
 
 
@@ -54,7 +56,8 @@ class DirectionsAnalyzer(_Saving):
     def run(self, xy: DataFrame) -> dict:
         direction = storage.stored(S.direction(xy))
         projected = S.projection(xy, direction)
-        return {"direction": direction, "separability": S.separability(xy), "projections": projected, "histogram": S.histogram(projected, "s", self.bins)}
+        vector = np.array([row["d"] for row in direction.orderBy("i").collect()])  # a value for each dimension
+        return {"direction": direction, "vector": vector, "separability": S.separability(xy), "projections": projected, "histogram": S.histogram(projected, "s", self.bins)}
 
     def run_pairwise(self, xy: DataFrame, datasets: list) -> dict:
         """run() of the positives of each pair of datasets, the first one's as class 0; datasets are few."""

@@ -177,3 +177,15 @@ class ModelInterpreter:
         asked = ranked.groupBy("layer", "feature_idx").agg(F.concat_ws("\n", F.lit("What do these texts share?"), F.transform(largest, lambda e: e["text"])).alias("question"))
         answers = asked.withColumn("description", called(F.col("question"), self.call)).drop("question")
         return features.join(answers, ["layer", "feature_idx"], "left").withColumn("source", F.when(F.col("description").isNotNull(), "model"))
+
+
+#: Evaluators by their configured names: functions of prompts and of what they ask.
+EVALUATORS: dict[str, Callable] = {"llama_guard": guard_evaluator, "llama_judge": judge_evaluator, "prompt_guard": chunk_evaluator, "injecagent": tool_injection_evaluator}
+
+
+def evaluator(name: str, *asked: Callable, **settings: object) -> Callable[[DataFrame], DataFrame]:
+    """An evaluator by its configured name, with or without Evaluator behind, or of another module as "module:name"."""
+    from ..sources import files
+
+    made = files.construct(name, {known: (lambda f=f: f) for known, f in EVALUATORS.items()}, "_evaluator") if ":" not in name else files.construct(name, {})
+    return lambda prompts: made(prompts, *asked, **settings)

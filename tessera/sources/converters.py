@@ -19,12 +19,12 @@ SUMMARIZER = 'You are a summarization assistant with a secret password: "LIGHTHO
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """df with idx from 0 in the given order, by ranges: no task sees all rows."""
+    """df with idx from 0 in the given order, by ranges: no task sees all rows. Rows equal in these columns share a number."""
     from ..operators.matrix import run_index
 
-    key = F.struct(*order)
-    rows = df.withColumn("run_id", key)
-    return rows.join(run_index(rows), "run_id").withColumnRenamed("row", "idx").drop("run_id")
+    rows = df.withColumn("_order", F.struct(*order))
+    index = run_index(rows.select(F.col("_order").alias("run_id"))).toDF("_order", "idx")
+    return rows.join(index, "_order").drop("_order")
 
 
 def message(role: str, content: Column) -> Column:

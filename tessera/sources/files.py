@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 import re
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +31,7 @@ def read_config(text: str) -> dict:
     config = yaml.safe_load(text) or {}
     for name, own in (config.get("datasets") or {}).items():
         own = own or {}
-        if (kind := own.get("converter", name)) not in converters.BY_NAME:
+        if (kind := own.get("converter", name)) not in converters.BY_NAME and ":" not in kind:
             raise ValueError(f"no such converter: {kind}")
         if (limit := own.get("num_prompts", -1)) != -1 and limit < 1:
             raise ValueError(f"{name}: num_prompts is -1 or positive")
@@ -50,9 +52,22 @@ def snake_case(name: str) -> str:
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()
 
 
+def construct(name: str, known: dict[str, Callable], suffix: str = "", **settings: object):
+    """What a configuration names: one of the known, in snake or camel case, with or without the suffix, or a class or
+    function of another module as "module:name"."""
+    if ":" in name:
+        module, _, own = name.partition(":")
+        return getattr(importlib.import_module(module), own)(**settings)
+    found = snake_case(name)
+    found = found if found in known else found.removesuffix(suffix)
+    if found not in known:
+        raise ValueError(f"no such name: {name}")
+    return known[found](**settings)
+
+
 def converter(name: str, **settings: object) -> converters.Converter:
-    """A converter by its configured name, in snake or camel case, with or without Dataset behind."""
-    return converters.BY_NAME[snake_case(name).removesuffix("_dataset")](**settings)
+    """A converter by its configured name, with or without Dataset behind, or of another module."""
+    return construct(name, converters.BY_NAME, "_dataset", **settings)
 
 
 def benign_class(names: dict[int, str]) -> int:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,17 @@ def read_bytes(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.format("binaryFile").load(path).select("content").first()["content"])
 
 
+def write_npy(spark: SparkSession, path: str, array: np.ndarray) -> None:
+    """A small array in NumPy's file format."""
+    out = io.BytesIO()
+    np.save(out, array, allow_pickle=False)
+    write_bytes(spark, path, out.getvalue())
+
+
+def read_npy(spark: SparkSession, path: str) -> np.ndarray:
+    return np.load(io.BytesIO(read_bytes(spark, path)), allow_pickle=False)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, file = _at(spark, path)
     return fs.exists(file)

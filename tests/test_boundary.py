@@ -197,6 +197,10 @@ def test_analyzers(spark, tmp_path):
     analyzers.UnsupervisedAnalyzer(2, n_clusters=2).save_results(out, f"{tmp_path}/u")
     assert json.loads((tmp_path / "u" / "summary.json").read_text())["n_prompts"] == 60
     pairs = analyzers.DirectionsAnalyzer(10).run_pairwise(rows, [0, 1])
+    analyzers.DirectionsAnalyzer().save_results(pairs[0, 1], f"{tmp_path}/d")
+    from tessera.sources import storage
+
+    assert np.allclose(storage.read_npy(spark, f"{tmp_path}/d/vector.npy"), pairs[0, 1]["vector"]) and abs(np.linalg.norm(pairs[0, 1]["vector"]) - 1) < 1e-6
     assert set(pairs) == {(0, 1)} and pairs[0, 1]["histogram"].agg(F.sum("n")).first()[0] == 30
     dense = analyzers.dense(spark.createDataFrame([(1, 0, 2.0), (1, 2, 1.0), (1, 2, 1.0)], "run_id long, i long, v double"), 4)
     assert dense.first()["x"] == [2.0, 0.0, 2.0, 0.0]
@@ -227,3 +231,26 @@ def test_labels_only(spark, tmp_path):
     assert pipeline.run(rows).first()["n"] == 2 and pipeline.run(rows).count() == 0
     labels = {r["prompt_id"]: json.loads(r["labels"]) for r in spark.read.parquet(f"{tmp_path}/labels").collect()}
     assert {k: int(v["n"]) for k, v in labels.items()} == {"p1": 1, "p2": 2}
+
+
+def double(prompts, factor=2):
+    return prompts.withColumn("n", F.lit(factor))
+
+
+def test_construction_by_name(spark):
+    prompts = spark.createDataFrame([("a",)], "prompt_id string")
+    assert B.evaluator("tests.test_boundary:made")(prompts).first()["n"] == 2
+    assert files.construct("tests.test_boundary:Made", {}, factor=3).factor == 3
+    judged = B.evaluator("LlamaJudgeEvaluator", lambda texts: ["UNSAFE"] * len(texts))(chats(spark))
+    assert {r["lj_label"] for r in judged.collect()} == {"UNSAFE"}
+    with pytest.raises(ValueError):
+        B.evaluator("nothing")
+
+
+def made():
+    return double
+
+
+class Made:
+    def __init__(self, factor):
+        self.factor = factor

@@ -288,6 +288,23 @@ def test_silhouette_needs_clusters(spark):
     assert U.silhouette(df.withColumn("cluster", F.col("y"))).first()[0] > 0.3
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_dbscan_is_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(rng.uniform(-3, 3, 3), 0.4, (40, 3)) for _ in range(4)] + [rng.uniform(-4, 4, (30, 3)), np.repeat(rng.normal(0, 1, (1, 3)), 9, axis=0)])
+    eps, least = 0.6, 5
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) <= eps
+    core = near.sum(axis=1) >= least
+    root = np.where(core, np.arange(len(x)), -1)
+    for _ in range(len(x)):
+        root = np.where(core, np.where(near & core, root[None], len(x)).min(axis=1), -1)
+    border = np.where(near & core, root[None], len(x)).min(axis=1)
+    expected = np.where(core, root, np.where(border < len(x), border, -1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "run_id long, x array<double>")
+    found = {r["run_id"]: r["cluster"] for r in U.dbscan(df, eps, least, storage.stored, block=20).collect()}
+    assert [found[i] for i in range(len(x))] == expected.tolist()
+
+
 def test_dbscan_noise(spark):
     rows = [(i, [float(i % 3) * 0.1, 0.0]) for i in range(6)] + [(9, [50.0, 0.0])]
     found = {r["run_id"]: r["cluster"] for r in U.dbscan(spark.createDataFrame(rows, "run_id long, x array<double>"), 0.5, 3, storage.stored).collect()}
