@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import classify as C
+from ..operators import layout as L
 from ..operators import metrics as M
 from ..operators import stats as S
 from ..operators import unsupervised as U
@@ -136,6 +137,12 @@ def total_variance(spark, d):
     return S.long_form(z.select(F.col("z").alias("x"))).groupBy("i").agg(F.var_pop("v").alias("s")).agg(F.round(F.sum("s"), 6).alias("total"))
 
 
+@query("ML27_tsne")
+def tsne(spark, d):
+    """Places of a sample of at most SAMPLE_ROWS runs, which is the operator's feature."""
+    return L.sampled_layout(V.xy(spark, d), steps=250)
+
+
 @query("WN8_cumulative_variance")
 def cumulative_variance(spark, d):
     """(component, explained, cumulative): shares of the variance, the first components first."""

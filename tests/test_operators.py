@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.operators import classify as C
+from tessera.operators import layout as L
 from tessera.operators.adversarial import Adversarial, Network
 from tessera.operators.checkpoints import top_indices
 from tessera.operators.prototypes import COVARIANCES, Prototypes
@@ -305,6 +306,23 @@ def test_dbscan_is_brute_force(spark, seed):
     assert [found[i] for i in range(len(x))] == expected.tolist()
 
 
+def test_layout_keeps_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.3, (40, 10)) for c in (0, 4, 8)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(500, None)], "run_id long, x array<double>").repartition(3)
+    found = L.sampled_layout(df, 100, 15, 300)
+    assert found.count() == 100 and found.collect() == L.sampled_layout(df.repartition(5), 100, 15, 300).collect()
+    z = np.array([[r["z0"], r["z1"]] for r in found.collect()])
+    group = np.array([r["run_id"] // 40 for r in found.collect()])
+    distances = L.squared_distances(z)
+    np.fill_diagonal(distances, np.inf)
+    assert (group[distances.argmin(axis=1)] == group).mean() > 0.97
+    p = L.affinities(x, 15)
+    own = p / p.sum(axis=1, keepdims=True)
+    assert abs(np.exp(-(own * np.log(own)).sum(axis=1)).mean() - 15) < 6 and np.allclose(p, p.T)
+    assert L.sampled_layout(df.limit(0)).count() == 0
+
+
 def test_dbscan_noise(spark):
     rows = [(i, [float(i % 3) * 0.1, 0.0]) for i in range(6)] + [(9, [50.0, 0.0])]
     found = {r["run_id"]: r["cluster"] for r in U.dbscan(spark.createDataFrame(rows, "run_id long, x array<double>"), 0.5, 3, storage.stored).collect()}
