@@ -12,21 +12,22 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import common, minhash, packing, quality, queries, topk, url_filters, warc
+from tessera.llm import common, minhash, packing, quality, queries, topk, url_filters, warc, words
 
 WORDS = P.path("word_bpe_49k.json")
 
 
 def test_url_keys(spark):
-    df = spark.createDataFrame([("http://a.b.example.com/x/y?q#f",), ("HTTP://U@Host:80",), (None,), ("no url",), ("http://127/",)], "url string")
-    assert [r[0] for r in df.select(url_filters.keys(F.col("url"))).collect()] == [["a.b.example.com", "b.example.com", "example.com", "a.b.example.com/x", "a.b.example.com/x/y"], ["host"], [], [], ["127"]]
+    df = spark.createDataFrame([("http://a.b.example.com/x/y?q#f",), ("HTTP://U@Host:80",), (None,), ("no url",), ("http://127/",), ("http://[2001:DB8::1]:80/x",), ("http://10.0.0.1/",), ("https://Example.com./a",)], "url string")
+    assert [r[0] for r in df.select(url_filters.keys(F.col("url"))).collect()] == [["a.b.example.com", "b.example.com", "example.com", "a.b.example.com/x", "a.b.example.com/x/y"], ["host"], [], [], ["127"], ["[2001:db8::1]", "[2001:db8::1]/x"], ["10.0.0.1"], ["example.com", "example.com/a"]]
 
 
 def test_url_filter_follows_dates(spark):
     entries = spark.createDataFrame([("ex.com", "bad", "add", 10), ("ex.com", "bad", "remove", 20), ("ex.com", "bad", "add", 30), ("a.ex.com", "allow", "add", 15), ("ex.com", "bad", "remove", 40), ("ex.com", "bad", "add", 40), (None, "bad", "add", 1)], "key string, list string, action string, day long")
-    captures = spark.createDataFrame([(d, "http://a.ex.com/p", d) for d in (9, 10, 14, 15, 19, 20, 30, 39, 40)] + [(100, "http://b.ex.com", 12), (101, None, 12), (102, "http://b.ex.com", None)], "id long, url string, day long").withColumn("key", F.lit("clash"))
-    found = {r["id"]: (r["n_active"], r["blocked"]) for r in url_filters.evaluate(captures, url_filters.intervals(entries)).collect()}
-    assert found == {9: (0, False), 10: (1, True), 14: (1, True), 15: (2, False), 19: (2, False), 20: (1, False), 30: (2, False), 39: (2, False), 40: (1, False), 100: (1, True), 101: (0, False), 102: (0, False)}
+    captures = spark.createDataFrame([(d, "http://a.ex.com/p", d) for d in (9, 10, 14, 15, 19, 20, 30, 39, 40)] + [(100, "http://b.ex.com", 12), (101, None, 12), (102, "http://b.ex.com", None), (9, "http://a.ex.com/p", 9), (14, "http://a.ex.com/p", 14), (14, "http://a.ex.com/p", 14)], "id long, url string, day long").withColumn("key", F.lit("clash"))
+    rows = url_filters.evaluate(captures, url_filters.intervals(entries)).collect()
+    found = {r["id"]: (r["n_active"], r["blocked"]) for r in rows}
+    assert len(rows) == len(found) and found == {9: (0, False), 10: (1, True), 14: (1, True), 15: (2, False), 19: (2, False), 20: (1, False), 30: (2, False), 39: (2, False), 40: (1, False), 100: (1, True), 101: (0, False), 102: (0, False)}
     assert url_filters.evaluate(captures.limit(0), url_filters.intervals(entries)).count() == 0
     assert url_filters.evaluate(captures, url_filters.intervals(entries.limit(0))).where("n_active > 0").count() == 0
 
@@ -65,11 +66,22 @@ def test_warc_finds_damage():
     digest = hashlib.sha256(payload).hexdigest()
     records = warc.records_of(1, "u", payload, digest, None, 1000)
     parsed = [x for x in warc.parse_stream(iter([r + warc.SEPARATOR for r in records]))]
-    segments = [{"origin_id": "o", "segment": int(f["warc-segment-number"]), "total": int(f.get("warc-segment-total-length", 0)) or None, "block": b, "digest": digest, "record_id": "r", "record_type": "response", "page_id": 1, "refers_id": None} for f, b in parsed]
-    assert warc._assembled(segments, True)[0][-1] == payload
+    segments = [{"origin_id": "o", "segment": int(f["warc-segment-number"]), "total": int(f.get("warc-segment-total-length", 0)) or None, "block": b, "copies": 1, "digest": digest, "record_id": "r", "record_type": "response", "page_id": 1, "refers_id": None} for f, b in parsed]
+    assert [made[-1] for made in warc._assembled(segments, True)] == [payload]
     for broken in (segments[:-1], segments[:1] + segments[2:], [{**segments[0], "block": b"x" * 1000}, *segments[1:]]):
         with pytest.raises(ValueError):
-            warc._assembled(broken, True)
+            list(warc._assembled(broken, True))
+
+
+@pytest.mark.parametrize("end", ["\r", "\r\n", "\r\n\r", "\r\n\r\n", "\n", "\n\n\r\n"])
+def test_warc_blocks_may_end_in_line_breaks_at_file_ends(spark, end):
+    head = len(warc.records_of(1, "u", b"", "d", None)[0].partition(warc.SEPARATOR)[2]) - len(warc.chunked(b""))
+    before = warc.chunked(b"x" * 400).index(b"x")
+    rows = [(n, "u", "y" * (n + 400 - head - before - len(end)) + end + "z" * 300) for n in range(-3, 4)]  # a segment of 400 bytes ends near `end`
+    path = common.scratch(spark, "test") + "/a"
+    warc.write_archive(pages(spark, rows).repartition(2), path, segment_bytes=400, file_records=1)
+    read = warc.read_archive(spark, path)
+    assert {r["page_id"]: bytes(r["payload"]).decode() for r in read.collect()} == {n: html for n, _, html in rows}
 
 
 @given(st.binary(max_size=300), st.integers(1, 50))
@@ -105,6 +117,8 @@ def test_quality_edges(spark):
     none = spark.createDataFrame([], "doc_id long, grade int")
     model = quality.train(docs, none, 3)
     assert [r["tail_probability"] > 0.99 for r in quality.score(docs, model).collect()] == [True] * 4
+    bad = quality.train(docs, spark.createDataFrame([(1, 0), (3, 0)], "doc_id long, grade int"), 3)
+    assert quality.select_good(docs, bad).count() == 0
     assert quality.select_good(docs, model).columns == docs.columns and quality.select_good(docs, model).count() == 4
 
 
@@ -121,7 +135,7 @@ def test_top_k_with_ties(spark):
     vectors = [(i, [rng.randint(-3, 3) for _ in range(20)]) for i in range(400)]
     vectors += [(400 + i, vectors[7][1]) for i in range(200)] + [(900, [5]), (901, [])]
     df = spark.createDataFrame(vectors, "id long, v array<long>")
-    found = topk.top_k(df.where("id % 50 = 0"), df.unionByName(df.where("id < 10")), 5, query_block=3, part_rows=100)
+    found = topk.top_k(df.where("id % 50 = 0"), df.unionByName(df.where("id < 10")), 5, block_bytes=3 * 160, part_bytes=100 * 160)
     padded = [(i, v + [0] * (20 - len(v))) for i, v in vectors]
     assert {tuple(r) for r in found.collect()} == brute_top(padded, [(i, v) for i, v in padded if i % 50 == 0], 5)
 
@@ -131,6 +145,9 @@ def test_top_k_leaves_out_bad_vectors(spark):
     v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int"))
     assert [tuple(r) for r in topk.top_k(v.where("id = 0"), v, 5).collect()] == [(0, 1, 5, 256 * 64 + 512 * 128)]
     assert topk.top_k(v.limit(0), v.limit(0), 5).count() == 0
+    with pytest.raises(ValueError):
+        large = spark.createDataFrame([(1, [1 << 40]), (2, [1 << 31])], "id long, v array<long>")
+        topk.top_k(large, large, 1)
 
 
 def near_copies(seed=1, n=60):
@@ -161,7 +178,7 @@ def brute_classes(texts, idf):
         return i
     for i in range(len(texts)):
         for j in range(i):
-            same = made[i] == made[j] if isinstance(made[i], str) or isinstance(made[j], str) else minhash.weighted_jaccard(made[i], made[j]) >= 0.8
+            same = made[i] == made[j] if isinstance(made[i], str) or isinstance(made[j], str) else minhash.similar(made[i], made[j])
             if isinstance(made[i], str) != isinstance(made[j], str):
                 same = False
             if same:
@@ -199,11 +216,30 @@ def test_near_dedup_keeps_a_row_of_each_class(spark):
     assert len({n for _, n in kept} & {6, 7}) == 1 and len({n for _, n in kept} & {8, 9}) == 1
 
 
+def test_near_dedup_keeps_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(2, text, "a", "b", 1), (1, text, "c", "d", 2), (1, text, "e", None, 3), (3, "other words", None, None, 4)], "doc_id long, text string, `ROW` string, key string, class_id long")
+    for name in ("root", "bands", "row1", "found", "again", "n"):
+        df = df.withColumn(name, F.lit(7))
+    kept = minhash.deduplicate(df)
+    assert kept.columns == df.columns
+    rows = kept.orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["found"]) for r in rows] == [(1, 7), (3, 7)] and rows[0]["class_id"] in (2, 3)
+    assert {r["class_id"] for r in minhash.classes(df).collect()} == {1, 3}
+
+
+def test_near_dedup_of_one_repeated_row(spark):
+    """One row of each class stays, also of rows that are equal, have no id, or share an id with another text."""
+    x, y = "one two three four five six", "a wholly different text of some length"
+    df = spark.createDataFrame([(4, "p q r s t u"), (4, "p q r s t u"), (None, "v w x y z"), (None, "v w x y z"), (1, x), (5, x), (5, y)], "doc_id long, text string")
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in minhash.deduplicate(df).collect()))) == sorted(map(str, [(4, "p q r s t u"), (None, "v w x y z"), (1, x), (5, y)]))
+
+
 def test_samples_agree_like_weighted_jaccard():
     rng = np.random.default_rng(5)
     agree, expected = [], []
     for _ in range(60):
-        items = np.unique(minhash._mixed(rng.integers(1, 2**62, 300).astype(np.uint64)))
+        items = np.unique(words.mixed(rng.integers(1, 2**62, 300).astype(np.uint64)))
         a, b = rng.integers(1, 4, len(items)) * 1.5, rng.integers(1, 4, len(items)) * 1.5
         agree.append((minhash.samples(items, a) == minhash.samples(items, b)).mean())
         expected.append(np.minimum(a, b).sum() / np.maximum(a, b).sum())
@@ -237,13 +273,27 @@ def test_plan_places_every_piece(lengths):
     assert sum(t for t, _ in patterns) <= len(best_fit) + 2
 
 
-def test_tokens_are_the_librarys():
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_tokens_are_the_librarys(special_as_text):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(WORDS)
-    library.encode_special_tokens = True
-    texts = ["", "  \n ", "Don't STOP-now, we'LL… İstanbul'S", "a\tb\r\nc\x1cd", "ﬁ éa É ½ ²a ΣΑΣ", "<|endoftext|> x", "word, word. Word! (word) --"]
-    assert [np.frombuffer(b, "<u4").tolist() for b in packing.Tokens(WORDS).of(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    library.encode_special_tokens = special_as_text
+    texts = ["", "  \n ", "Don't STOP-now, we'LL… İstanbul'S", "a\tb\r\nc\x1cd", "ﬁ éa É ½ ²a ΣΑΣ", "<|endoftext|> x a<|startoftext|>b <|ENDOFTEXT|>", "word, word. Word! (word) --"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in packing.Tokens(WORDS, special_as_text).of(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_tokens_refuse_a_tokenizer_that_crosses_blanks(tmp_path):
+    with pytest.raises(ValueError):
+        packing.Tokens(P.path("byte_bpe_50k.json"))
+
+
+def test_packing_ranks_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CELL_PIECES", 7)
+    df = spark.createDataFrame([(None, "same words")] * 40 + [(1, "same words"), (2, "b")], "doc_id long, text string")
+    rows = packing.pack(packing.tokenize(df, WORDS, capacity=9, with_ids=False), 9).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows) == 42
+    assert len({r["sequence_id"] for r in rows}) == 14
 
 
 def test_packing_is_gapless(spark):

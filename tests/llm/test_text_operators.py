@@ -1,8 +1,10 @@
 """Byte-level BPE, chat formatting, secret scans and Ogg media against brute force and exact round trips."""
 
+import functools
 import hashlib
 import itertools
 import math
+import re
 import zlib
 
 import numpy as np
@@ -77,34 +79,76 @@ def test_chat_query_holds_every_turn(spark, sf_dir):
     assert found[-1]["loss_chars"] == 21
 
 
-def least_cost(value):
-    """Over all segmentations, brute-force runs joined."""
-    options = secrets.segments_from(value)
-    best = math.inf
-    def go(at, cost, brute):
-        nonlocal best
+KEYS = ["qwertyuiop", "asdfghjkl", "zxcvbnm"]
+
+
+def neighbours(a, b):
+    """Keys side by side in a row, in the row below to the left or straight, or next in the alphabet or the digits."""
+    for x, y in ((a, b), (b, a)):
+        if any(x + y in row for row in (*KEYS, "1234567890", "0123456789", "abcdefghijklmnopqrstuvwxyz")):
+            return True
+    return any(a in upper and b in lower and lower.index(b) - upper.index(a) in (-1, 0) for upper, lower in zip(KEYS, KEYS[1:]))
+
+
+def least_cost(value, lists=()):
+    """The same costs by a finder of its own: every stretch is tried as every kind, in every segmentation."""
+    low = value.lower()
+    plain = low.translate(secrets.LEET)
+
+    @functools.cache
+    def stretch(i, j):
+        options, part = [], value[i:j]
+        for form, extra in ((low[i:j], 0), (plain[i:j], 1)):
+            if form in secrets.ranks(lists) and j - i >= 3:
+                options.append(math.log10(secrets.ranks(lists)[form] + 1) + (0 if part.islower() else 0.5) + extra * (form != low[i:j]))
+        digits = re.sub("[-/._]", "", part)
+        year = r"(19|20)\d\d"
+        if re.fullmatch(year, part):
+            options.append(math.log10(130))
+        month, day, gap = "(0[1-9]|1[012])", "(0[1-9]|[12][0-9]|3[01])", "[-/._]?"
+        if digits.isascii() and (re.fullmatch(year + gap + month + gap + day, part) or re.fullmatch(day + gap + month + gap + year, part)):
+            options.append(math.log10(130 * 366))
+        if j - i >= 3 and all(neighbours(a, b) for a, b in zip(low[i:j], low[i + 1 : j])):
+            options.append(math.log10(47 * (j - i)))
+        for unit in range(1, secrets.UNIT + 1):
+            times = (j - i) // unit
+            if times >= (3 if unit == 1 else 2) and low[i:j] == low[i : i + unit] * times:
+                options.append(least_cost(low[i : i + unit], lists) + math.log10(times))
+        return min(options, default=math.inf)
+
+    def brute(i, j):
+        return sum(1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33) for c in value[i:j])
+
+    @functools.cache
+    def rest(at, after_brute):
         if at == len(value):
-            best = min(best, cost)
-            return
-        step = secrets.STEP if at else 0.0
-        go(at + 1, cost + secrets.brute_cost(value[at]) + (0.0 if brute else step), True)
-        for end, own, _ in options[at]:
-            go(end, cost + step + own, False)
-    go(0, 0.0, False)
-    return best
-
-
-@given(st.text(alphabet="aqwertypsd0123$P", min_size=1, max_size=10))
-@settings(max_examples=100, deadline=None)
-def test_guess_cost_is_least(value):
-    cost, path = secrets.guess_cost(value)
-    assert cost == pytest.approx(least_cost(value))
+            return 0.0
+        step = math.log10(2) if at else 0.0
+        return min(step + min(stretch(at, end) + rest(end, False), math.inf if after_brute else brute(at, end) + rest(end, True)) for end in range(at + 1, len(value) + 1))
+
+    return rest(0, False)
+
+
+LISTS = (P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken"))
+PARTS = st.sampled_from(["admin", "opqrs", "1999", "2019", "9999", "31.12.", "2000-01-02", "abc", "abab", "qwe", "gfd", "pass", "P4ss", "word", "aaa", "0", "$", "patience", "ß"])
+
+
+@given(st.text(alphabet="aqwertypsd0123$P", min_size=1, max_size=10) | st.lists(PARTS, min_size=1, max_size=5).map("".join), st.sampled_from([(), LISTS]))
+@settings(max_examples=250, deadline=None)
+def test_guess_cost_is_least(value, lists):
+    cost, path = secrets.guess_cost(value, lists)
+    assert cost == pytest.approx(least_cost(value, lists))
     assert [p[0] for p in path] + [len(value)] == [0] + [p[1] for p in path]
 
 
 def test_guess_cost_orders_passwords():
     cost = lambda v: secrets.guess_cost(v)[0]
     assert cost("password") < cost("p4ssw0rd1") < cost("Xk9#mQ2$vL")
+    assert [kind for *_, kind in secrets.guess_cost("adminopqrs")[1]] == ["word", "walk"]
+    assert [kind for *_, kind in secrets.guess_cost("20199999")[1]] == ["date", "repeat"]
+    assert [kind for *_, kind in secrets.guess_cost("k8#k8#k8#")[1]] == ["repeat"]
+    assert secrets.guess_cost("patience", LISTS)[0] < secrets.SECRET_COST < secrets.guess_cost("patience")[0]
+    assert secrets.guess_cost("ab" * 50_000 + "x9" * 50_000)[0] < 20
     assert cost("aaaaaaaaaa") < 4 and cost("qwertyuiop") < 4 and cost("1999-12-31") < 6
 
 
