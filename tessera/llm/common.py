@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that an operator handles, and returns, at once.
+#: Rows that an operator handles, and returns, at once; that Spark hands to Python at once; after which memory is trimmed.
 SLICE_ROWS = 256
+BATCH_ROWS = 1024
+TRIM_ROWS = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,10 +86,35 @@ def text_of(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after its session is set to hand BATCH_ROWS rows at once to Python, as rows may hold long texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    """The C library's call that gives freed memory back to the system, where there is one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches in slices; what was freed goes back to the system now and then, as workers outlive tasks."""
+    seen = 0
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        seen += batch.num_rows
+        if seen >= TRIM_ROWS:
+            del batch
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+            seen = 0
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def map_rows(df: DataFrame, schema: str, kernel: Callable[[pa.RecordBatch], dict], rows: int = SLICE_ROWS) -> DataFrame:
@@ -97,7 +126,7 @@ def map_rows(df: DataFrame, schema: str, kernel: Callable[[pa.RecordBatch], dict
             out = kernel(part)
             yield pa.RecordBatch.from_arrays([column if isinstance(column, (pa.Array, pa.ChunkedArray)) else pa.array(column, f.type) for column, f in zip(out.values(), arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:

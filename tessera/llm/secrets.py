@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, text_of
+from .common import map_rows, small_batches, text_of
 
 #: Span kinds in the order in which spans at one start are listed.
 BASE_KINDS = ("assign", "access", "hex")
@@ -238,4 +238,4 @@ def redact(df: DataFrame, text_column: str = "text", secret_cost: float = SECRET
     def masked(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: text if text is None else redact_text(text, secret_cost, lists=lists))
 
-    return df.withColumn(text_column, masked(F.col(text_column)))
+    return small_batches(df).withColumn(text_column, masked(F.col(text_column)))
