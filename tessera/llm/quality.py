@@ -22,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import SLICE_ROWS, map_rows, text_of
+from .common import SLICE_ROWS, map_rows, small_batches, text_of
 
 SAMPLE_ROWS = 8000
-BITS = 18
-STEPS, RATE, RIDGE = 200, 0.05, 1e-4
+BITS = 20
+#: Characters that inflected and compound words share with their stem.
+STEM = 4
+STEPS, RATE, RIDGE = 400, 0.05, 1e-4
 #: Standard errors by which the mean grade of a feature's documents must differ from the mean grade, to be fitted.
-SCREEN = 4.0
+SCREEN = 3.0
 LEAST_PROBABILITY = 0.5
 
 
@@ -42,14 +44,15 @@ def _form(name: str, level: int) -> int:
 
 
 def features_of(texts: list[str]) -> list[np.ndarray]:
-    """For each text the distinct hash buckets of its words and symbols, in lower case, and of its form, sorted.
+    """For each text the distinct hash buckets of its words and symbols, in lower case, of the stems of longer words, and of
+    its form, sorted.
 
     Words are runs of word characters, symbols runs of others but white space; a run that begins with an underscore
     counts as neither in the shares. Form: shares of words in capitals, of symbols, of distinct buckets, of repeated
     lines and of numbers, and the length, each by levels.
     """
     joined, bounds = words.joined_texts(texts)
-    parts = [(np.zeros(0, np.int64), *(np.zeros(0, bool) for _ in range(3)), np.zeros(0, np.int64))]
+    parts = [(np.zeros(0, np.int64), *(np.zeros(0, bool) for _ in range(3)), *(np.zeros(0, np.int64) for _ in range(2)))]
     for at, chars, kinds in words.windows(joined, words.classes(r"\w", r"[^\w\s]")):
         starts, lengths = words.runs(kinds)
         if not len(starts):
@@ -58,25 +61,31 @@ def features_of(texts: list[str]) -> list[np.ndarray]:
         word = (kinds[starts] == 1) & (chars[starts] != ord("_"))
         capitals = word & (lengths > 1) & (np.bitwise_or.reduceat(words.cases()[chars[within]], first) == 1)
         number = word & (words.classes(r"\d")[chars[starts]] > 0)
-        bucket = words.run_hashes(words.lower_case()[chars], starts, lengths) >> np.uint64(64 - BITS)
-        parts.append((starts + at, word, capitals, number, bucket.astype(np.int64)))
-    starts, word, capitals, number, bucket = (np.concatenate(column) for column in zip(*parts))
+        low = words.lower_case()[chars]
+        bucket = words.run_hashes(low, starts, lengths) >> np.uint64(64 - BITS)
+        longer = word & (lengths > STEM)
+        stem = np.full(len(starts), -1, np.int64)
+        stem[longer] = (words.run_hashes(low, starts[longer], np.full(longer.sum(), STEM), 1) >> np.uint64(64 - BITS)).astype(np.int64)
+        parts.append((starts + at, word, capitals, number, bucket.astype(np.int64), stem))
+    starts, word, capitals, number, bucket, stem = (np.concatenate(column) for column in zip(*parts))
     text = np.searchsorted(bounds, starts, "right") - 1
     tokens, n_words, n_capitals, n_numbers = (np.bincount(text[which], minlength=len(texts)).tolist() for which in (slice(None), word, capitals, number))
     distinct = words.distinct((text << BITS) | bucket)
-    cuts = np.searchsorted(distinct >> BITS, np.arange(len(texts) + 1)).tolist()
+    n_distinct = np.bincount(distinct >> BITS, minlength=len(texts)).tolist()
+    every = words.distinct(np.concatenate([distinct, ((text << BITS) | stem)[stem >= 0]]))
+    cuts = np.searchsorted(every >> BITS, np.arange(len(texts) + 1)).tolist()
     out = []
     for at, own in enumerate(texts):
         lines = own.split("\n")
         form = [
             _form("upper", _share(n_capitals[at], n_words[at])),
             _form("symbols", _share(tokens[at] - n_words[at], tokens[at])),
-            _form("distinct", _share(cuts[at + 1] - cuts[at], tokens[at])),
+            _form("distinct", _share(n_distinct[at], tokens[at])),
             _form("lines", _share(len(lines) - len(set(lines)), len(lines))),
             _form("words", n_words[at].bit_length()),
             _form("digits", _share(n_numbers[at], n_words[at])),
         ]
-        out.append(words.distinct(np.concatenate([distinct[cuts[at] : cuts[at + 1]] & ((1 << BITS) - 1), form])).astype(np.int32))
+        out.append(words.distinct(np.concatenate([every[cuts[at] : cuts[at + 1]] & ((1 << BITS) - 1), form])).astype(np.int32))
     return out
 
 
@@ -187,7 +196,7 @@ def select_good(documents: DataFrame, model: Model, least: float = LEAST_PROBABI
         every = texts.fillna("").tolist()
         return pd.Series(np.concatenate([np.zeros(0), *(reach(every[at : at + SLICE_ROWS])[:, -1] for at in range(0, len(every), SLICE_ROWS))]))
 
-    return documents.where(tail(F.col("text")) >= least)
+    return small_batches(documents).where(tail(F.col("text")) >= least)
 
 
 def grade(quality: Column, toxic: Column) -> Column:
