@@ -83,12 +83,14 @@ def features(text):
             return 0
         return min(8, int(math.log2(part * 16 // whole + 1)) + 1 + (3 if part * 2 > whole else 0))
 
-    def bucket(token):
-        return int(splitter.run_hashes(np.array([*map(ord, token)], np.uint32), np.array([0]), np.array([len(token)]))[0]) >> (64 - quality.BITS)
+    def bucket(token, seed=0):
+        return int(splitter.run_hashes(np.array([*map(ord, token)], np.uint32), np.array([0]), np.array([len(token)]), seed)[0]) >> (64 - quality.BITS)
 
-    found = {bucket("".join(c.lower() if len(c.lower()) == 1 else c for c in t)) for t in tokens}
+    low = lambda t: "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+    found = {bucket(low(t)) for t in tokens}
+    stems = {bucket(low(w[: quality.STEM]), 1) for w in words if len(w) > quality.STEM}
     form = {"upper": share(sum(w.isupper() for w in words if len(w) > 1), len(words)), "symbols": share(len(tokens) - len(words), len(tokens)), "distinct": share(len(found), len(tokens)), "lines": share(len(lines) - len(set(lines)), len(lines)), "words": len(words).bit_length(), "digits": share(sum(w[0].isdigit() for w in words), len(words))}
-    return found | {zlib.crc32(f"\0{k}={v}".encode()) // 2 ** (32 - quality.BITS) for k, v in form.items()}
+    return found | stems | {zlib.crc32(f"\0{k}={v}".encode()) // 2 ** (32 - quality.BITS) for k, v in form.items()}
 
 
 def graded(spark, tables):
