@@ -100,15 +100,20 @@ class _Starts:
     """Where segments of one run may start, with the cost before; only starts that can be best for some later end.
 
     A segment's cost grows with the logarithm of its length in units, `least` at least, so an earlier start stays better
-    than a later one if it is so at the later one's first end.
+    than a later one if it is so at the later one's first end. That counts from the next start on: only then does
+    whatever ends the run for the earlier one end it for the later one too.
     """
 
     def __init__(self, least: int, unit: int = 1):
         self.least, self.unit, self.starts = least, unit, []
 
     def add(self, start: int, before: float) -> None:
-        if all(before + math.log10(self.least) < cost + math.log10((start - at) // self.unit + self.least) for at, cost in self.starts):
-            self.starts.append((start, before))
+        if len(self.starts) > 1:
+            last, cost = self.starts[-1]
+            own = cost + math.log10(self.least)
+            if any(other + math.log10((last - at) // self.unit + self.least) <= own for at, other in self.starts[:-1]):
+                self.starts.pop()
+        self.starts.append((start, before))
 
     def keep_from(self, first: int) -> None:
         if self.starts and self.starts[0][0] < first:
