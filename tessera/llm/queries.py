@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chat_digest, common, minhash, ogg, packing, quality, secrets, topk, url_filters, warc
+from . import bpe, chat, chat_digest, common, minhash, multi_index, ogg, packing, quality, secrets, topk, url_filters, warc
 from .common import table
 
 #: Ranked words of English and of several languages.
@@ -89,6 +89,11 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op13_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.stored(multi_index.vectors(table(spark, sf_dir, "embeddings")), "vectors")
+    return multi_index.nearest(vectors.where("id % 50 = 0"), vectors, 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_chat_format": op2_chat_format,
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op5_quality": op5_quality,
     "op7_near_dedup": op7_near_dedup,
+    "op13_multi_index": op13_multi_index,
 }
 
 ORACLE_SQL: dict[str, str] = {
