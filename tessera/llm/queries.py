@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chat_digest, common, minhash, multi_index, ogg, packing, quality, secrets, topk, url_filters, warc
+from . import audit, bpe, chat, chat_digest, common, minhash, multi_index, ogg, packing, quality, secrets, topk, url_filters, warc
 from .common import table
 
 #: Ranked words of English and of several languages.
@@ -94,6 +94,10 @@ def op13_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.nearest(vectors.where("id % 50 = 0"), vectors, 5)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_chat_format": op2_chat_format,
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op7_near_dedup": op7_near_dedup,
     "op13_multi_index": op13_multi_index,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -158,4 +163,31 @@ ORACLE_SQL: dict[str, str] = {
                    FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0),
              r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_filter_audit": r"""
+        WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+             w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM t),
+             l AS (SELECT doc_id, max(coalesce(CAST(quality = 1 AS INTEGER), 0)) AS good, max(coalesce(CAST(toxic = 1 AS INTEGER), 0)) AS toxic FROM labels GROUP BY doc_id),
+             f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                          CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+                          || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+                          || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END
+                          || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+                          || CASE WHEN w.doc_id > first_id THEN 'E' ELSE '' END AS fails
+                   FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+             m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+             x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+             o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+                   WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+             s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS own, filter_order[1:step - 1] AS before
+                   FROM o, (SELECT unnest(range(1, 6)) AS step)),
+             c AS (SELECT *, contains(fails, own) AS failing, regexp_matches(fails, '[' || CASE before WHEN '' THEN 'z' ELSE before END || ']') AS gone FROM m, s),
+             r AS (SELECT part, filter_order, step, own,
+                          sum(CASE WHEN NOT failing AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN failing AND NOT gone THEN n ELSE 0 END) AS removed,
+                          sum(CASE WHEN failing AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+                          sum(CASE WHEN failing AND NOT gone THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN failing AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost
+                   FROM c GROUP BY part, filter_order, step, own)
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM r""",
 }
