@@ -6,7 +6,6 @@ In UTF-8 all bytes of characters beyond ASCII are 128 and more, so that runs bet
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,28 +62,30 @@ def runs(inside: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-@lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A number for each byte, powers of an odd number and of its inverse modulo 2^64."""
-    base = 0x9E3779B97F4A7C15
-    numbers = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
-    steps = [np.full(size, step, np.uint64) for step in (base, pow(base, -1, 1 << 64))]
-    for step in steps:
-        step[0] = 1
-    return numbers, *(np.multiply.accumulate(step) for step in steps)
+_BASE = 0x9E3779B97F4A7C15
+_NUMBERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_powers: dict[str, np.ndarray] = {}
+
+
+def _powers_of(name: str, step: int, size: int) -> np.ndarray:
+    """At least size powers of an odd number modulo 2^64."""
+    if len(_powers.get(name, ())) < max(1, size):
+        steps = np.full(1 << max(20, (size - 1).bit_length()), step, np.uint64)
+        steps[0] = 1
+        _powers[name] = np.multiply.accumulate(steps)
+    return _powers[name]
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Sums, before each byte and behind the last, of the bytes' numbers times powers of their place."""
-    numbers, powers, _ = _powers(max(WINDOW_BYTES, 1 << max(0, len(data) - 1).bit_length()))
+    """Sums, before each byte and behind the last, of a number for each byte times a power for its place."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(numbers[data] * powers[: len(data)], out=out[1:])
+    np.cumsum(_NUMBERS[data] * _powers_of("place", _BASE, len(data))[: len(data)], out=out[1:])
     return out
 
 
 def hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each stretch of bytes, wherever it stands: equal hashes are to be verified by same()."""
-    inverse = _powers(max(WINDOW_BYTES, 1 << max(0, len(prefix) - 2).bit_length()))[2]
+    inverse = _powers_of("inverse", pow(_BASE, -1, 1 << 64), len(prefix))
     return mixed((prefix[ends] - prefix[starts]) * inverse[starts])
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, chat, chat_digest, common, minhash, multi_index, ogg, packing, quality, secrets, topk, url_filters, warc
+from . import audit, bpe, chat, chat_digest, common, minhash, multi_index, ogg, packing, phrases, quality, secrets, topk, url_filters, warc
 from .common import table
 
 #: Ranked words of English and of several languages.
@@ -98,6 +98,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_roundtrip": op1_bpe_roundtrip,
     "op2_chat_format": op2_chat_format,
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op5_quality": op5_quality,
     "op7_near_dedup": op7_near_dedup,
+    "op11_collocations": op11_collocations,
     "op13_multi_index": op13_multi_index,
     "op12_filter_audit": op12_filter_audit,
 }
@@ -190,4 +195,23 @@ ORACLE_SQL: dict[str, str] = {
                CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
                CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
         FROM r""",
+    "op11_collocations": r"""
+        WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+             p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+             w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+             g AS (SELECT lang, words, unnest(range(1, 4)) AS k FROM w),
+             o AS (SELECT lang, k, unnest(list_transform(range(1, len(words) - k + 2), lambda i: array_to_string(words[i:i + k - 1], ' '))) AS phrase FROM g WHERE len(words) >= k),
+             t AS (SELECT lang, CAST(count(*) AS BIGINT) AS n FROM o WHERE k = 1 GROUP BY lang),
+             f AS (SELECT lang, k, phrase, CAST(count(*) AS BIGINT) AS f, string_split(phrase, ' ') AS words FROM o GROUP BY lang, k, phrase HAVING count(*) >= 10),
+             c AS (SELECT lang, phrase, f AS a, words, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+             s AS (SELECT c.lang, c.phrase, a, cut, x.f AS l, y.f AS r, CAST(1000000 AS HUGEINT) * a * a // (CAST(x.f AS HUGEINT) * y.f) AS score
+                   FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.words[1:cut], ' ')
+                          JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.words[cut + 1:], ' ')),
+             b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+             i AS (SELECT lang, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS phrase, f FROM f WHERE k = 3),
+             m AS (SELECT lang, phrase, max(f) AS longer FROM i GROUP BY lang, phrase),
+             r AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, t.n AS n, CAST(score AS BIGINT) AS score
+                   FROM b JOIN t ON t.lang = b.lang LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase
+                   WHERE m.longer IS NULL OR 100 * m.longer < 50 * a)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM r WHERE rank <= 2000""",
 }
