@@ -13,10 +13,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import MaxAbsScaler, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .checkpoints import coefficient_rows, top_indices
+from .checkpoints import coefficient_rows, load_arrays, save_arrays, top_indices
+from .folds import NORMALIZATIONS, Folds, fit_folds
 from .prototypes import Prototypes
 
 
@@ -75,11 +76,62 @@ class _Wrapped:
         return out
 
 
-def linear(c: float = 1.0, normalize: bool = True, iterations: int = 200, sgd: bool = False) -> _Wrapped:
-    """Logistic regression with balanced classes; its penalty is 1 / (c n), or 1 / c as a stochastic solver counts it."""
-    scaler = lambda: Normalizer(inputCol="raw", outputCol="features", p=2.0 if normalize else float("inf"))
-    column = "features" if normalize else "raw"
-    return _Wrapped(lambda n: [*([scaler()] if normalize else []), LogisticRegression(featuresCol=column, weightCol="w", regParam=1 / c if sgd else 1 / (c * n), standardization=False, maxIter=iterations, tol=1e-9)], weighted=True)
+class Linear(_Wrapped):
+    """Logistic regression with balanced classes; its penalty is 1 / (c n), or 1 / c as a stochastic solver counts it.
+
+    normalize: rows to length 1 (l2, or True), features to mean 0 and deviation 1 over the rows it is fitted on (standard),
+    or none (or False).
+    """
+
+    def __init__(self, c: float = 1.0, normalize: bool | str = True, iterations: int = 200, sgd: bool = False):
+        self.c, self.iterations, self.sgd = c, iterations, sgd
+        self.normalize = {True: "l2", False: "none"}.get(normalize, normalize)
+        if self.normalize not in NORMALIZATIONS:
+            raise ValueError(f"no such normalization: {normalize}")
+        self.folds: Folds | None = None
+        scaler = [Normalizer(inputCol="raw", outputCol="features", p=2.0)] if self.normalize == "l2" else []
+        column = "features" if scaler else "raw"
+        super().__init__(lambda n: [*scaler, LogisticRegression(featuresCol=column, weightCol="w", regParam=1 / c if sgd else 1 / (c * n), standardization=False, maxIter=iterations, tol=1e-9)], weighted=True)
+
+    def clone(self) -> "Linear":
+        return Linear(self.c, self.normalize, self.iterations, self.sgd)
+
+    def fit(self, xy: DataFrame) -> "Linear":
+        if self.normalize != "standard":
+            return super().fit(xy)
+        self.folds = fit_folds(xy, None, self.c, self.normalize, self.sgd, self.iterations)
+        return self
+
+    def fit_folds(self, xy: DataFrame, group: str) -> Folds:
+        """This model of all rows and without each group, fitted together."""
+        return fit_folds(xy, group, self.c, self.normalize, self.sgd, self.iterations)
+
+    def scores(self, xy: DataFrame) -> DataFrame:
+        return self.folds.scores(xy, None) if self.normalize == "standard" else super().scores(xy)
+
+    def weights(self) -> np.ndarray:
+        return self.folds.coefficients[0] if self.normalize == "standard" else super().weights()
+
+    def top_features(self, k: int, direction: str = "positive") -> list[int]:
+        return top_indices(self.weights(), k, direction)
+
+    def save(self, path: str) -> None:
+        if self.normalize != "standard":
+            return super().save(path)
+        own = self.folds
+        save_arrays(SparkSession.getActiveSession(), path, {"coefficients": own.coefficients, "intercepts": own.intercepts, "means": own.means, "scales": own.scales}, {"l2": own.l2})
+
+    def load(self, path: str) -> "Linear":
+        if self.normalize != "standard":
+            return super().load(path)
+        out = self.clone()
+        arrays, settings = load_arrays(SparkSession.getActiveSession(), path)
+        out.folds = Folds([], **arrays, **settings)
+        return out
+
+
+def linear(c: float = 1.0, normalize: bool | str = True, iterations: int = 200, sgd: bool = False) -> Linear:
+    return Linear(c, normalize, iterations, sgd)
 
 
 def boosted(trees: int = 20, depth: int = 4, rate: float = 0.1, subsample: float = 1.0, seed: int = 42) -> _Wrapped:
@@ -117,8 +169,11 @@ def stratified_split(rows: DataFrame, test_share: float, seed: int = 42) -> Data
 
 
 def out_of_fold(classifier: Classifier, xy: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Scores of every row by a model that hasn't seen it; prototypes of all folds at once, else a loop over folds, which are few."""
+    """Scores of every row by a model that hasn't seen it; prototypes and linear models of all folds at once, else a loop
+    over folds, which are few."""
     dealt = with_fold(xy, folds, seed)
+    if isinstance(classifier, Linear):
+        return classifier.fit_folds(dealt, "fold").scores(dealt, "fold")
     if isinstance(classifier, Prototypes) and classifier.distance != "mahalanobis":
         return classifier.held_out_scores(dealt, "fold")
     out = None
@@ -130,8 +185,10 @@ def out_of_fold(classifier: Classifier, xy: DataFrame, folds: int = 5, seed: int
 
 
 def lodo_scores(classifier: Classifier, xy: DataFrame) -> DataFrame:
-    """Leave one dataset out: scores of each dataset by a model fitted on the others; prototypes of all datasets at once,
-    else a loop over datasets, which are few."""
+    """Leave one dataset out: scores of each dataset by a model fitted on the others; prototypes and linear models of all
+    datasets at once, else a loop over datasets, which are few."""
+    if isinstance(classifier, Linear):
+        return classifier.fit_folds(xy, "dataset_id").scores(xy, "dataset_id")
     if isinstance(classifier, Prototypes) and classifier.distance != "mahalanobis":
         return classifier.held_out_scores(xy, "dataset_id")
     out = None
@@ -144,8 +201,12 @@ def lodo_scores(classifier: Classifier, xy: DataFrame) -> DataFrame:
 
 
 def lodo_coefficients(classifier: _Wrapped, xy: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(i, coef) of a model of all rows, and (dataset_id, i, coef) of one for each dataset held out: d rows a fold."""
+    """(i, coef) of a model of all rows, and (dataset_id, i, coef) of one for each dataset held out: d rows a fold. Linear
+    models are fitted together, others one by one."""
     spark = xy.sparkSession
+    if isinstance(classifier, Linear):
+        folds = classifier.fit_folds(xy, "dataset_id")
+        return folds.baseline(spark), folds.held_out(spark)
     names = [row["dataset_id"] for row in xy.select("dataset_id").distinct().orderBy("dataset_id").collect()]
     baseline = coefficient_rows(spark, classifier.clone().fit(xy).weights())
     held = None
