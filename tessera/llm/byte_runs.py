@@ -62,6 +62,8 @@ def runs(inside: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
+#: Powers are kept in multiples of this number.
+POWERS = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _NUMBERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _powers: dict[str, np.ndarray] = {}
@@ -70,7 +72,7 @@ _powers: dict[str, np.ndarray] = {}
 def _powers_of(name: str, step: int, size: int) -> np.ndarray:
     """At least size powers of an odd number modulo 2^64."""
     if len(_powers.get(name, ())) < max(1, size):
-        steps = np.full(1 << max(20, (size - 1).bit_length()), step, np.uint64)
+        steps = np.full(-(-max(1, size) // POWERS) * POWERS, step, np.uint64)
         steps[0] = 1
         _powers[name] = np.multiply.accumulate(steps)
     return _powers[name]

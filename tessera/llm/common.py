@@ -101,6 +101,12 @@ def _trim() -> Callable[[int], int]:
         return lambda _: 0
 
 
+def give_back() -> None:
+    """Gives freed memory back to the system: workers outlive tasks, and what they once needed would stay theirs."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Batches in slices; what was freed goes back to the system now and then, as workers outlive tasks."""
     seen = 0

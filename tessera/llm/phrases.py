@@ -34,7 +34,9 @@ from .words import mixed, places
 GROUP_BYTES = 4 << 20
 MOST_HOT = 10_000
 #: Bytes of text whose equal suffixes add up before the shuffle.
-WINDOW_BYTES = 4 << 20
+WINDOW_BYTES = 2 << 20
+#: Phrases that are written as lines at once.
+LINES = 1 << 16
 #: Stretches that a language's phrases are ranked in first.
 RANK_GROUPS = 64
 _BLANK, _BREAK = byte_runs.table(b" \t"), byte_runs.table(b".,;:!?\n\x0b\x0c\r")
@@ -90,7 +92,10 @@ class Words:
         """The phrases from words first to words last as lines, and where each begins, and the last ends."""
         starts, lengths = self.starts[first], self.ends[last] - self.starts[first] + 1
         ends = np.cumsum(lengths)
-        data = self.joined[places(starts, lengths)[0]]
+        data = np.empty(int(lengths.sum()), np.uint8)
+        for at in range(0, len(starts), LINES):  # places take eight times their bytes
+            some = slice(at, at + LINES)
+            data[ends[at] - lengths[at] : ends[some][-1]] = self.joined[places(starts[some], lengths[some])[0]]
         data[ends - 1] = ord("\n")
         return data, np.concatenate([[0], ends])
 
@@ -188,6 +193,7 @@ def suffixes(docs: DataFrame, groups: Groups, max_n: int) -> DataFrame:
                 lines = pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets[np.append(begins, len(one))].astype(np.int32)), pa.py_buffer(data))
                 counts = pa.ListArray.from_arrays(pa.array(np.append(begins, len(one)).astype(np.int32)), pa.array(n.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()).take(pa.array(of // groups.count)), pa.array(of % groups.count), lines, counts], schema=arrow)
+                common.give_back()
 
     return common.small_batches(docs).mapInArrow(run, GROUPS)
 
@@ -238,6 +244,7 @@ def counted(docs: DataFrame, groups: Groups, max_n: int, least: int) -> DataFram
             texts = [words.take(pa.array(column)) for column in ids[keep, :depth].T]
             phrase = pc.binary_join_element_wise(*texts, " ") if depth > 1 else texts[0]
             out.append(pa.table([pa.repeat(key[0], len(phrase)), pa.repeat(pa.scalar(depth, pa.int32()), len(phrase)), phrase, pa.array(n[keep])], schema=arrow))
+        common.give_back()
         return pa.concat_tables(out)
 
     parts = suffixes(docs, groups, max_n).groupBy("lang", "group").applyInArrow(stack, COUNTS)
