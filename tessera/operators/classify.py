@@ -10,12 +10,14 @@ from typing import Protocol
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import MaxAbsScaler, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .boosting import Boosted
+from .boosting import Settings as BoostSettings
 from .checkpoints import coefficient_rows, load_arrays, save_arrays, top_indices
 from .folds import NORMALIZATIONS, Folds, fit_folds
 from .prototypes import Prototypes
@@ -134,8 +136,9 @@ def linear(c: float = 1.0, normalize: bool | str = True, iterations: int = 200,
     return Linear(c, normalize, iterations, sgd)
 
 
-def boosted(trees: int = 20, depth: int = 4, rate: float = 0.1, subsample: float = 1.0, seed: int = 42) -> _Wrapped:
-    return _Wrapped(lambda n: [GBTClassifier(featuresCol="raw", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed)])
+def boosted(trees: int = 100, depth: int = 6, rate: float = 0.3, **settings) -> Boosted:
+    """Trees of second order; the other settings are those of boosting.Settings."""
+    return Boosted(BoostSettings(trees, depth, rate, **settings))
 
 
 def neural(layers: tuple[int, ...], iterations: int = 50, seed: int = 42) -> _Wrapped:

@@ -42,7 +42,16 @@ def stored(df: DataFrame) -> DataFrame:
     fs, folder = _at(spark, path)
     df.write.parquet(path)
     fs.deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def removed(*frames: DataFrame) -> None:
+    """Removes the folders of stored() tables that nothing reads any more."""
+    for df in frames:
+        fs, folder = _at(df.sparkSession, df._stored_at)
+        fs.delete(folder, True)
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
