@@ -22,6 +22,16 @@ def run_id(day: Column, key: Column) -> Column:
     return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("_"), F.substring(F.sha1(key), 1, 8))
 
 
+def unique_run_id(day: Column, key: Column) -> Column:
+    """The run id of that day and key with 24 more digits of the hash: none are equal among any number of keys."""
+    return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("_"), F.substring(F.sha1(key), 1, 32))
+
+
+def short_run_id(run: Column) -> Column:
+    """A run id as it is shown: the date and eight digits."""
+    return F.substring(run, 1, 19)
+
+
 def date_of(run: Column) -> Column:
     """The date part of a run id, null where it has none."""
     first = F.split_part(run, F.lit("_"), F.lit(1))

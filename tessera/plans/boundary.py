@@ -5,6 +5,7 @@ The pre- and post-processing around a model call is column expressions; the call
 
 from __future__ import annotations
 
+import itertools
 import json
 import time
 from collections.abc import Callable, Iterator
@@ -60,17 +61,24 @@ def judge_evaluator(prompts: DataFrame, call: Call) -> DataFrame:
     return out.withColumn("lj_label", X.judge_verdict(F.col("lj_raw")))
 
 
+#: Chunks that a classifier gets at once.
+CHUNKS = 1024
+
+
 def chunk_evaluator(prompts: DataFrame, classify: Classify, chunk_chars: int = 2000, threshold: float = 0.5) -> DataFrame:
-    """pg_score, the largest chance that a chunk isn't benign, and pg_label; chunks are scored as rows of their own."""
+    """pg_score, the largest chance that a chunk isn't benign, and pg_label; a row's chunks are scored together with those of
+    the rows around it, at most CHUNKS at once. Rows need no id, and repeated ones are rows of their own."""
 
     @F.pandas_udf("double")
-    def benign(batch: pd.Series) -> pd.Series:
-        return pd.Series(classify(batch.tolist()), dtype=float)
+    def worst(batch: pd.Series) -> pd.Series:
+        lists = [list(chunks) if chunks is not None and len(chunks) else [""] for chunks in batch]
+        flat = list(itertools.chain.from_iterable(lists))
+        benign = [score for at in range(0, len(flat), CHUNKS) for score in classify(flat[at : at + CHUNKS])]
+        starts = np.cumsum([0, *map(len, lists)])[:-1]
+        return pd.Series(1 - np.minimum.reduceat(np.asarray(benign, float), starts) if len(lists) else [], dtype=float)
 
     content = F.coalesce("text", X.flattened(F.col("messages")))
-    chunks = prompts.select("prompt_id", F.explode_outer(X.chunks(content, chunk_chars)).alias("chunk"))
-    scores = chunks.withColumn("s", 1 - benign(F.coalesce("chunk", F.lit("")))).groupBy("prompt_id").agg(F.max("s").alias("pg_score"))
-    return prompts.join(scores, "prompt_id").withColumn("pg_label", (F.col("pg_score") >= threshold).cast("int"))
+    return prompts.withColumn("pg_score", worst(X.chunks(content, chunk_chars))).withColumn("pg_label", (F.col("pg_score") >= threshold).cast("int"))
 
 
 #: (output, target tool, attacker's tools, user's tool, attacker's instruction) to a verdict, for one answer.

@@ -89,6 +89,23 @@ def injected(spark, d):
     return K.injected(contexts, attacks).select("idx", "attack", "position", F.length("user_prompt").cast("long").alias("n"))
 
 
+@query("SRC9_JN12_injected_shard", """WITH c AS (SELECT text AS context, row_number() OVER (ORDER BY min(doc_id)) - 1 AS idx FROM documents GROUP BY text), a AS (SELECT text AS attack_str, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n FROM benchmark),
+    g AS (SELECT (c.idx * a.n + a.k) * 3 + p.p AS cell, p.p, length(c.context) + 1 + length(a.attack_str) AS chars FROM c, a, (SELECT unnest([0, 1, 2]) AS p) p)
+    SELECT cell, CASE p WHEN 0 THEN 'start' WHEN 1 THEN 'middle' ELSE 'end' END AS position, CAST(chars AS BIGINT) AS n FROM g WHERE cell >= 1001 AND cell < 4321""")
+def injected_shard(spark, d):
+    """A stretch of the grid of all contexts, attacks and positions, made without the rest."""
+    contexts = K.numbered(K.first_of_context(source(spark, d, context="text")).select(F.col("idx").alias("doc_id"), "context"), "doc_id")
+    attacks = K.numbered(V.table(spark, d, "benchmark").select("item_id", F.col("text").alias("attack_str")), "item_id").select("idx", "attack_str")
+    return K.injected_range(contexts, attacks, 1001, 4321).select("cell", "position", F.length("user_prompt").cast("long").alias("n"))
+
+
+@query("SRC4_numbered_repeats", "SELECT lang, min(idx) AS first, max(idx) AS last, count(DISTINCT idx) AS n FROM (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS idx FROM (SELECT lang FROM documents UNION ALL SELECT lang FROM documents)) GROUP BY lang")
+def numbered_repeats(spark, d):
+    """Every row has a number of its own, equal ones too."""
+    rows = V.table(spark, d, "documents").select("lang")
+    return K.numbered(rows.unionByName(rows), "lang").groupBy("lang").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.countDistinct("idx").alias("n"))
+
+
 @query("SRC4_scan_filter_convert", f"WITH n AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, lang FROM documents) SELECT 'fr:train:' || CAST(idx AS VARCHAR) AS prompt_id FROM n WHERE lang = 'fr'")
 def scan_filter_convert(spark, d):
     rows = K.numbered(V.table(spark, d, "documents"), "doc_id")

@@ -11,11 +11,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.classify import Classifier
+from ..sources.storage import stored
 from .ingest import Model
 
 
@@ -85,8 +86,11 @@ class InferencePipeline:
         self.model, self.extractor, self.classifier, self.threshold, self.chat = model, extractor, classifier, threshold, chat
 
     def classify(self, prompts: DataFrame, column: str = "text") -> DataFrame:
-        """prompts with score, prediction, is_malicious and features; null for a prompt without features."""
-        rows = extracted(prompts, self.model, self.extractor, self.chat, column)
+        """prompts with score, prediction, is_malicious and features; null for a prompt without features.
+
+        The features are stored, so that every text goes through the model once.
+        """
+        rows = stored(extracted(prompts, self.model, self.extractor, self.chat, column))
         scored = self.classifier.scores(rows.where("x IS NOT NULL"))
         without = rows.where("x IS NULL").withColumn("score", F.lit(None).cast("double"))
         both = scored.unionByName(without.select(scored.columns))
@@ -106,9 +110,7 @@ def top_influences(results: DataFrame, weights: np.ndarray, k: int, direction: s
 
 
 def ranked_influences(found: DataFrame, key: str, k: int, direction: str) -> DataFrame:
-    """The first k (key, feature_idx, contribution, ...) of each key with their rank from 1, ordered within the row."""
+    """The first k (key, feature_idx, contribution, ...) of each key with their rank from 1: only k rows a key leave a task."""
     value = {"positive": -F.col("contribution"), "negative": F.col("contribution"), "abs": -F.abs("contribution")}[direction]
-    rest = [c for c in found.columns if c != key]
-    ordered = F.slice(F.sort_array(F.collect_list(F.struct(value.alias("_by"), "feature_idx", *(F.col(c).alias(f"_{c}") for c in rest)))), 1, k)
-    out = found.groupBy(key).agg(ordered.alias("_top")).select(key, F.posexplode("_top").alias("_at", "_row"))
-    return out.select(key, *(F.col(f"_row._{c}").alias(c) for c in rest), (F.col("_at") + 1).alias("rank"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(value, "feature_idx"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(key, *(c for c in found.columns if c != key), "rank")

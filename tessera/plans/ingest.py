@@ -79,16 +79,17 @@ def pending(prompts: DataFrame, runs: DataFrame, s: Settings, force: bool = Fals
     return keyed if force else R.unprocessed(keyed, runs, ["run_key", "processing_fingerprint"])
 
 
-def ingest(prompts: DataFrame, runs: DataFrame, model: Model, s: Settings, day: str, force: bool = False) -> tuple[DataFrame, DataFrame]:
+def ingest(prompts: DataFrame, runs: DataFrame, model: Model, s: Settings, day: str, force: bool = False, batch: str = "") -> tuple[DataFrame, DataFrame]:
     """(events, vectors): a terminal event for each pending prompt, and the captured vectors of completed ones.
 
-    The two share one stored result of the model, so it runs once.
+    The two share one stored result of the model, so it runs once. Run ids are those of the key, the settings and the
+    batch, so that no two runs share one, forced ones neither.
     """
     from ..sources.storage import stored
 
     ready = pending(prompts, runs, s, force).withColumn("content", F.coalesce("text", X.chat_template(F.col("messages"))))
     fits, over = R.within_context(ready.withColumn("n_tokens", F.size(F.split("content", r"\s+"))), "n_tokens", s.max_tokens)
-    run_id = R.run_id(F.lit(day).cast("date"), F.col("run_key"))
+    run_id = R.unique_run_id(F.lit(day).cast("date"), F.concat_ws("|", "run_key", "processing_fingerprint", F.lit(batch)))
     rows = fits.select(run_id.alias("run_id"), "run_key", "prompt_id", "dataset_id", "content")
 
     def capture(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

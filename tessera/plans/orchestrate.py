@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import registry as R
 from ..sources import converters as K
 from ..sources import files, storage
+from ..sources.ledger import Ledger
 from . import ingest as I
 
 #: A dataset's raw rows by its name, numbered by idx.
@@ -48,14 +49,20 @@ def prompts(config: dict, load: Load, num_prompts: int | None = None, shard: Sha
 
 
 class FullIngestionPipeline:
-    """Prompts through a model: vectors and run events are appended below a root folder."""
+    """Prompts through a model: vectors and run events are appended below a root folder, both or neither of a call."""
 
     def __init__(self, spark: SparkSession, root: str, model: I.Model, settings: I.Settings):
-        self.spark, self.root, self.model, self.settings = spark, root.rstrip("/"), model, settings
+        self.spark, self.model, self.settings, self.ledger = spark, model, settings, Ledger(spark, root)
 
     def known(self) -> DataFrame:
-        path = f"{self.root}/events"
-        return self.spark.read.parquet(path) if files.exists(self.spark, path) else self.spark.createDataFrame([], "run_key string, processing_fingerprint string, status string")
+        """The events so far."""
+        events = self.ledger.read("events")
+        return events if events is not None else self.spark.createDataFrame([], "run_key string, processing_fingerprint string, status string")
+
+    def vectors(self) -> DataFrame:
+        """The vectors so far."""
+        vectors = self.ledger.read("vectors")
+        return vectors if vectors is not None else self.spark.createDataFrame([], "run_id string, position int, vec array<float>, batch_id string")
 
     def plan(self, rows: DataFrame, force: bool = False) -> DataFrame:
         """(dataset_id, n, pending): what a run would do."""
@@ -65,10 +72,10 @@ class FullIngestionPipeline:
     def run(self, rows: DataFrame, force: bool = False, day: str | None = None) -> DataFrame:
         """(dataset_id, status, n): the counters of this call."""
         day = day or datetime.datetime.now(datetime.timezone.utc).date().isoformat()
-        events, vectors = I.ingest(rows, self.known(), self.model, self.settings, day, force)
+        batch = self.ledger.new_batch()
+        events, vectors = I.ingest(rows, self.known(), self.model, self.settings, day, force, batch)
         events = storage.stored(events)
-        vectors.write.mode("append").parquet(f"{self.root}/vectors")
-        events.write.mode("append").parquet(f"{self.root}/events")
+        self.ledger.append(batch, vectors=vectors, events=events)
         return events.groupBy("dataset_id", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -76,14 +83,13 @@ class LabelsOnlyIngestionPipeline:
     """Prompts through evaluators only: labels are appended as events, without vectors."""
 
     def __init__(self, spark: SparkSession, root: str, evaluate: Callable[[list[str]], list[dict]], settings: I.Settings):
-        self.spark, self.root, self.evaluate, self.settings = spark, root.rstrip("/"), evaluate, settings
+        self.spark, self.evaluate, self.settings, self.ledger = spark, evaluate, settings, Ledger(spark, root)
 
     def run(self, rows: DataFrame, force: bool = False) -> DataFrame:
         """(dataset_id, n): how many prompts were labelled."""
-        path = f"{self.root}/labels"
-        keyed = I.with_keys(rows, self.settings)
-        if not force and files.exists(self.spark, path):
-            keyed = R.unprocessed(keyed, self.spark.read.parquet(path).withColumn("status", F.lit("completed")), ["run_key", "processing_fingerprint"])
+        keyed, known = I.with_keys(rows, self.settings), self.ledger.read("labels")
+        if not force and known is not None:
+            keyed = R.unprocessed(keyed, known.withColumn("status", F.lit("completed")), ["run_key", "processing_fingerprint"])
         labelled = storage.stored(I.label(keyed, self.evaluate).select("run_key", "processing_fingerprint", "prompt_id", "dataset_id", "labels"))
-        labelled.write.mode("append").parquet(path)
+        self.ledger.append(self.ledger.new_batch(), labels=labelled)
         return labelled.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))

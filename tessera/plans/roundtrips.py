@@ -12,6 +12,7 @@ from ..operators import matrix as M
 from ..sources import converters as K
 from ..sources import files, storage
 from ..sources import views as V
+from ..sources.ledger import Ledger
 from . import analyzers, boundary, inference, orchestrate
 from . import ingest as I
 from .catalog import query
@@ -150,6 +151,28 @@ def chunk_evaluator(spark, d):
     return out.select(F.col("prompt_id").alias("doc_id"), F.round("pg_score", 6).alias("pg_score"), "pg_label")
 
 
+@query("UX2_chunk_evaluator_without_ids", "SELECT CASE WHEN doc_id % 3 > 0 THEN doc_id % 7 END AS id, count(*) AS n, round(sum(round(least(length(text), 100) / 100.0, 6)), 4)::DOUBLE AS score FROM documents GROUP BY 1")
+def chunk_evaluator_without_ids(spark, d):
+    """Prompts a third of which have no id, the others ids that repeat: each is scored."""
+    some_id = F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 7)
+    prompts = V.table(spark, d, "documents").select(some_id.alias("prompt_id"), "text", F.lit(None).cast("array<struct<role:string,content:string>>").alias("messages"))
+    out = boundary.chunk_evaluator(prompts, lambda texts: [1 - len(t) / 100 for t in texts], chunk_chars=100)
+    return out.groupBy(F.col("prompt_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.round("pg_score", 6)), 4).alias("score"))
+
+
+@query("OR3_OR4_interrupted", "SELECT count(*) AS events, count(*) AS vectors, count(DISTINCT vec_id) AS runs FROM embeddings")
+def interrupted(spark, d):
+    """A call that ended before its batch counted, and the call that repeats it: every vector is there once."""
+    rows = V.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("run_id"), F.lit(0).alias("position"), F.col("embedding").alias("vec"))
+    ledger = Ledger(spark, scratch(spark, "interrupted"))
+    half = ledger.new_batch()
+    rows.where("vec IS NOT NULL").write.parquet(f"{ledger.root}/vectors/batch_id={half}")
+    ledger.append(ledger.new_batch(), vectors=rows, events=rows.select("run_id", F.lit("completed").alias("status")))
+    n = F.count(F.lit(1))
+    counts = ledger.read("events").agg(n.alias("events"), F.countDistinct("run_id").alias("runs"))
+    return counts.crossJoin(F.broadcast(ledger.read("vectors").agg(n.alias("vectors"))))
+
+
 @query("UX2_guard_evaluator", "SELECT conv_id, CASE WHEN bool_or(contains(text, 'zq')) THEN 'unsafe' ELSE 'safe' END AS verdict FROM conversations GROUP BY conv_id")
 def guard_evaluator(spark, d):
     """A guard that finds chats with zq in them unsafe."""

@@ -84,6 +84,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(file)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names of what a folder holds; none where there is no such folder."""
+    fs, folder = _at(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, file = _at(spark, path)
+    fs.delete(file, True)
+
+
 def makedirs(spark: SparkSession, path: str) -> None:
     fs, folder = _at(spark, path)
     fs.mkdirs(folder)
@@ -168,7 +179,7 @@ class MatrixCache:
 
 def storage_statistics(spark: SparkSession, path: str) -> DataFrame:
     """(n_files, bytes, n_runs) below a folder, from file listings without reading contents; runs are folders named by a
-    run id, a date and eight hexadecimal digits, or run_id=..."""
+    run id, a date and at least eight hexadecimal digits, or run_id=..."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-    run = F.regexp_extract("path", r"/(?:run_id=([^/]+)|([0-9]{4}-?[0-9]{2}-?[0-9]{2}[_-][0-9a-f]{8}))/", 0)
+    run = F.regexp_extract("path", r"/(?:run_id=([^/]+)|([0-9]{4}-?[0-9]{2}-?[0-9]{2}[_-][0-9a-f]{8,40}))/", 0)
     return files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.countDistinct(F.when(run != "", run)).alias("n_runs"))

@@ -23,17 +23,28 @@ def windowed_counts(events: DataFrame, time: str = "ts", width: str = "1 hour",
     return events.withWatermark(time, late).groupBy(F.window(time, width), "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def append_unprocessed(events: DataFrame, runs_path: str, checkpoint: str) -> StreamingQuery:
+def first_of(events: DataFrame, keys: list[str]) -> DataFrame:
+    """One event of each key, the same however the events are dealt out: the first by all its columns."""
+    rest = [c for c in events.columns if c not in keys]
+    if not rest:
+        return events.distinct()
+    return events.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_first")).select(*(F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in events.columns))
+
+
+def append_unprocessed(events: DataFrame, runs_path: str, checkpoint: str, keys: tuple[str, ...] = ("run_key", "processing_fingerprint")) -> StreamingQuery:
     """Appends to the table of runs, batch by batch, the events that no completed run there has; for all files there are now.
 
-    A batch that is tried again finds its own rows and adds none.
+    A run is completed for its key and its settings: the same key with others is new. Of keys, those that the events have
+    count. A batch that is tried again finds its own rows and adds none.
     """
+    own = [key for key in keys if key in events.columns]
+
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(runs_path)
         known = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        new = df.dropDuplicates(["run_key"])
-        new = R.unprocessed(new, spark.read.parquet(runs_path), ["run_key"]) if known else new
+        new = first_of(df, own)
+        new = R.unprocessed(new, spark.read.parquet(runs_path), own) if known else new
         new.withColumn("status", F.lit("completed")).write.mode("append").parquet(runs_path)
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -229,7 +229,7 @@ def test_labels_only(spark, tmp_path):
     rows = spark.createDataFrame([("p1", "d", None, "{}", None, "x"), ("p2", "d", None, "{}", None, "yy")], __import__("tessera.schema", fromlist=["PROMPTS"]).PROMPTS)
     pipeline = orchestrate.LabelsOnlyIngestionPipeline(spark, str(tmp_path), lambda texts: [{"n": len(t)} for t in texts], ingest.Settings("toy"))
     assert pipeline.run(rows).first()["n"] == 2 and pipeline.run(rows).count() == 0
-    labels = {r["prompt_id"]: json.loads(r["labels"]) for r in spark.read.parquet(f"{tmp_path}/labels").collect()}
+    labels = {r["prompt_id"]: json.loads(r["labels"]) for r in pipeline.ledger.read("labels").collect()}
     assert {k: int(v["n"]) for k, v in labels.items()} == {"p1": 1, "p2": 2}
 
 
