@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import stats
+from .passes import bounded_batches, matrix, summed
 
 
 def pca(xy: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
@@ -33,54 +34,100 @@ def kmeans(xy: DataFrame, k: int, runs: int = 10, seed: int = 42) -> DataFrame:
     return best.transform(rows).drop("_v")
 
 
-#: Rows of a block in which distances are taken.
-BLOCK = 2000
+#: Rows of a block in which distances are taken; most regions; rows, about, that their pivots are chosen among.
+BLOCK, REGIONS, PIVOT_ROWS = 2000, 512, 4096
+
+
+def spread_pivots(sample: np.ndarray, count: int, seed: int = 42) -> np.ndarray:
+    """Rows of a sample that are spread over it: each next one is drawn by its squared distance to those before."""
+    draw = np.random.default_rng(seed)
+    sample = sample[np.lexsort(sample.T[::-1])] if sample.size else sample
+    chosen = [int(draw.integers(len(sample)))]
+    nearest = ((sample - sample[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < count and nearest.max() > 0:
+        chosen.append(int(np.searchsorted(np.cumsum(nearest), draw.random() * nearest.sum()).clip(0, len(sample) - 1)))
+        nearest = np.minimum(nearest, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
+    return sample[chosen]
 
 
 class Near:
-    """Rows (run_id, x) in blocks, and which blocks can hold rows within eps of each other.
+    """Rows (run_id, x) in regions around pivots, and which regions' borders can hold rows within eps of each other.
 
-    A projection on a unit vector never lengthens a distance, so rows within eps are in the same or adjacent cells of a
-    grid of width eps over three projections. A cell's rows are dealt to blocks of about BLOCK rows; each pair of blocks
-    of adjacent cells meets in one task, which returns what is asked about rows, never pairs.
+    A row belongs to its nearest pivot's region. What is on the other side of the plane half-way between two pivots is at
+    least as far from a row as that plane, so that of two regions only the rows within eps of the plane between them meet:
+    their borders to each other. Regions and borders are dealt to blocks of about `block` rows; each pair of blocks meets in
+    one task, which returns what is asked about rows, never pairs. There are as many regions as blocks, REGIONS at most.
     """
 
-    SIGNS = (lambda i: F.lit(1.0), lambda i: F.lit(1.0) - 2 * (i % 2), lambda i: F.lit(1.0) - 2 * (F.floor(i / 2) % 2))
-
-    def __init__(self, xy: DataFrame, eps: float, stored, block: int = BLOCK):
-        self.eps = eps
-        root = F.sqrt(F.size("x").cast("double"))
-        signed = lambda sign: F.transform("x", lambda v, i: v * sign(i))
-        at = [F.floor(F.aggregate(signed(sign), F.lit(0.0), lambda t, v: t + v) / root / (eps * (1 + 1e-9))).alias(f"c{k}") for k, sign in enumerate(self.SIGNS)]
-        rows = xy.select("run_id", "x", *at)
-        grid = ["c0", "c1", "c2"]
-        cells = stored(rows.groupBy(*grid).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")))
-        dealt = rows.join(cells, grid).withColumn("b", F.pmod(F.xxhash64("run_id"), F.col("blocks")))
-        self.rows = stored(dealt.select("run_id", "x", F.struct(*grid, "b").alias("block")))
-        steps = [F.array(*(F.lit(step) for step in (-1, 0, 1)))] * 3
-        near = cells.select(F.struct(*grid).alias("a"), F.col("blocks").alias("n"), F.explode(steps[0]).alias("s0"), "*")
-        near = near.select("a", "n", "s0", F.explode(steps[1]).alias("s1"), *grid).select("a", "n", "s0", "s1", F.explode(steps[2]).alias("s2"), *grid)
-        near = near.select("a", "n", *((F.col(f"c{k}") + F.col(f"s{k}")).alias(f"c{k}") for k in range(3)))
-        met = near.join(cells, grid).where(F.col("a") <= F.struct(*grid)).select("a", "n", F.struct(*grid).alias("z"), "blocks")
-        numbers = lambda column: F.explode(F.sequence(F.lit(0).cast("long"), F.col(column) - 1))
-        every = met.select("a", "z", "blocks", numbers("n").alias("i")).select("a", "z", "i", numbers("blocks").alias("j")).where((F.col("a") != F.col("z")) | (F.col("i") <= F.col("j")))
-        self.pairs = stored(every.select(F.struct("a.*", F.col("i").alias("b")).alias("left"), F.struct("z.*", F.col("j").alias("b")).alias("right")))
+    def __init__(self, xy: DataFrame, eps: float, stored, block: int = BLOCK, regions: int | None = None):
+        self.eps, self.block, self.stored = eps, block, stored
+        of = xy.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("x")), F.lit(0)).alias("width")).first()
+        self.n, self.width = of["n"], of["width"]
+        count = max(1, min(regions or -(-self.n // block), REGIONS))
+        chosen = F.pmod(F.xxhash64("run_id"), F.lit(1 << 20)) < max(1, int(min(1.0, PIVOT_ROWS / max(1, self.n)) * (1 << 20)))
+        sample = matrix(xy.where(chosen).select("x").toArrow()["x"].combine_chunks(), self.width)
+        pivots = spread_pivots(sample, count) if len(sample) else np.zeros((1, self.width))
+        self.rows = stored(self._placed(xy, pivots))
+        each = self.rows.select("home", F.explode(F.concat(F.array("home"), "borders")).alias("other"))
+        self.sizes = stored(each.groupBy("home", "other").agg(F.count(F.lit(1)).alias("n")))  # no more rows than pairs of regions
+
+    def _placed(self, xy: DataFrame, pivots: np.ndarray) -> DataFrame:
+        """(run_id, x, home, borders): the nearest pivot, and those to whose regions the row is a border."""
+        width, reach = self.width, self.eps * (1 + 1e-9)
+        apart = np.sqrt(((pivots[:, None] - pivots[None]) ** 2).sum(axis=2)) if len(pivots) * len(pivots) * width <= 1 << 24 else np.stack([np.sqrt(((pivots - p) ** 2).sum(axis=1)) for p in pivots])
+        schema = "run_id long, x array<double>, home int, borders array<int>"
+        arrow = pa.schema([("run_id", pa.int64()), ("x", pa.list_(pa.float64())), ("home", pa.int32()), ("borders", pa.list_(pa.int32()))])
+
+        def run(batches):
+            for batch in batches:
+                x = matrix(batch.column("x"), width)
+                squares = np.maximum((x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * x @ pivots.T, 0)
+                home, at = squares.argmin(axis=1), np.arange(len(x))
+                over = squares - squares[at, home][:, None]
+                # a little more than rounding can take from the squares
+                border = over <= 2 * reach * apart[home] + 1e-9 * (squares + (pivots * pivots).sum(axis=1))
+                border[at, home] = False
+                lists = [np.flatnonzero(row).astype(np.int32) for row in border]
+                yield pa.RecordBatch.from_arrays([batch.column("run_id"), batch.column("x"), pa.array(home.astype(np.int32)), pa.array(lists, pa.list_(pa.int32()))], schema=arrow)
+
+        return bounded_batches(xy.select(F.col("run_id").cast("long").alias("run_id"), F.col("x").cast("array<double>").alias("x")), width).mapInArrow(run, schema)
+
+    def compared(self) -> tuple[int, int]:
+        """How many pairs of rows meet in one pass, and how many there are, a row with itself among both."""
+        a, b = self.sizes.alias("a"), self.sizes.alias("b")
+        met = a.join(b, F.expr("a.home = b.other AND a.other = b.home AND a.home <= a.other"))
+        pairs = met.agg(F.coalesce(F.sum(F.when(F.col("a.home") == F.col("a.other"), F.expr("a.n * (a.n + 1) div 2")).otherwise(F.expr("a.n * b.n"))), F.lit(0))).first()[0]
+        return int(pairs), self.n * (self.n + 1) // 2
+
+    def _sides(self, rows: DataFrame, columns: list[str]) -> list[DataFrame]:
+        """The rows for the left and the right of every pair of blocks that meet: (low, high, i, j), x and columns."""
+        blocks = self.sizes.select("home", "other", F.ceil(F.col("n") / self.block).alias("blocks"))
+        both = blocks.join(blocks.select(F.col("home").alias("other"), F.col("other").alias("home"), F.col("blocks").alias("others")), ["home", "other"])
+        each = rows.withColumn("other", F.explode(F.concat(F.array("home"), "borders"))).join(both, ["home", "other"])
+        each = each.withColumn("own", F.pmod(F.xxhash64("run_id"), F.col("blocks"))).withColumn("low", F.least("home", "other")).withColumn("high", F.greatest("home", "other"))
+        alone = F.col("home") == F.col("other")
+        zero = F.lit(0).cast("long")
+        left = each.where(F.col("home") == F.col("low")).withColumn("j", F.explode(F.sequence(F.when(alone, F.col("own")).otherwise(zero), F.col("others") - 1))).withColumn("i", F.col("own"))
+        right = each.where(F.col("home") == F.col("high")).withColumn("i", F.explode(F.sequence(zero, F.when(alone, F.col("own")).otherwise(F.col("others") - 1)))).withColumn("j", F.col("own"))
+        return [side.select("low", "high", "i", "j", "x", *columns) for side in (left, right)]
 
     def meet(self, rows: DataFrame, columns: list[str], found, schema: str) -> DataFrame:
-        """found(left, right, close, same) of each pair of blocks as rows of schema; rows: self.rows with more columns.
+        """found(left, right, close, same) of each pair of blocks as rows of schema; rows: self.rows, or some of them, with
+        more columns.
 
         left and right are the columns as arrays; close says which rows are within eps, a row itself not; same that both
         are one block. What is returned must hold for left and right rows alike unless they are the same.
         """
+        width = self.width
         eps, names = self.eps, [part.split()[0] for part in schema.split(", ")]
-        sides = [rows.join(self.pairs, F.col("block") == F.col(side)).select("left", "right", "x", *columns) for side in ("left", "right")]
+        sides = self._sides(rows, columns)
         sides[1] = sides[1].toDF(*(f"{c}_" for c in sides[1].columns))
 
         def run(a: pa.Table, b: pa.Table) -> pa.Table:
             if not a.num_rows or not b.num_rows:
                 return pa.table({name: pa.array([], kind) for name, kind in zip(names, kinds)})
             b = b.rename_columns(a.column_names)
-            x, y = (np.array(t.column("x").to_pylist(), float) for t in (a, b))
+            x, y = (matrix(t.column("x").combine_chunks(), width) for t in (a, b))
             left, right = ({name: np.asarray(t.column(name)) for name in columns} for t in (a, b))
             squares = np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * x @ y.T, 0)
             close = squares <= eps * eps * (1 + 1e-9)
@@ -88,11 +135,13 @@ class Near:
             for i, j in doubtful:
                 close[i, j] = np.sqrt(((x[i] - y[j]) ** 2).sum()) <= eps
             close &= left["run_id"][:, None] != right["run_id"]
-            same = a.column("left")[0].as_py() == a.column("right")[0].as_py()
+            low, high, i, j = (a.column(name)[0].as_py() for name in keys)
+            same = (low, i) == (high, j)
             return pa.table([pa.array(column, kind) for column, kind in zip(found(left, right, close, same), kinds)], names=names)
 
         kinds = [{"long": pa.int64(), "boolean": pa.bool_()}[part.split()[1]] for part in schema.split(", ")]
-        return sides[0].groupBy("left", "right").cogroup(sides[1].groupBy("left_", "right_")).applyInArrow(run, schema)
+        keys = ["low", "high", "i", "j"]
+        return sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*(f"{key}_" for key in keys))).applyInArrow(run, schema)
 
 
 def _counted(left: dict, right: dict, close: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +205,7 @@ def dbscan(xy: DataFrame, eps: float, least: int, stored, block: int = BLOCK) ->
     links = stored(near.meet(cores, ["run_id"], _linked, "a long, b long").distinct())
     both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = components(core, both, stored)
-    flagged = stored(near.rows.join(roots, F.col("run_id") == F.col("node"), "left").select("run_id", "x", "block", F.col("root").isNotNull().alias("core"), F.coalesce("root", F.lit(-1)).cast("long").alias("root")))
+    flagged = stored(near.rows.join(roots, F.col("run_id") == F.col("node"), "left").select("run_id", "x", "home", "borders", F.col("root").isNotNull().alias("core"), F.coalesce("root", F.lit(-1)).cast("long").alias("root")))
     border = near.meet(flagged, ["run_id", "core", "root"], _bordering, "run_id long, near long").groupBy("run_id").agg(F.min("near").alias("near"))
     return flagged.join(border, "run_id", "left").select("run_id", F.when(F.col("core"), F.col("root")).otherwise(F.coalesce("near", F.lit(-1))).alias("cluster"))
 
@@ -165,35 +214,96 @@ SUMS = "run_id long, own long, cluster long, total double, n long"
 _ARROW = pa.schema([("run_id", pa.int64()), ("own", pa.int64()), ("cluster", pa.int64()), ("total", pa.float64()), ("n", pa.int64())])
 
 
-def silhouette(clustered: DataFrame, block: int = 20_000) -> DataFrame:
-    """(silhouette): the mean over rows (run_id, x, cluster), Euclidean; null with one cluster or at most ten rows.
+class Silhouette:
+    """Sums of distances of rows (run_id, x, cluster) to their own cluster and to those that can be their nearest other one.
 
-    Rows meet in blocks of bounded size; a task returns sums of distances by row and cluster, not pairs.
+    The mean distance to a cluster is at least that to its mean, and at most the root of that distance's square plus the
+    cluster's mean square about its mean. So a cluster whose least is more than another's most isn't compared. Rows that
+    meet go in blocks of bounded size; a task returns sums of distances by row and cluster, not pairs.
     """
-    rows = clustered.select(F.col("run_id").cast("long").alias("run_id"), "x", F.col("cluster").cast("long").alias("cluster"))
-    parts = max(1, -(-rows.count() // block))
-    part = lambda salt: F.pmod(F.xxhash64("run_id", F.lit(salt)), F.lit(parts)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left, right = rows.select("*", part(1).alias("p"), every.alias("q")), rows.select("*", part(2).alias("q"), every.alias("p"))
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return _ARROW.empty_table()
-        x, y = (np.array(t.column("x").to_pylist(), float) for t in (a, b))
-        ids, own, of = np.asarray(a.column("run_id")), np.asarray(a.column("cluster")), np.asarray(b.column("cluster"))
-        names, at = np.unique(of, return_inverse=True)
-        onehot = np.eye(len(names))[at]
-        squares = (y * y).sum(axis=1)
-        sums = np.vstack([np.sqrt(np.maximum((x[s : s + 500] ** 2).sum(axis=1)[:, None] + squares - 2 * x[s : s + 500] @ y.T, 0)) @ onehot for s in range(0, len(x), 500)])
-        k = len(names)
-        return pa.table([np.repeat(ids, k), np.repeat(own, k), np.tile(names, len(ids)), sums.ravel(), np.tile(np.bincount(at), len(ids))], schema=_ARROW)
-
-    sums = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(meet, SUMS).groupBy("run_id", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+    def __init__(self, clustered: DataFrame, block: int = 20_000):
+        from ..sources.storage import stored
+
+        rows = clustered.select(F.col("run_id").cast("long").alias("run_id"), F.col("x").cast("array<double>").alias("x"), F.col("cluster").cast("long").alias("cluster"))
+        sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width")).orderBy("cluster").collect()  # a row for each cluster
+        self.names, self.n = [row["cluster"] for row in sizes], np.array([row["n"] for row in sizes], float)
+        self.width, self.block = max((row["width"] for row in sizes), default=0), block
+        self.rows = stored(self._with_candidates(rows, *self._moments(rows)))
+        self.visits = dict(self.rows.select(F.explode("others").alias("k")).groupBy("k").count().collect())
+
+    def _moments(self, rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The mean of each cluster and the mean square about it."""
+        number, width = {name: at for at, name in enumerate(self.names)}, self.width
+
+        def by_cluster(value, columns: int) -> np.ndarray:
+            def sums(batch: pa.RecordBatch) -> np.ndarray:
+                at = np.array([number[name] for name in batch.column("cluster").to_pylist()], int)
+                out = np.zeros((len(number), columns))
+                np.add.at(out, at, value(matrix(batch.column("x"), width), at))
+                return out
+
+            return summed(rows.select("x", "cluster"), width, sums, (len(number), columns)) / np.maximum(self.n, 1)[:, None]
+
+        means = by_cluster(lambda x, _: x, width)
+        return means, by_cluster(lambda x, at: ((x - means[at]) ** 2).sum(axis=1)[:, None], 1)[:, 0]
+
+    def _with_candidates(self, rows: DataFrame, means: np.ndarray, spreads: np.ndarray) -> DataFrame:
+        """(run_id, x, k, others): the numbers of a row's cluster and of those that it is compared with."""
+        number, width = {name: at for at, name in enumerate(self.names)}, self.width
+        arrow = pa.schema([("run_id", pa.int64()), ("x", pa.list_(pa.float64())), ("k", pa.int32()), ("others", pa.list_(pa.int32()))])
+
+        def run(batches):
+            for batch in batches:
+                x = matrix(batch.column("x"), width)
+                own, at = np.array([number[name] for name in batch.column("cluster").to_pylist()], int), np.arange(batch.num_rows)
+                squares = np.stack([((x - mean) ** 2).sum(axis=1) for mean in means], axis=1) if len(x) else np.zeros((0, len(means)))
+                least, most = np.sqrt(squares) * (1 - 1e-9), np.sqrt(squares + spreads) * (1 + 1e-9)
+                most[at, own] = np.inf
+                compared = least <= most.min(axis=1, initial=np.inf)[:, None]
+                compared[at, own] = True
+                yield pa.RecordBatch.from_arrays([batch.column("run_id"), batch.column("x"), pa.array(own.astype(np.int32)), pa.array([np.flatnonzero(row).astype(np.int32) for row in compared], pa.list_(pa.int32()))], schema=arrow)
+
+        return bounded_batches(rows, width).mapInArrow(run, "run_id long, x array<double>, k int, others array<int>")
+
+    def compared(self) -> tuple[int, int]:
+        """How many pairs of a row and another, or itself, are compared, and how many there are."""
+        return int(sum(self.n[k] * visits for k, visits in self.visits.items())), int(self.n.sum() ** 2)
+
+    def sums(self) -> DataFrame:
+        """SUMS, of each row and each cluster that it is compared with."""
+        names = np.array(self.names, np.int64)
+        lefts = [max(1, -(-self.visits.get(k, 0) // self.block)) for k in range(len(names))]
+        rights = [max(1, -(-int(n) // self.block)) for n in self.n]
+        of = lambda counts, k: F.element_at(F.array(*map(F.lit, counts or [1])), F.col(k) + 1)
+        every = lambda counts, k: F.explode(F.sequence(F.lit(0), of(counts, k) - 1))
+        dealt = lambda counts, k, salt: F.pmod(F.xxhash64("run_id", F.lit(salt)), of(counts, k)).cast("int")
+        left = self.rows.select("run_id", "x", F.col("k").alias("own"), F.explode("others").alias("k")).select("*", dealt(lefts, "k", 1).alias("p"), every(rights, "k").alias("q"))
+        right = self.rows.select("run_id", "x", "k", dealt(rights, "k", 2).alias("q"), every(lefts, "k").alias("p"))
+        width = self.width
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            if not a.num_rows or not b.num_rows:
+                return _ARROW.empty_table()
+            x, y = (matrix(t.column("x").combine_chunks(), width) for t in (a, b))
+            squares = (y * y).sum(axis=1)
+            totals = [np.sqrt(np.maximum((x[s : s + 500] ** 2).sum(axis=1)[:, None] + squares - 2 * x[s : s + 500] @ y.T, 0)).sum(axis=1) for s in range(0, len(x), 500)]
+            k = int(a.column("k")[0].as_py())
+            return pa.table([a.column("run_id"), pa.array(names[np.asarray(a.column("own"))]), pa.array(np.full(len(x), names[k])), pa.array(np.concatenate(totals)), pa.array(np.full(len(x), len(y)))], schema=_ARROW)
+
+        keys = ["k", "p", "q"]
+        met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, SUMS)
+        return met.groupBy("run_id", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def silhouette(clustered: DataFrame, block: int = 20_000) -> DataFrame:
+    """(silhouette): the mean over rows (run_id, x, cluster), Euclidean; null with one cluster or at most ten rows."""
+    of = Silhouette(clustered, block)
     mine = F.col("cluster") == F.col("own")
-    by_row = sums.groupBy("run_id").agg(F.max(F.when(mine, F.col("total"))).alias("t"), F.max(F.when(mine, F.col("n"))).alias("size"), F.min(F.when(~mine, F.col("total") / F.col("n"))).alias("b"), F.sum("n").alias("all"))
+    by_row = of.sums().groupBy("run_id").agg(F.max(F.when(mine, F.col("total"))).alias("t"), F.max(F.when(mine, F.col("n"))).alias("size"), F.min(F.when(~mine, F.col("total") / F.col("n"))).alias("b"))
     a = F.col("t") / (F.col("size") - 1)
     s = F.when(F.col("size") > 1, (F.col("b") - a) / F.greatest(a, F.col("b"))).otherwise(0.0)
-    return by_row.agg(F.when(F.max("all") > 10, F.avg(F.when(F.col("b").isNotNull(), s))).alias("silhouette"))
+    return by_row.agg(F.when(F.lit(bool(of.n.sum() > 10)), F.avg(F.when(F.col("b").isNotNull(), s))).alias("silhouette"))
 
 
 def cluster_report(clustered: DataFrame) -> DataFrame:
