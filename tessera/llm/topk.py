@@ -14,12 +14,16 @@ block has tens of thousands.
 A vector that is null, or holds a null or non-finite component, takes no part; nor does a row without an id. Shorter
 vectors count as padded with zeros. A candidate with a query's own id is not its neighbour; rows repeated with
 equal ids and vectors count once. Ties go to the smaller id. Fewer candidates than k give fewer rows, an empty table gives
-none. Columns other than the named ones are ignored. Components are integers; those whose scores might not fit into 62
-bits raise ValueError.
+none. Columns other than the named ones are ignored. Components are integers of any size, as doubles or longs. Where scores
+might not fit into 62 bits, they are summed in whole numbers of any length; one among a query's k best that doesn't fit into
+a long is an error that names it when the rows are read.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -36,27 +40,61 @@ TILE, QUERY_TILE = 1024, 1024
 #: Pairs whose vectors are gathered at once.
 PAIRS = 16384
 
-RESULT = "query_id long, vec_id long, score long"
-_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+RESULT = "query_id long, vec_id long, score long, side int"
+_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("side", pa.int32())])
 
 
 def integer_vectors(df: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", scale: float = 256.0) -> DataFrame:
     """(id, v): components as floor(scale * x), x as double; only vectors that take part."""
     x = F.col(vector_column)
-    whole = F.transform(x, lambda c: F.floor(F.lit(scale) * c.cast("double")).cast("long"))
+
+    def floored(c):
+        times = F.lit(scale) * c.cast("double")  # from 2^53 on all doubles are whole
+        return F.when(F.abs(times) < float(1 << 53), F.floor(times).cast("double")).otherwise(times)
+
+    whole = F.transform(x, floored)
     finite = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
     return df.where(finite & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), whole.alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Rows of integers as a matrix of that width, zeros on the right."""
+    """Rows as a matrix of that width, zeros on the right."""
     lists = column.combine_chunks()
-    lengths, values = np.asarray(lists.value_lengths(), np.int64), np.asarray(lists.flatten(), np.int64)
-    out = np.zeros((len(lengths), width), np.int64)
+    lengths, values = np.asarray(lists.value_lengths(), np.int64), np.asarray(lists.flatten())
+    out = np.zeros((len(lengths), width), values.dtype)
     out[np.arange(width) < lengths[:, None]] = values
     return out
 
 
+def _is_wide(rows: np.ndarray, width: int) -> np.ndarray:
+    """Rows whose products with others like them might not fit into 62 bits."""
+    return (np.abs(rows.astype(np.float64)) >= (2.0**62 / width) ** 0.5).any(axis=1)
+
+
+def wide_pairs(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[int, int, int | None, int]]:
+    """(query id, id, score, side) of the k best candidates of each query, in whole numbers of any length; a score that
+    doesn't fit into a long is null, with side 1 or -1 for too large or too small."""
+    whole = lambda row: [int(c) for c in row]
+    columns = np.array([whole(row) for row in vectors], object).reshape(vectors.shape)
+    for query_id, query in zip(query_ids.tolist(), queries):
+        products = (columns * np.array(whole(query), object)).sum(axis=1).tolist() if len(columns) else []
+        best = heapq.nsmallest(k, ((-score, i) for score, i in zip(products, ids.tolist()) if i != query_id))
+        for score, i in best:
+            fits = -(1 << 63) <= -score < 1 << 63
+            yield query_id, i, -score if fits else None, 0 if fits else 1 if score < 0 else -1
+
+
+def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> pa.Table:
+    """RESULT with the k best candidates of each query: those of pairs with a wide row, and those of all others by bounds."""
+    width = max(1, queries.shape[1])
+    wide_q, wide_x = _is_wide(queries, width), _is_wide(vectors, width)
+    narrow = search_block(query_ids[~wide_q], queries[~wide_q].astype(np.int64), ids[~wide_x], vectors[~wide_x].astype(np.int64), k)
+    wide = [*wide_pairs(query_ids[wide_q], queries[wide_q], ids, vectors, k), *wide_pairs(query_ids[~wide_q], queries[~wide_q], ids[wide_x], vectors[wide_x], k)]
+    columns = zip(*wide) if wide else ([], [], [], [])
+    parts = [pa.table([*map(pa.array, narrow), pa.array(np.zeros(len(narrow[0]), np.int32))], schema=_ARROW), pa.table([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)]
+    return pa.concat_tables(parts)
+
+
 class Statistics:
     """For each resolution the vectors' means (times the root of the segment length) and deviations, side by side."""
 
@@ -152,11 +190,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, block_bytes: int =
     any size.
     """
     queries, candidates = queries.dropDuplicates(["id", "v"]), candidates.dropDuplicates(["id", "v"])
-    largest = F.max(F.array_max(F.transform("v", lambda c: F.abs(c))))
-    of = [df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width"), F.coalesce(largest, F.lit(0)).alias("largest")).first() for df in (queries, candidates)]
+    of = [df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("width")).first() for df in (queries, candidates)]
     width = max(1, *(each["width"] for each in of))
-    if width * of[0]["largest"] * of[1]["largest"] >= 1 << 62:
-        raise ValueError("the components are too large for exact scores")
     blocks = max(1, -(-of[0]["n"] * width * 8 // block_bytes))
     parallel = queries.sparkSession.sparkContext.defaultParallelism
     parts = max(1, -(-of[1]["n"] * width * 8 // part_bytes), min(4 * parallel, of[1]["n"] // LEAST_PART_ROWS) // blocks)
@@ -168,10 +203,11 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, block_bytes: int =
     def meet(q: pa.Table, x: pa.Table) -> pa.Table:
         if not q.num_rows or not x.num_rows:
             return _ARROW.empty_table()
-        found = search_block(np.asarray(q.column("id")), _matrix(q.column("v"), width), np.asarray(x.column("id")), _matrix(x.column("v"), width), k)
-        return pa.table(list(map(pa.array, found)), schema=_ARROW)
+        return search(np.asarray(q.column("id")), _matrix(q.column("v"), width), np.asarray(x.column("id")), _matrix(x.column("v"), width), k)
 
     best = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet, RESULT)
     # the few best of each part and query are ranked; only k of a query leave each task
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_id").orderBy(F.desc("side"), F.desc("score"), F.asc("vec_id"))
+    too_long = F.raise_error(F.concat(F.lit("the score of "), F.col("query_id"), F.lit(" and "), F.col("vec_id"), F.lit(" doesn't fit into a long"))).cast("long")
+    score = F.when(F.col("side") == 0, F.col("score")).otherwise(too_long).alias("score")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score)

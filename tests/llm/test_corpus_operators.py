@@ -9,6 +9,7 @@ import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -145,9 +146,21 @@ def test_top_k_leaves_out_bad_vectors(spark):
     v = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int"))
     assert [tuple(r) for r in topk.top_k(v.where("id = 0"), v, 5).collect()] == [(0, 1, 5, 256 * 64 + 512 * 128)]
     assert topk.top_k(v.limit(0), v.limit(0), 5).count() == 0
-    with pytest.raises(ValueError):
-        large = spark.createDataFrame([(1, [1 << 40]), (2, [1 << 31])], "id long, v array<long>")
-        topk.top_k(large, large, 1)
+
+
+def test_top_k_of_large_components(spark):
+    large = spark.createDataFrame([(1, [1 << 40, 1]), (2, [1 << 31, 0]), (3, [-(1 << 40), 0]), (4, [3, 7]), (5, [(1 << 53) + 1, 1])], "id long, v array<long>")
+    with pytest.raises(PySparkException, match="the score of 1 and 5 doesn't fit"):
+        topk.top_k(large.where("id = 1"), large, 1).collect()
+    few = large.where("id <> 5 AND id <> 2")
+    assert [tuple(r) for r in topk.top_k(few.where("id = 1"), few, 1).collect()] == [(1, 1, 4, 3 * (1 << 40) + 7)]  # the other's isn't among the best
+    with pytest.raises(PySparkException, match="the score of 1 and 3 doesn't fit"):
+        topk.top_k(few.where("id = 1"), few, 2).collect()
+    assert [tuple(r) for r in topk.top_k(large.where("id = 4"), large, 2).collect()] == [(4, 1, 5, 3 * ((1 << 53) + 1) + 7), (4, 2, 1, 3 * (1 << 40) + 7)]
+    v = topk.integer_vectors(spark.createDataFrame([(1, [1e300, 1.0]), (2, [1.0, 1.0]), (3, [-0.001, 0.5]), (4, [0.0, 2.0])], "vec_id long, embedding array<double>"))
+    found = topk.top_k(v.where("id = 4"), v.where("id <> 1"), 5)  # one vector of huge components stops no other query
+    assert [tuple(r) for r in found.collect()] == [(4, 1, 2, 512 * 256), (4, 2, 3, 512 * 128)]
+    assert [tuple(r) for r in topk.top_k(v.where("id = 4"), v, 5).collect()] == [(4, 1, 1, 512 * 256), (4, 2, 2, 512 * 256), (4, 3, 3, 512 * 128)]
 
 
 def near_copies(seed=1, n=60):
