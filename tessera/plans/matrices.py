@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import graphs as G
 from ..operators import matrix as M
 from ..operators import stats as S
 from ..sources import views as V
+from ..sources.storage import stored
 from .catalog import query
 
 I_ = f"WITH {V.INCIDENCE}"
@@ -167,6 +169,61 @@ def graph_filters(spark, d):
     return g.select("run_id", F.size(F.filter("features", lambda f: f["layer"] == 1)).cast("long").alias("in_layer"), F.size(F.filter("features", lambda f: f["position"] == 2)).cast("long").alias("at_position"))
 
 
+#: Edges made of the vectors: a feature is a component over 0.1, of layer p // 16; it passes on to features of the next layer
+#: and to three outputs, nodes 64 to 66.
+GRAPH = """f AS (SELECT run_id, p AS node, p // 16 AS layer, v FROM (SELECT vec_id AS run_id, unnest(range(len(embedding))) AS p, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) WHERE v > 0.1),
+    o AS (SELECT unnest([64, 65, 66]) AS node, unnest([0.5, 0.3, 0.2]) AS probability),
+    e AS (SELECT a.run_id, a.node AS source, b.node AS target, a.v * b.v AS weight FROM f a JOIN f b ON a.run_id = b.run_id AND b.layer = a.layer + 1
+          UNION ALL SELECT run_id, f.node, o.node, CASE WHEN (f.node + o.node) % 3 = 0 THEN -v ELSE v * (o.node - 63) END FROM f, o WHERE (f.node + o.node) % 4 > 0),
+    s AS (SELECT run_id, source, target, abs(weight) / sum(abs(weight)) OVER (PARTITION BY run_id, target) AS share FROM e),
+    i0 AS (SELECT run_id, node, probability AS amount FROM o, (SELECT DISTINCT run_id FROM f)),
+    i1 AS (SELECT s.run_id, source AS node, sum(amount * share) AS amount FROM s JOIN i0 ON i0.run_id = s.run_id AND i0.node = target GROUP BY 1, 2),
+    i2 AS (SELECT s.run_id, source AS node, sum(amount * share) AS amount FROM s JOIN i1 ON i1.run_id = s.run_id AND i1.node = target GROUP BY 1, 2),
+    i3 AS (SELECT s.run_id, source AS node, sum(amount * share) AS amount FROM s JOIN i2 ON i2.run_id = s.run_id AND i2.node = target GROUP BY 1, 2),
+    i4 AS (SELECT s.run_id, source AS node, sum(amount * share) AS amount FROM s JOIN i3 ON i3.run_id = s.run_id AND i3.node = target GROUP BY 1, 2),
+    n AS (SELECT run_id, node, sum(amount) AS influence FROM (FROM i1 UNION ALL FROM i2 UNION ALL FROM i3 UNION ALL FROM i4) GROUP BY run_id, node)"""
+
+
+def _graph(spark, d):
+    """(edges, logits, features) as GRAPH has them."""
+    cells = V.table(spark, d, "embeddings").select(F.col("vec_id").alias("run_id"), F.posexplode("embedding").alias("node", "v")).withColumn("v", F.col("v").cast("double")).where("v > 0.1")
+    features = cells.select("run_id", "node", F.expr("node div 16").alias("layer"), F.lit(0).alias("position"), (F.col("node") % 16).alias("feature_idx"), F.col("v").alias("activation"))
+    layer = F.expr("node div 16")
+    later = cells.select("run_id", F.col("node").alias("target"), F.col("v").alias("w"), (layer - 1).alias("before"))
+    between = cells.withColumn("before", layer).join(later, ["run_id", "before"]).select("run_id", F.col("node").alias("source"), "target", (F.col("v") * F.col("w")).alias("weight"))
+    target = F.explode(F.sequence(F.lit(64), F.lit(66)))
+    both = F.col("node") + F.col("target")
+    weight = F.when(both % 3 == 0, -F.col("v")).otherwise(F.col("v") * (F.col("target") - 63))
+    out = cells.select("run_id", "node", "v", target.alias("target")).where(both % 4 > 0).select("run_id", F.col("node").alias("source"), "target", weight.alias("weight"))
+    outputs = F.explode(F.array(*(F.struct(F.lit(n).alias("node"), F.lit(n * 10).alias("token"), F.lit(p).alias("probability")) for n, p in ((64, 0.5), (65, 0.3), (66, 0.2)))))
+    logits = cells.select("run_id").distinct().select("run_id", outputs.alias("o")).select("run_id", "o.*")
+    return between.unionByName(out), logits, features
+
+
+@query("AG25_logit_attribution_of_edges", f"WITH {GRAPH} SELECT run_id, source AS node, round(sum(weight * probability), 6) AS attribution FROM e JOIN o ON o.node = e.target GROUP BY run_id, source")
+def logit_attribution_of_edges(spark, d):
+    edges, logits, _ = _graph(spark, d)
+    return G.logit_attribution(edges, logits).select("run_id", "node", F.round("logit_attribution", 6).alias("attribution"))
+
+
+@query("FLT10_node_influence", f"WITH {GRAPH} SELECT run_id, node, round(influence, 6) AS influence FROM n")
+def node_influence(spark, d):
+    edges, logits, _ = _graph(spark, d)
+    return G.node_influence(edges, logits, stored).select("run_id", "node", F.round("influence", 6).alias("influence"))
+
+
+@query("SNK10_FLT10_AG25_compact_graphs", f"""WITH {GRAPH}, c AS (SELECT *, coalesce(sum(influence) OVER (PARTITION BY run_id ORDER BY influence DESC, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(influence) OVER (PARTITION BY run_id) AS whole FROM n),
+    k AS (SELECT c.run_id, c.node, influence, coalesce(a.attribution, 0) AS attribution FROM c JOIN f ON f.run_id = c.run_id AND f.node = c.node LEFT JOIN (SELECT run_id, source AS node, sum(weight * probability) AS attribution FROM e JOIN o ON o.node = e.target GROUP BY ALL) a ON a.run_id = c.run_id AND a.node = c.node WHERE before < 0.8 * whole)
+    SELECT CAST(run_id AS VARCHAR) AS run_id, CAST(count(*) AS INTEGER) AS n, round(sum(influence), 6) AS influence, round(sum(attribution), 6) AS attribution, CAST(arg_max(node, (influence, -node)) AS INTEGER) AS first FROM k GROUP BY run_id""")
+def compact_graphs(spark, d):
+    edges, logits, features = _graph(spark, d)
+    rows = G.feature_rows(features, G.pruned(G.node_influence(edges, logits, stored), 0.8), G.logit_attribution(edges, logits))
+    runs = features.select("run_id").distinct().select("run_id", F.array(F.lit(1)).alias("input_tokens"), F.lit(4).alias("n_layers"), F.lit(42).alias("seed"))
+    whole = lambda name: F.round(F.aggregate("features", F.lit(0.0), lambda s, f: s + f[name]), 6)
+    first = F.col("features")[0]
+    return G.compact(runs, logits, rows).where(F.size("features") > 0).select("run_id", F.size("features").alias("n"), whole("influence").alias("influence"), whole("logit_attribution").alias("attribution"), (first["layer"] * 16 + first["feature_idx"]).alias("first"))
+
+
 @query("FLT10_prune_by_mask", I_ + " SELECT run_id, sum(layer * 16 + feature_idx)::BIGINT AS kept FROM incidence WHERE (run_id + feature_idx) % 2 = 0 GROUP BY run_id")
 def prune_by_mask(spark, d):
     i = V.incidence(spark, d).withColumn("mask", (F.col("run_id") + F.col("feature_idx")) % 2 == 0)
