@@ -65,6 +65,17 @@ def run_index(rows: DataFrame) -> DataFrame:
     return ranged.join(F.broadcast(before.select("part", "before")), "part").select("run_id", (F.col("before") + F.col("within")).cast("long").alias("row"))
 
 
+def resolved_layers(specs: Column, n_layers: Column) -> Column:
+    """resolve_layers() of each row's specs, texts: sorted distinct layers for "all" and whole numbers; another is an error."""
+
+    def one(spec: Column) -> Column:
+        layer = spec.try_cast("int")
+        wrong = F.raise_error(F.concat(F.lit("no such layer: "), spec)).cast("array<int>")
+        return F.when(spec == "all", F.sequence(F.lit(0), n_layers - 1)).when(layer.between(0, n_layers - 1), F.array(layer)).otherwise(wrong)
+
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(specs, one))))
+
+
 def activation_matrix(acts: DataFrame, which: str | int, width: int) -> DataFrame:
     """(row, feature_idx, v) at a position; cells given twice add up."""
     chosen = in_range(at_position(acts, which), width)

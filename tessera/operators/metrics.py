@@ -127,6 +127,47 @@ def nearest_point(scored: DataFrame, threshold: float) -> DataFrame:
     return precision_recall(scored).orderBy(F.abs(F.col("score") - threshold), "score").limit(1)
 
 
+def evaluate_predictions(train: DataFrame, test: DataFrame, strategy=None) -> DataFrame:
+    """One row with acc, malicious_f1, benign_f1, macro_f1, roc_auc, pr_auc, threshold, recall and precision of the test rows.
+
+    The threshold is chosen on the training rows, by TargetPrecision(0.95) unless told otherwise. All come from one curve of the
+    test scores; F1 and areas are percentages, precision and recall those at the curve's point nearest to the threshold, the
+    lower on ties. Rows without a score take no part; an F1 without a denominator is 0, areas are null with one class only.
+    """
+    chosen = (strategy or TargetPrecision(0.95)).select(train).select("threshold")
+    c = curve(test.where("score IS NOT NULL")).crossJoin(F.broadcast(chosen))  # one row
+    over = F.col("score") >= F.col("threshold")
+    at = lambda name: F.coalesce(F.max(F.when(over, F.col(name))), F.lit(0)).alias(name)
+    precision = F.col("tp") / (F.col("tp") + F.col("fp"))
+    tp0, fp0 = F.col("tp") - F.col("p"), F.col("fp") - F.col("q")
+    before = F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(1.0)
+    recall = F.try_divide(F.col("tp").cast("double"), F.col("n_pos"))
+    sums = c.agg(
+        at("tp"),
+        at("fp"),
+        F.max("n_pos").alias("n_pos"),
+        F.max("n_neg").alias("n_neg"),
+        F.sum(F.col("p") * (F.col("n_neg") - F.col("fp") + F.col("q") / F.lit(2.0))).alias("wins"),
+        F.sum(F.col("p") * (before + precision) / 2).alias("area"),
+        F.max("threshold").alias("threshold"),
+        F.min_by(F.struct(precision.alias("precision"), recall.alias("recall")), F.struct(F.abs(F.col("score") - F.col("threshold")), F.col("score"))).alias("near"),
+    )
+    fn, tn = F.col("n_pos") - F.col("tp"), F.col("n_neg") - F.col("fp")
+    f1 = lambda hit: F.coalesce(F.try_divide(200.0 * hit, 2 * hit + F.col("fp") + fn), F.lit(0.0))
+    both = F.when(F.col("n_pos") * F.col("n_neg") > 0, F.lit(100.0))
+    return sums.select(
+        F.try_divide(F.col("tp") + tn, F.col("n_pos") + F.col("n_neg")).alias("acc"),
+        f1(F.col("tp")).alias("malicious_f1"),
+        f1(tn).alias("benign_f1"),
+        ((f1(F.col("tp")) + f1(tn)) / 2).alias("macro_f1"),
+        (both * F.col("wins") / (F.col("n_pos") * F.col("n_neg"))).alias("roc_auc"),
+        (both * F.col("area") / F.col("n_pos")).alias("pr_auc"),
+        "threshold",
+        F.col("near.recall").alias("recall"),
+        F.col("near.precision").alias("precision"),
+    )
+
+
 def predicted(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.withColumn("prediction", (F.col("score") >= threshold).cast("long"))
 

@@ -17,6 +17,17 @@ def run_key(*parts: Column) -> Column:
     return F.sha1(F.array_join(F.transform(F.array(*[p.cast("string") for p in parts]), lambda p: F.coalesce(p, F.lit(""))), "|"))
 
 
+def fingerprint(model_hash: Column, layers: Column, positions: Column, max_tokens: Column, seed: Column) -> Column:
+    """The fingerprint of each row's settings, as ingest.Settings has it: SHA-1 of their canonical JSON, 16 digits. positions
+    are texts, numbers or names; if all are numbers, they count in any order."""
+    number = lambda p: p.rlike("^-?[0-9]+$")
+    joined = lambda items: F.array_join(items.cast("array<string>"), ", ")
+    named = joined(F.transform(positions, lambda p: F.when(number(p), p).otherwise(F.concat(F.lit('"'), p, F.lit('"')))))
+    places = F.when(F.forall(positions, number), joined(F.array_sort(F.transform(positions, lambda p: p.try_cast("bigint"))))).otherwise(named)
+    parts = [F.lit('{"layers": ['), joined(F.array_sort(layers)), F.lit('], "max_tokens": '), max_tokens.cast("string"), F.lit(', "model": "'), model_hash, F.lit('", "positions": ['), places, F.lit('], "seed": '), seed.cast("string"), F.lit("}")]
+    return F.substring(F.sha1(F.concat(*parts)), 1, 16)
+
+
 def run_id(day: Column, key: Column) -> Column:
     """Date and eight hex digits; a hash of the key rather than random digits, so that a retried task writes the same."""
     return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("_"), F.substring(F.sha1(key), 1, 8))

@@ -70,6 +70,21 @@ def overall(spark, d):
     return rounded(M.confusion(M.predicted(V.scores(spark, d), 100)), *NAMES)
 
 
+@query("ML24_evaluation", f"""WITH {V.SCORES}, t AS (SELECT round(quantile_cont(score, 0.95), 9) AS threshold FROM scores WHERE y = 0 AND run_id % 3 = 0), e AS (SELECT * FROM scores WHERE run_id % 3 > 0),
+    k AS (SELECT {CONF}, any_value(threshold) AS threshold FROM (SELECT y, CAST(score >= threshold AS BIGINT) AS prediction, threshold FROM e, t)),
+    c AS (SELECT score, sum(y)::BIGINT AS p, count(*) - sum(y)::BIGINT AS q FROM e GROUP BY score), r AS (SELECT score, p, q, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER () AS np, sum(q) OVER () AS nn FROM c WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+    pr AS (SELECT *, tp / (tp + fp) AS precision, tp / np AS recall, lag(tp / (tp + fp), 1, 1) OVER (ORDER BY score DESC) AS before FROM r),
+    a AS (SELECT 100 * sum(p * (nn - fp + q / 2.0)) / any_value(np * nn) AS roc_auc, 100 * sum(p / np * (before + precision) / 2) AS pr_auc FROM pr),
+    n AS (SELECT precision, recall FROM pr, t ORDER BY abs(score - threshold), score LIMIT 1)
+    SELECT round((tp + tn) / (tp + fp + tn + fn), 6) AS acc, round(200 * tp / (2 * tp + fp + fn), 6)::DOUBLE AS malicious_f1, round(200 * tn / (2 * tn + fp + fn), 6)::DOUBLE AS benign_f1, round(100 * tp / (2 * tp + fp + fn) + 100 * tn / (2 * tn + fp + fn), 6)::DOUBLE AS macro_f1,
+           round(roc_auc, 6)::DOUBLE AS roc_auc, round(pr_auc, 6)::DOUBLE AS pr_auc, round(threshold, 6)::DOUBLE AS threshold, round(recall, 6) AS recall, round(precision, 6) AS precision FROM k, a, n""")
+def evaluation(spark, d):
+    """A threshold chosen on a third of the rows, the nine metrics on the others."""
+    rows = V.scores(spark, d)
+    found = M.evaluate_predictions(rows.where("run_id % 3 = 0"), rows.where("run_id % 3 > 0"))
+    return rounded(found, *found.columns)
+
+
 @query("AG16_weighted_average", P_ + f", k AS (SELECT dataset_id, count(*) AS n, {CONF} FROM pd GROUP BY dataset_id), m AS (SELECT n, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1, (tp + tn) / n AS accuracy FROM k) SELECT round(sum(f1 * n) / sum(n) FILTER (f1 IS NOT NULL), 6) AS f1, round(sum(accuracy * n) / sum(n), 6) AS accuracy FROM m")
 def weighted_average(spark, d):
     c = M.confusion(M.predicted(V.scores(spark, d), 100), "dataset_id").withColumn("n", F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import matrix as M
+from ..operators import registry as R
 from ..sources import converters as K
 from ..sources import files, storage
 from ..sources import views as V
@@ -221,20 +222,36 @@ def remote_features(spark, d):
     return interpreter.interpret(features).select("layer", "feature_idx", "description")
 
 
-@query("SC21_fingerprint", """SELECT substr(sha1('{"layers": [1, 2], "max_tokens": 100, "model": "' || substr(sha1('toy'), 1, 12) || '", "positions": [0, 3], "seed": 42}'), 1, 16) AS fingerprint""")
+@query("SC21_fingerprint", """SELECT doc_id, substr(sha1('{"layers": [' || least(doc_id % 4, 2) || ', ' || greatest(doc_id % 4, 2) || '], "max_tokens": ' || n_chars || ', "model": "' || substr(sha1(lang), 1, 12) || '", "positions": ['
+    || CASE WHEN doc_id % 3 = 0 THEN '"last", 0' WHEN doc_id % 11 < 3 THEN (doc_id % 11) || ', 3' ELSE '3, ' || (doc_id % 11) END || '], "seed": ' || doc_id % 5 || '}'), 1, 16) AS fingerprint FROM documents""")
 def fingerprint(spark, d):
-    return spark.createDataFrame([(I.Settings("toy", (2, 1), (3, 0), 100).fingerprint,)], "fingerprint string")
+    """The settings of every document's run, some with named positions."""
+    positions = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("last"), F.lit("0"))).otherwise(F.array((F.col("doc_id") % 11).cast("string"), F.lit("3")))
+    model = F.substring(F.sha1("lang"), 1, 12)
+    found = R.fingerprint(model, F.array(F.col("doc_id") % 4, F.lit(2).cast("long")), positions, F.col("n_chars"), F.col("doc_id") % 5)
+    return V.table(spark, d, "documents").select("doc_id", found.alias("fingerprint"))
 
 
-@query("SC19_class_names", "SELECT * FROM (VALUES ('HFDataset', 'hf_dataset'), ('Dolly15kDataset', 'dolly15k_dataset'), ('plain', 'plain')) t(name, snake)")
+@query("SC19_class_names", r"""WITH n AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), '') || 'HFDataset' AS name FROM part)
+    SELECT p_partkey, lower(regexp_replace(regexp_replace(name, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS snake FROM n""")
 def class_names(spark, d):
-    return spark.createDataFrame([(name, files.snake_case(name)) for name in ("HFDataset", "Dolly15kDataset", "plain")], "name string, snake string")
+    """The names of parts as a class would be named."""
+    name = F.concat(F.regexp_replace(F.initcap("p_name"), " ", ""), F.lit("HFDataset"))
+    return V.table(spark, d, "part").select("p_partkey", files.snake_cased(name).alias("snake"))
 
 
-@query("PRJ3_PRJ7_resolved", "SELECT '0,1,2,3' AS every, '1,3' AS some, 2::BIGINT AS benign")
+@query("PRJ3_resolved_layers", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '0,1,2,3' WHEN doc_id % 4 = 2 THEN '2' ELSE least(doc_id % 4, 2) || ',' || greatest(doc_id % 4, 2) END AS layers FROM documents")
 def resolved(spark, d):
-    join = lambda layers: ",".join(map(str, layers))
-    return spark.createDataFrame([(join(M.resolve_layers(["all", 1], 4)), join(M.resolve_layers([3, 1, 3], 4)), files.benign_class({0: "attack", 2: "Safe"}))], "every string, some string, benign long")
+    """Layers that each run asks for, by number or all, of four."""
+    specs = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("all"), F.lit("2"))).otherwise(F.array((F.col("doc_id") % 4).cast("string"), F.lit("2")))
+    return V.table(spark, d, "documents").select("doc_id", F.array_join(M.resolved_layers(specs, F.lit(4)).cast("array<string>"), ",").alias("layers"))
+
+
+@query("PRJ7_benign_classes", "SELECT n_regionkey, coalesce(min(n_nationkey) FILTER (n_nationkey % 4 = 3), 0) AS benign FROM nation GROUP BY n_regionkey")
+def benign_classes(spark, d):
+    """Regions as models whose classes are their nations; each fourth nation's is called safe."""
+    name = F.when(F.col("n_nationkey") % 4 == 3, F.lit("Safe")).otherwise(F.col("n_name"))
+    return files.benign_classes(V.table(spark, d, "nation").select("n_regionkey", F.col("n_nationkey").alias("class"), name.alias("name")), "n_regionkey")
 
 
 @query("SRC1_UX10_iterated", "SELECT count(*) AS n, CAST(sum(length(n_name)) AS BIGINT) AS chars FROM nation")

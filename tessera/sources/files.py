@@ -52,6 +52,11 @@ def snake_case(name: str) -> str:
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()
 
 
+def snake_cased(name: Column) -> Column:
+    """snake_case() of a column."""
+    return F.lower(F.regexp_replace(name, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_"))
+
+
 def construct(name: str, known: dict[str, Callable], suffix: str = "", **settings: object):
     """What a configuration names: one of the known, in snake or camel case, with or without the suffix, or a class or
     function of another module as "module:name"."""
@@ -75,6 +80,12 @@ def benign_class(names: dict[int, str]) -> int:
     return next((k for k, name in sorted(names.items()) if name.upper() in ("BENIGN", "SAFE", "NORMAL")), 0)
 
 
+def benign_classes(classes: DataFrame, *by: str) -> DataFrame:
+    """(by, benign): benign_class() of the (class, name) of each key."""
+    hit = F.upper("name").isin("BENIGN", "SAFE", "NORMAL")
+    return classes.groupBy(*by).agg(F.coalesce(F.min(F.when(hit, F.col("class"))), F.lit(0)).alias("benign"))
+
+
 def write_graphs(graphs: DataFrame, path: str) -> None:
     graphs.write.mode("append").parquet(path)
 

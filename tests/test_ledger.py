@@ -124,3 +124,20 @@ def test_stretches_of_the_grid(spark, first, end):
     found = K.injected_range(spark.createDataFrame(contexts, "idx long, context string"), spark.createDataFrame(attacks, "idx long, attack_str string"), first, end).orderBy("cell").collect()
     assert [(r["idx"], r["position"], r["user_prompt"]) for r in found] == [(r["idx"], r["position"], r["user_prompt"]) for r in order[first:end]]
     assert [r["cell"] for r in found] == [*range(24)][first:end]
+
+
+def test_settings_of_rows(spark):
+    from tessera.operators import matrix as M
+    from tessera.sources import files
+
+    made = [ingest.Settings("toy", (2, 1), (3, 0), 100), ingest.Settings("m", (0,), ("last", 0), 5, 7), ingest.Settings("m", (10, 9), (-1, 10, 2), 5, 7)]
+    rows = spark.createDataFrame([(s.model_hash, list(s.layers), [str(p) for p in s.positions], s.max_tokens, s.seed, s.fingerprint) for s in made], "model string, layers array<int>, positions array<string>, max_tokens int, seed int, expected string")
+    found = rows.select(R.fingerprint(*(F.col(c) for c in rows.columns[:5])).alias("found"), "expected").collect()
+    assert all(r["found"] == r["expected"] for r in found)
+    names = ["HFDataset", "Dolly15kDataset", "plain", "aB", "ABCd", ""]
+    assert [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(files.snake_cased(F.col("n"))).collect()] == [files.snake_case(n) for n in names]
+    specs = spark.createDataFrame([(["all", "1"], 4), (["3", "1", "3"], 4)], "s array<string>, n int")
+    assert [r[0] for r in specs.select(M.resolved_layers(F.col("s"), F.col("n"))).collect()] == [M.resolve_layers(["all", 1], 4), M.resolve_layers([3, 1, 3], 4)]
+    with pytest.raises(Exception, match="no such layer: 4"):
+        spark.createDataFrame([(["4"], 4)], "s array<string>, n int").select(M.resolved_layers(F.col("s"), F.col("n"))).collect()
+    assert files.benign_class({0: "attack", 2: "Safe"}) == 2
