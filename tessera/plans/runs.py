@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import registry as R
 from ..sources import views as V
+from ..sources.storage import shared_folder
+from ..streaming import state
 from .catalog import query
 
 E_ = f"WITH {V.RUN_EVENTS} "
@@ -225,3 +229,19 @@ def rows_with_metadata(spark, d):
 def prompts_of_runs(spark, d):
     manifests = V.table(spark, d, "benchmark").select(F.col("item_id").alias("run_id"), F.col("text").alias("input_text"))
     return V.runs(spark, d).select("run_id").join(manifests, "run_id", "left").select("run_id", F.coalesce("input_text", F.lit("")).alias("prompt"))
+
+
+@query("SNK2_SNK5_streamed_state", "SELECT user_id AS run_key, arg_max(event_type, event_id) FILTER (event_type IS NOT NULL) AS status, round(arg_max(value, event_id) FILTER (value > 50), 6) AS value FROM events GROUP BY user_id")
+def streamed_state(spark, d):
+    """Each user's newest status and newest value over 50, kept up by a stream of all events."""
+    events = V.table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = stream.select(F.col("user_id").alias("run_key"), F.col("event_id").alias("event_no"), F.col("event_type").alias("status"), F.when(F.col("value") > 50, F.col("value")).alias("value"))
+    path, before = f"{shared_folder(spark)}/states-{uuid.uuid4().hex}", spark.conf.get(state.STORE)
+    try:
+        states = state.newest_values(rows, "run_key")
+        query = states.writeStream.outputMode("update").foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(state.STORE, before)
+    return state.current_of(spark.read.schema(states.schema).parquet(f"{path}/out"), "run_key").withColumn("value", F.round("value", 6))
