@@ -188,7 +188,6 @@ def suffixes(docs: DataFrame, groups: Groups, max_n: int) -> DataFrame:
                 one, n = words.distinct(words.hashes(first, last), first, last, target)
                 data, offsets = words.lines(first[one], last[one])
                 begins = np.flatnonzero(np.concatenate([[True], target[one][1:] != target[one][:-1]]))
-                ends = np.append(begins[1:], len(one))
                 of = target[one][begins]
                 lines = pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets[np.append(begins, len(one))].astype(np.int32)), pa.py_buffer(data))
                 counts = pa.ListArray.from_arrays(pa.array(np.append(begins, len(one)).astype(np.int32)), pa.array(n.astype(np.int64)))
