@@ -136,8 +136,9 @@ def linear(c: float = 1.0, normalize: bool | str = True, iterations: int = 200,
     return Linear(c, normalize, iterations, sgd)
 
 
-def boosted(trees: int = 100, depth: int = 6, rate: float = 0.3, **settings) -> Boosted:
-    """Trees of second order; the other settings are those of boosting.Settings."""
+def boosted(trees: int = 20, depth: int = 6, rate: float = 0.3, **settings) -> Boosted:
+    """Trees of second order; the other settings are those of boosting.Settings, which by themselves mean 100 trees. Here there
+    are fewer unless told, as each level of a tree is a job."""
     return Boosted(BoostSettings(trees, depth, rate, **settings))
 
 

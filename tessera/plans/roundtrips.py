@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..operators import matrix as M
 from ..operators import registry as R
-from ..sources import converters as K
 from ..sources import files, storage
 from ..sources import views as V
 from ..sources.ledger import Ledger
