@@ -141,4 +141,4 @@ def components(rows: DataFrame, k: int, width: int | None = None, seed: int = 42
             break
         block = np.linalg.qr(image @ turned)[0]
     signs = np.sign(found[np.abs(found).argmax(axis=0), np.arange(found.shape[1])]) if width else np.zeros(0)
-    return Components((found * signs).T[:k], np.maximum(before, 0), total, mean)
+    return Components((found * signs).T[:k], np.maximum(before, 0), float(total), mean)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import classify as C
 from ..operators import layout as L
 from ..operators import metrics as M
+from ..operators import projection as PR
 from ..operators import stats as S
 from ..operators import unsupervised as U
 from ..operators.adversarial import Adversarial
@@ -152,6 +153,16 @@ def total_variance(spark, d):
     return S.long_form(z.select(F.col("z").alias("x"))).groupBy("i").agg(F.var_pop("v").alias("s")).agg(F.round(F.sum("s"), 6).alias("total"))
 
 
+@query("ML7_components_of_features", f"WITH {V.INCIDENCE}, n AS (SELECT count(DISTINCT run_id) AS n FROM incidence), i AS (SELECT layer, feature_idx, sum(v * v) / any_value(n) - pow(sum(v) / any_value(n), 2) AS s FROM incidence, n GROUP BY layer, feature_idx) SELECT round(sum(s), 6) AS total, round(sum(s), 6) AS explained FROM i")
+def components_of_features(spark, d):
+    """Rows by the coordinates of what isn't zero: all components together have the variance of all dimensions."""
+    cells = V.incidence(spark, d).select("run_id", (F.col("layer") * 16 + F.col("feature_idx")).alias("feature_idx"), "v")
+    rows = PR.by_coordinates(cells)
+    width = rows.agg(F.max(F.array_max("feature_idx")) + 1).first()[0]
+    found = PR.components(rows, width, width)
+    return spark.createDataFrame([(round(found.total, 6), round(float(found.variances.sum()), 6))], "total double, explained double")
+
+
 @query("ML27_tsne")
 def tsne(spark, d):
     """Places of a sample of at most SAMPLE_ROWS runs, which is the operator's feature."""
