@@ -34,8 +34,12 @@ def kmeans(xy: DataFrame, k: int, runs: int = 10, seed: int = 42) -> DataFrame:
     return best.transform(rows).drop("_v")
 
 
-#: Rows of a block in which distances are taken; most regions; rows, about, that their pivots are chosen among.
+#: Rows of a tile in which distances are taken; most regions; rows, about, that their pivots are chosen among.
 BLOCK, REGIONS, PIVOT_ROWS = 2000, 512, 4096
+#: Parts that rows are dealt to, and about the most bytes of the vectors of one, of which there are more where these would pass.
+PARTS, PART_BYTES = 12, 32 << 20
+#: Rows of answers about tiles that a task puts together at once.
+ANSWERS = 1 << 20
 
 
 def spread_pivots(sample: np.ndarray, count: int, seed: int = 42) -> np.ndarray:
@@ -50,13 +54,41 @@ def spread_pivots(sample: np.ndarray, count: int, seed: int = 42) -> np.ndarray:
     return sample[chosen]
 
 
+def _border(x: np.ndarray, home: np.ndarray, pivots: np.ndarray, apart: np.ndarray, reach: float, regions: np.ndarray) -> np.ndarray:
+    """Which rows, whose nearest pivots are given, can be within reach of the planes between these and each of the regions' pivots."""
+    of = pivots[regions]
+    lengths = (of * of).sum(axis=1)
+    squares = np.maximum((x * x).sum(axis=1)[:, None] + lengths - 2 * x @ of.T, 0)
+    own = ((x - pivots[home]) ** 2).sum(axis=1)
+    # a little more than rounding can take from the squares
+    return squares - own[:, None] <= 2 * reach * apart[home[:, None], regions] + 1e-9 * (squares + lengths)
+
+
+def _within(x: np.ndarray, y: np.ndarray, eps: float) -> np.ndarray:
+    """Which rows of x are within eps of which of y; what rounding of the squares leaves open is told by the differences."""
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    squares = np.column_stack([x, xx, np.ones(len(x))]) @ np.column_stack([-2 * y, np.ones(len(y)), yy]).T
+    slack = 1e-9 * eps * eps + 1e-15 * (x.shape[1] + 8) * (xx.max(initial=0) + yy.max(initial=0))
+    close = squares <= eps * eps + slack
+    at = np.flatnonzero(close)
+    at = at[squares.ravel()[at] >= eps * eps - slack]
+    for start in range(0, len(at), BLOCK):
+        i, j = np.divmod(at[start : start + BLOCK], len(y))
+        close[i, j] = np.sqrt(((x[i] - y[j]) ** 2).sum(axis=1)) <= eps
+    return close
+
+
 class Near:
     """Rows (run_id, x) in regions around pivots, and which regions' borders can hold rows within eps of each other.
 
     A row belongs to its nearest pivot's region. What is on the other side of the plane half-way between two pivots is at
     least as far from a row as that plane, so that of two regions only the rows within eps of the plane between them meet:
-    their borders to each other. Regions and borders are dealt to blocks of about `block` rows; each pair of blocks meets in
-    one task, which returns what is asked about rows, never pairs. There are as many regions as blocks, REGIONS at most.
+    their borders to each other. There are as many regions as there are times `block` rows, REGIONS at most.
+
+    Regions, one after the other, are dealt to PARTS parts of equal size, more only where a part's vectors would pass
+    PART_BYTES. Each pair of parts meets in one task, region by region in tiles of at most `block` rows a side, which returns
+    what is asked about rows, never pairs. So a row is sent at most once for each part, and what is sent grows with the
+    rows until there are some PARTS * PART_BYTES of vectors.
     """
 
     def __init__(self, xy: DataFrame, eps: float, stored, block: int = BLOCK, regions: int | None = None):
@@ -66,32 +98,43 @@ class Near:
         count = max(1, min(regions or -(-self.n // block), REGIONS))
         chosen = F.pmod(F.xxhash64("run_id"), F.lit(1 << 20)) < max(1, int(min(1.0, PIVOT_ROWS / max(1, self.n)) * (1 << 20)))
         sample = matrix(xy.where(chosen).select("x").toArrow()["x"].combine_chunks(), self.width)
-        pivots = spread_pivots(sample, count) if len(sample) else np.zeros((1, self.width))
-        self.rows = stored(self._placed(xy, pivots))
-        each = self.rows.select("home", F.explode(F.concat(F.array("home"), "borders")).alias("other"))
+        self.pivots = pivots = spread_pivots(sample, count) if len(sample) else np.zeros((1, self.width))
+        self.apart = np.stack([np.sqrt(((pivots - p) ** 2).sum(axis=1)) for p in pivots])
+        placed = stored(self._placed(xy))
+        each = placed.select("home", F.explode(F.concat(F.array("home"), "borders")).alias("other"))
         self.sizes = stored(each.groupBy("home", "other").agg(F.count(F.lit(1)).alias("n")))  # no more rows than pairs of regions
+        self.rows = stored(self._dealt(placed))
 
-    def _placed(self, xy: DataFrame, pivots: np.ndarray) -> DataFrame:
+    def _placed(self, xy: DataFrame) -> DataFrame:
         """(run_id, x, home, borders): the nearest pivot, and those to whose regions the row is a border."""
-        width, reach = self.width, self.eps * (1 + 1e-9)
-        apart = np.sqrt(((pivots[:, None] - pivots[None]) ** 2).sum(axis=2)) if len(pivots) * len(pivots) * width <= 1 << 24 else np.stack([np.sqrt(((pivots - p) ** 2).sum(axis=1)) for p in pivots])
+        width, reach, pivots, apart = self.width, self.eps * (1 + 1e-9), self.pivots, self.apart
         schema = "run_id long, x array<double>, home int, borders array<int>"
         arrow = pa.schema([("run_id", pa.int64()), ("x", pa.list_(pa.float64())), ("home", pa.int32()), ("borders", pa.list_(pa.int32()))])
 
         def run(batches):
             for batch in batches:
                 x = matrix(batch.column("x"), width)
-                squares = np.maximum((x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * x @ pivots.T, 0)
-                home, at = squares.argmin(axis=1), np.arange(len(x))
-                over = squares - squares[at, home][:, None]
-                # a little more than rounding can take from the squares
-                border = over <= 2 * reach * apart[home] + 1e-9 * (squares + (pivots * pivots).sum(axis=1))
-                border[at, home] = False
+                home = ((pivots * pivots).sum(axis=1) - 2 * x @ pivots.T).argmin(axis=1)
+                border = _border(x, home, pivots, apart, reach, np.arange(len(pivots)))
+                border[np.arange(len(x)), home] = False
                 lists = [np.flatnonzero(row).astype(np.int32) for row in border]
                 yield pa.RecordBatch.from_arrays([batch.column("run_id"), batch.column("x"), pa.array(home.astype(np.int32)), pa.array(lists, pa.list_(pa.int32()))], schema=arrow)
 
         return bounded_batches(xy.select(F.col("run_id").cast("long").alias("run_id"), F.col("x").cast("array<double>").alias("x")), width).mapInArrow(run, schema)
 
+    def _dealt(self, placed: DataFrame) -> DataFrame:
+        """(run_id, x, home, part, meets): the row's part, and the parts of its own and its bordering regions."""
+        number = np.zeros(len(self.pivots), np.int64)
+        for row in self.sizes.where("home = other").collect():  # a row for each region
+            number[row["home"]] = row["n"]
+        size = max(self.block, min(-(-self.n // PARTS), PART_BYTES // (8 * max(1, self.width))))
+        starts = np.cumsum(number) - number
+        of = lambda values, at: F.element_at(F.lit(values.tolist()), at + 1)
+        position = of(starts, F.col("home")) + F.pmod(F.xxhash64("run_id"), of(np.maximum(number, 1), F.col("home")))
+        first, last = starts // size, (starts + np.maximum(number, 1) - 1) // size
+        meets = F.array_distinct(F.flatten(F.transform(F.concat(F.array("home"), "borders"), lambda at: F.sequence(of(first, at), of(last, at)))))
+        return placed.select("run_id", "x", "home", F.floor(position / size).cast("long").alias("part"), meets.alias("meets"))
+
     def compared(self) -> tuple[int, int]:
         """How many pairs of rows meet in one pass, and how many there are, a row with itself among both."""
         a, b = self.sizes.alias("a"), self.sizes.alias("b")
@@ -99,82 +142,114 @@ class Near:
         pairs = met.agg(F.coalesce(F.sum(F.when(F.col("a.home") == F.col("a.other"), F.expr("a.n * (a.n + 1) div 2")).otherwise(F.expr("a.n * b.n"))), F.lit(0))).first()[0]
         return int(pairs), self.n * (self.n + 1) // 2
 
-    def _sides(self, rows: DataFrame, columns: list[str]) -> list[DataFrame]:
-        """The rows for the left and the right of every pair of blocks that meet: (low, high, i, j), x and columns."""
-        blocks = self.sizes.select("home", "other", F.ceil(F.col("n") / self.block).alias("blocks"))
-        both = blocks.join(blocks.select(F.col("home").alias("other"), F.col("other").alias("home"), F.col("blocks").alias("others")), ["home", "other"])
-        each = rows.withColumn("other", F.explode(F.concat(F.array("home"), "borders"))).join(both, ["home", "other"])
-        each = each.withColumn("own", F.pmod(F.xxhash64("run_id"), F.col("blocks"))).withColumn("low", F.least("home", "other")).withColumn("high", F.greatest("home", "other"))
-        alone = F.col("home") == F.col("other")
-        zero = F.lit(0).cast("long")
-        left = each.where(F.col("home") == F.col("low")).withColumn("j", F.explode(F.sequence(F.when(alone, F.col("own")).otherwise(zero), F.col("others") - 1))).withColumn("i", F.col("own"))
-        right = each.where(F.col("home") == F.col("high")).withColumn("i", F.explode(F.sequence(zero, F.when(alone, F.col("own")).otherwise(F.col("others") - 1)))).withColumn("j", F.col("own"))
-        return [side.select("low", "high", "i", "j", "x", *columns) for side in (left, right)]
-
-    def meet(self, rows: DataFrame, columns: list[str], found, schema: str) -> DataFrame:
-        """found(left, right, close, same) of each pair of blocks as rows of schema; rows: self.rows, or some of them, with
-        more columns.
-
-        left and right are the columns as arrays; close says which rows are within eps, a row itself not; same that both
-        are one block. What is returned must hold for left and right rows alike unless they are the same.
-        """
-        width = self.width
-        eps, names = self.eps, [part.split()[0] for part in schema.split(", ")]
-        sides = self._sides(rows, columns)
-        sides[1] = sides[1].toDF(*(f"{c}_" for c in sides[1].columns))
+    def sent(self, rows: DataFrame, columns: list[str]) -> DataFrame:
+        """The rows once for each pair of parts that they meet in: (low, high, part, home, x) and columns."""
+        each = rows.withColumn("other", F.explode("meets"))
+        return each.select(F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "home", "x", *columns)
 
-        def run(a: pa.Table, b: pa.Table) -> pa.Table:
-            if not a.num_rows or not b.num_rows:
-                return pa.table({name: pa.array([], kind) for name, kind in zip(names, kinds)})
-            b = b.rename_columns(a.column_names)
-            x, y = (matrix(t.column("x").combine_chunks(), width) for t in (a, b))
-            left, right = ({name: np.asarray(t.column(name)) for name in columns} for t in (a, b))
-            squares = np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1) - 2 * x @ y.T, 0)
-            close = squares <= eps * eps * (1 + 1e-9)
-            doubtful = np.argwhere(close & (squares >= eps * eps * (1 - 1e-9)))  # told by the differences themselves
-            for i, j in doubtful:
-                close[i, j] = np.sqrt(((x[i] - y[j]) ** 2).sum()) <= eps
-            close &= left["run_id"][:, None] != right["run_id"]
-            low, high, i, j = (a.column(name)[0].as_py() for name in keys)
-            same = (low, i) == (high, j)
-            return pa.table([pa.array(column, kind) for column, kind in zip(found(left, right, close, same), kinds)], names=names)
+    def meet(self, rows: DataFrame, columns: list[str], found, schema: str, combined=None) -> DataFrame:
+        """found(left, right, close, same) of each two tiles as rows of schema; rows: self.rows, or some of them, with more
+        columns.
 
+        left and right are the columns as arrays, run_id among them; close says which rows are within eps, a row itself not;
+        same that both are one tile. What is returned must hold for left and right rows alike unless they are the same.
+        combined(*columns of schema), if given, puts the answers about many tiles together.
+        """
+        width, eps, block, pivots, apart = self.width, self.eps, self.block, self.pivots, self.apart
+        names = [part.split()[0] for part in schema.split(", ")]
         kinds = [{"long": pa.int64(), "boolean": pa.bool_()}[part.split()[1]] for part in schema.split(", ")]
-        keys = ["low", "high", "i", "j"]
-        return sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*(f"{key}_" for key in keys))).applyInArrow(run, schema)
+
+        def run(table: pa.Table) -> pa.Table:
+            x = matrix(table.column("x").combine_chunks(), width)
+            part, home = np.asarray(table.column("part")), np.asarray(table.column("home"))
+            values = {name: np.asarray(table.column(name)) for name in columns}
+            low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+            del table
+            out = [[np.zeros(0, kind.to_pandas_dtype())] for kind in kinds]
+            for a, b, same in _tiles(x, home, part == low, part == high, low == high, pivots, apart, eps * (1 + 1e-9), block):
+                close = _within(x[a], x[b], eps)
+                left, right = ({name: column[at] for name, column in values.items()} for at in (a, b))
+                i, j = np.divmod(np.flatnonzero(close), len(b))
+                itself = left["run_id"][i] == right["run_id"][j]
+                close[i[itself], j[itself]] = False
+                for column, answer in zip(out, found(left, right, close, same)):
+                    column.append(answer)
+                if combined and sum(map(len, out[0])) > ANSWERS:
+                    out = [[column] for column in combined(*map(np.concatenate, out))]
+            done = [np.concatenate(column) for column in out]
+            return pa.table([pa.array(column, kind) for column, kind in zip(combined(*done) if combined else done, kinds)], names=names)
+
+        return self.sent(rows, columns).groupBy("low", "high").applyInArrow(run, schema)
+
+
+def _tiles(x, home, left, right, one: bool, pivots, apart, reach: float, block: int):
+    """(a, b, same): the places of rows of both sides that meet, at most `block` each; one says that both sides are the same."""
+    sides = [np.flatnonzero(side) for side in (left, right)]
+    regions = [np.unique(home[side]) for side in sides]
+    borders = [_border(x[side], home[side], pivots, apart, reach, other) for side, other in zip(sides, regions[::-1])]
+    for at, h in enumerate(regions[0].tolist()):
+        of_h = home[sides[0]] == h
+        for to, k in enumerate(regions[1].tolist()):
+            if one and k < h:
+                continue
+            of_k = home[sides[1]] == k
+            a, b = (sides[0][of_h], sides[1][of_k]) if h == k else (sides[0][of_h & borders[0][:, to]], sides[1][of_k & borders[1][:, at]])
+            same = one and h == k
+            for start in range(0, len(a), block):
+                for then in range(start if same else 0, len(b), block):
+                    yield a[start : start + block], b[then : then + block], same and start == then
 
 
 def _counted(left: dict, right: dict, close: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's close rows in the other block."""
+    """Each row's close rows in the other tile."""
     if same:
-        return left["run_id"], close.sum(axis=1)
-    return np.concatenate([left["run_id"], right["run_id"]]), np.concatenate([close.sum(axis=1), close.sum(axis=0)])
+        return left["run_id"], np.count_nonzero(close, axis=1)
+    return np.concatenate([left["run_id"], right["run_id"]]), np.concatenate([np.count_nonzero(close, axis=1), np.count_nonzero(close, axis=0)])
 
 
-def _linked(left: dict, right: dict, close: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what close rows connect: each row and the least one that it reaches in the two blocks."""
-    ids = np.concatenate([left["run_id"], right["run_id"]])
-    least, before = ids.copy(), None
-    n = len(left["run_id"])
-    top = np.iinfo(np.int64).max
+def _summed(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    known, at = np.unique(ids, return_inverse=True)
+    total = np.zeros(len(known), np.int64)
+    np.add.at(total, at, n)
+    return known, total
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what edges (a, b) connect: each node and the least one that it reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    least, before = np.arange(len(nodes)), None
     while before is None or (least != before).any():
         before = least.copy()
-        least[:n] = np.minimum(least[:n], np.where(close, least[n:], top).min(axis=1))
-        least[n:] = np.minimum(least[n:], np.where(close.T, least[:n], top).min(axis=1))
-        if same:
-            least[:n] = least[n:] = np.minimum(least[:n], least[n:])
-    edge = ids != least
-    return ids[edge], least[edge]
+        low = np.minimum(least[i], least[j])
+        # also what the two were told to be part of, so that long chains take few rounds
+        for ends in (before[i], before[j], i, j):
+            np.minimum.at(least, ends, low)
+        least = least[least]
+    edge = least != np.arange(len(nodes))
+    return nodes[edge], nodes[least[edge]]
+
+
+def _linked(left: dict, right: dict, close: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    i, j = np.divmod(np.flatnonzero(close), close.shape[1])
+    return _joined(left["run_id"][i], right["run_id"][j])
+
+
+def _least_of(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    known, at = np.unique(ids, return_inverse=True)
+    least = np.full(len(known), np.iinfo(np.int64).max)
+    np.minimum.at(least, at, values)
+    return known, least
 
 
 def _bordering(left: dict, right: dict, close: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Rows that aren't core with the least root of a close core row; root is negative where a row isn't core."""
-    top = np.iinfo(np.int64).max
-    out = []
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for own, other, near in ((left, right, close), (right, left, close.T)):
-        least = np.where(near & other["core"], other["root"], top).min(axis=1)
-        hit = ~own["core"] & (least < top)
-        out.append((own["run_id"][hit], least[hit]))
+        rows, cores = np.flatnonzero(~own["core"]), np.flatnonzero(other["core"])
+        if len(rows) and len(cores):
+            i, j = np.nonzero(near[np.ix_(rows, cores)])
+            out.append(_least_of(own["run_id"][rows[i]], other["root"][cores[j]]))
     return tuple(np.concatenate(column) for column in zip(*out))
 
 
@@ -195,18 +270,20 @@ def components(nodes: DataFrame, edges: DataFrame, stored) -> DataFrame:
 def dbscan(xy: DataFrame, eps: float, least: int, stored, block: int = BLOCK) -> DataFrame:
     """(run_id, cluster): cluster is the least id of a cluster's core rows, or -1 for noise; a border row joins its least cluster.
 
-    Ids are whole numbers. Three passes over the pairs of blocks: rows within eps are counted, core rows linked, and
-    border rows given a cluster.
+    Ids are whole numbers. Three passes over the pairs of parts: rows within eps are counted, core rows linked, and
+    border rows, where there are any that aren't core, given a cluster.
     """
     near = Near(xy.select(F.col("run_id").cast("long").alias("run_id"), "x"), eps, stored, block)
-    counts = near.meet(near.rows, ["run_id"], _counted, "run_id long, n long").groupBy("run_id").agg((F.sum("n") + 1).alias("n"))
+    counts = near.meet(near.rows, ["run_id"], _counted, "run_id long, n long", _summed).groupBy("run_id").agg((F.sum("n") + 1).alias("n"))
     core = stored(counts.where(F.col("n") >= least).select(F.col("run_id").alias("node")))
     cores = stored(near.rows.join(core, F.col("run_id") == F.col("node"), "left_semi"))
-    links = stored(near.meet(cores, ["run_id"], _linked, "a long, b long").distinct())
+    links = stored(near.meet(cores, ["run_id"], _linked, "a long, b long", _joined).distinct())
     both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = components(core, both, stored)
-    flagged = stored(near.rows.join(roots, F.col("run_id") == F.col("node"), "left").select("run_id", "x", "home", "borders", F.col("root").isNotNull().alias("core"), F.coalesce("root", F.lit(-1)).cast("long").alias("root")))
-    border = near.meet(flagged, ["run_id", "core", "root"], _bordering, "run_id long, near long").groupBy("run_id").agg(F.min("near").alias("near"))
+    flagged = stored(near.rows.join(roots, F.col("run_id") == F.col("node"), "left").select("run_id", "x", "home", "part", "meets", F.col("root").isNotNull().alias("core"), F.coalesce("root", F.lit(-1)).cast("long").alias("root")))
+    if flagged.where("NOT core").isEmpty():
+        return flagged.select("run_id", F.col("root").alias("cluster"))
+    border = near.meet(flagged, ["run_id", "core", "root"], _bordering, "run_id long, near long", _least_of).groupBy("run_id").agg(F.min("near").alias("near"))
     return flagged.join(border, "run_id", "left").select("run_id", F.when(F.col("core"), F.col("root")).otherwise(F.coalesce("near", F.lit(-1))).alias("cluster"))
 
 

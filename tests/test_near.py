@@ -24,6 +24,29 @@ def test_all_close_pairs_meet(spark, regions, block, eps):
     assert all_ == 152 * 153 // 2 and met <= all_ and (met < all_ / 2 if eps == 0.1 else True) and (met == all_ if regions == 1 else True)
 
 
+def test_rows_are_sent_once_for_each_part(spark):
+    """What is sent grows with the rows, not with their square, also where every region borders every other."""
+    rng = np.random.default_rng(3)
+    for n in (400, 1600):
+        rows = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(rng.normal(size=(n, 20)))], "run_id long, x array<double>")
+        near = U.Near(rows, 6.0, storage.stored, block=10)
+        assert near.sent(near.rows, ["run_id"]).count() <= n * (U.PARTS + 1)
+    assert near.sizes.where("home <> other").count() > 1000
+
+
+def test_joined_edges_reach_the_least():
+    rng = np.random.default_rng(4)
+    chain = rng.permutation(500) * 3
+    a, b = U._joined(np.concatenate([chain[:-1], [7000]]), np.concatenate([chain[1:], [9000]]))
+    assert dict(zip(a.tolist(), b.tolist())) == {**{i * 3: 0 for i in range(1, 500)}, 9000: 7000}
+
+
+@pytest.mark.parametrize("eps, far", [(1.0, 0.0), (1.0, 1e6), (0.0, 5.0)])
+def test_within_by_differences(eps, far):
+    x = np.array([[far, 0, 0], [far + 1, 0, 0], [far + 1, 1e-9, 0], [far, 3, 4]])
+    assert (U._within(x, x, eps) == (np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)) <= eps)).all()
+
+
 def test_no_rows(spark):
     near = U.Near(spark.createDataFrame([], "run_id long, x array<double>"), 1.0, storage.stored)
     assert near.rows.count() == 0 and near.compared() == (0, 0)
