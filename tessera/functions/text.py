@@ -61,6 +61,11 @@ def without_tools(text: Column) -> Column:
     return F.regexp_replace(text, TOOLS, "")
 
 
+def more_bytes(text: str) -> Column:
+    """How many bytes a text column has beyond one a character; null has none."""
+    return F.coalesce(F.octet_length(text) - F.length(text), F.lit(0))
+
+
 def chunks(text: Column, size: int) -> Column:
     """Pieces of size characters without overlap; an empty text has none."""
     n = F.ceil(F.length(text) / size).cast("int")

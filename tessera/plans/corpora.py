@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import matrix as M
 from ..sources import converters as K
 from ..sources import files, hub
@@ -83,10 +84,15 @@ def injecagent(spark, d):
 
 @query("SRC9_JN12_injected", "SELECT c.idx, b.item_id AS attack, p.position, CAST(length(c.context) + 1 + length(b.text) AS BIGINT) AS n FROM (SELECT text AS context, min(doc_id) AS idx FROM documents GROUP BY text) c, benchmark b, (SELECT unnest(['start', 'middle', 'end']) AS position) p")
 def injected(spark, d):
-    """Every distinct text is a context."""
-    contexts = K.first_of_context(source(spark, d, context="text")).select("idx", "context")
-    attacks = V.table(spark, d, "benchmark").select(F.col("item_id").alias("attack"), F.col("text").alias("attack_str"))
-    return K.injected(contexts, attacks).select("idx", "attack", "position", F.length("user_prompt").cast("long").alias("n"))
+    """Every distinct text is a context.
+
+    A prompt's characters are its bytes less what those of its context and attack have beyond one a character, which is
+    counted once for each of these: counting the characters of every prompt takes several times as long as making it.
+    """
+    contexts = K.first_of_context(source(spark, d, context="text")).select("idx", "context", X.more_bytes("context").alias("c"))
+    attacks = V.table(spark, d, "benchmark").select(F.col("item_id").alias("attack"), F.col("text").alias("attack_str"), X.more_bytes("text").alias("a"))
+    n = F.octet_length("user_prompt") - F.col("c") - F.col("a")
+    return K.injected(contexts, attacks).select("idx", "attack", "position", n.cast("long").alias("n"))
 
 
 @query("SRC9_JN12_injected_shard", """WITH c AS (SELECT text AS context, row_number() OVER (ORDER BY min(doc_id)) - 1 AS idx FROM documents GROUP BY text), a AS (SELECT text AS attack_str, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n FROM benchmark),

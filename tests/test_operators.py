@@ -393,6 +393,20 @@ def test_top_attended_takes_all_before_the_query(spark, tmp_path):
     assert {tuple(r) for r in catalog.load()[0]["TK8_top_attended"](spark, str(tmp_path)).collect()} == expected
 
 
+def test_injected_characters_are_counted_once_a_text(spark, tmp_path):
+    """The lengths are those of the prompts, whatever bytes a character has, and no plan counts the characters of every prompt."""
+    texts = ["plain", "é\n漢字\n😀 x", "", "a\nü"]
+    attacks = ["do", "naïve 😀", ""]
+    spark.createDataFrame(list(enumerate(texts)) + [(9, texts[1])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(attacks)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = catalog.load()[0]["SRC9_JN12_injected"](spark, str(tmp_path))
+    expected = {(i, k, p, len(t) + 1 + len(a)) for i, t in enumerate(texts) for k, a in enumerate(attacks) for p in ("start", "middle", "end")}
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(expected) and set(rows) == expected
+    plan = found._jdf.queryExecution().optimizedPlan().toString().replace("octet_length(CASE", "bytes(CASE")
+    assert "bytes(CASE" in plan and "length(CASE" not in plan
+
+
 @pytest.mark.parametrize("number", [3, 10_001])
 def test_injected_takes_every_context_and_attack(spark, number):
     contexts = {1: "a\nb\nc", 2: "one line", 3: "\nx", 4: ""}
