@@ -5,7 +5,6 @@ The pre- and post-processing around a model call is column expressions; the call
 
 from __future__ import annotations
 
-import itertools
 import json
 import time
 from collections.abc import Callable, Iterator
@@ -13,6 +12,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,18 +67,31 @@ CHUNKS = 1024
 
 def chunk_evaluator(prompts: DataFrame, classify: Classify, chunk_chars: int = 2000, threshold: float = 0.5) -> DataFrame:
     """pg_score, the largest chance that a chunk isn't benign, and pg_label; a row's chunks are scored together with those of
-    the rows around it, at most CHUNKS at once. Rows need no id, and repeated ones are rows of their own."""
-
-    @F.pandas_udf("double")
-    def worst(batch: pd.Series) -> pd.Series:
-        lists = [list(chunks) if chunks is not None and len(chunks) else [""] for chunks in batch]
-        flat = list(itertools.chain.from_iterable(lists))
-        benign = [score for at in range(0, len(flat), CHUNKS) for score in classify(flat[at : at + CHUNKS])]
-        starts = np.cumsum([0, *map(len, lists)])[:-1]
-        return pd.Series(1 - np.minimum.reduceat(np.asarray(benign, float), starts) if len(lists) else [], dtype=float)
+    the rows around it, at most CHUNKS at once. Rows need no id, and repeated ones are rows of their own.
 
+    The session is set to hand at most CHUNKS rows to Python at once, and only the chunks of one call become objects there.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(prompts.sparkSession.conf.get(key))
+    prompts.sparkSession.conf.set(key, min(rows, CHUNKS) if rows > 0 else CHUNKS)
     content = F.coalesce("text", X.flattened(F.col("messages")))
-    return prompts.withColumn("pg_score", worst(X.chunks(content, chunk_chars))).withColumn("pg_label", (F.col("pg_score") >= threshold).cast("int"))
+    scored = F.arrow_udf(lambda batch: worst_of(batch, classify), "double")(X.chunks(content, chunk_chars))
+    return prompts.withColumn("pg_score", scored).withColumn("pg_label", (F.col("pg_score") >= threshold).cast("int"))
+
+
+def worst_of(lists: pa.Array, classify: Classify) -> pa.Array:
+    """For each list of chunks the largest chance that one isn't benign; a list without chunks counts as an empty one."""
+    if not len(lists):
+        return pa.array([], pa.float64())
+    lengths = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+    each = np.maximum(lengths, 1)
+    known, flat = np.repeat(lengths > 0, each), lists.flatten()
+    at = np.cumsum(known) - 1
+    benign: list[float] = []
+    for start in range(0, len(at), CHUNKS):
+        part = slice(start, start + CHUNKS)
+        benign.extend(classify(flat.take(pa.array(at[part], mask=~known[part])).fill_null("").to_pylist()))
+    return pa.array(1 - np.minimum.reduceat(np.asarray(benign, float), np.cumsum(each) - each))
 
 
 #: (output, target tool, attacker's tools, user's tool, attacker's instruction) to a verdict, for one answer.

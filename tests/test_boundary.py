@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +255,21 @@ def made():
 class Made:
     def __init__(self, factor):
         self.factor = factor
+
+
+def test_chunks_become_objects_call_by_call(spark):
+    """No call gets more than CHUNKS of them, and Python at most CHUNKS rows at once."""
+    lists = pa.array([["a"] * 3, [], None, ["bb"] * 5000, ["", "ccc"]], pa.list_(pa.string()))
+    sizes = []
+
+    def classify(texts):
+        sizes.append(len(texts))
+        return [1 - len(t) / 10 for t in texts]
+
+    assert np.allclose(B.worst_of(lists, classify).to_pylist(), [0.1, 0, 0, 0.2, 0.3])
+    assert sum(sizes) == 5007 and max(sizes) <= B.CHUNKS
+    assert B.worst_of(lists.slice(0, 0), classify).to_pylist() == []
+    assert np.allclose(B.worst_of(lists.slice(3), classify).to_pylist(), [0.2, 0.3])
+    rows = spark.range(5000, numPartitions=1).select(F.col("id").alias("prompt_id"), F.lit("x").alias("text"), F.lit(None).cast("array<struct<role:string,content:string>>").alias("messages"))
+    out = B.chunk_evaluator(rows, lambda texts: [1 / (1 + len(texts))] * len(texts))
+    assert out.where(F.col("pg_score") > 1 - 1 / (1 + B.CHUNKS) + 1e-9).isEmpty() and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= B.CHUNKS
