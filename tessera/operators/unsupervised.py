@@ -291,6 +291,26 @@ SUMS = "run_id long, own long, cluster long, total double, n long"
 _ARROW = pa.schema([("run_id", pa.int64()), ("own", pa.int64()), ("cluster", pa.int64()), ("total", pa.float64()), ("n", pa.int64())])
 
 
+#: Rows and columns of a tile of distances, and about the most bytes of the vectors of one side of what meets in a task.
+TILE_ROWS, TILE_COLUMNS, SIDE_BYTES = 500, 1000, 16 << 20
+
+
+def distance_sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row of x the sum of its distances to the rows of y, by tiles of 4 MB."""
+    out = np.zeros(len(x))
+    for then in range(0, len(y), TILE_COLUMNS):
+        of = y[then : then + TILE_COLUMNS]
+        lengths = (of * of).sum(axis=1)
+        for start in range(0, len(x), TILE_ROWS):
+            part = x[start : start + TILE_ROWS]
+            squares = part @ (-2 * of.T)
+            squares += (part * part).sum(axis=1)[:, None]
+            squares += lengths
+            np.maximum(squares, 0, out=squares)
+            out[start : start + TILE_ROWS] += np.sqrt(squares, out=squares).sum(axis=1)
+    return out
+
+
 class Silhouette:
     """Sums of distances of rows (run_id, x, cluster) to their own cluster and to those that can be their nearest other one.
 
@@ -305,7 +325,8 @@ class Silhouette:
         rows = clustered.select(F.col("run_id").cast("long").alias("run_id"), F.col("x").cast("array<double>").alias("x"), F.col("cluster").cast("long").alias("cluster"))
         sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width")).orderBy("cluster").collect()  # a row for each cluster
         self.names, self.n = [row["cluster"] for row in sizes], np.array([row["n"] for row in sizes], float)
-        self.width, self.block = max((row["width"] for row in sizes), default=0), block
+        self.width = max((row["width"] or 0 for row in sizes), default=0)
+        self.block = max(1, min(block, SIDE_BYTES // (8 * max(1, self.width))))
         self.rows = stored(self._with_candidates(rows, *self._moments(rows)))
         self.visits = dict(self.rows.select(F.explode("others").alias("k")).groupBy("k").count().collect())
 
@@ -363,10 +384,9 @@ class Silhouette:
             if not a.num_rows or not b.num_rows:
                 return _ARROW.empty_table()
             x, y = (matrix(t.column("x").combine_chunks(), width) for t in (a, b))
-            squares = (y * y).sum(axis=1)
-            totals = [np.sqrt(np.maximum((x[s : s + 500] ** 2).sum(axis=1)[:, None] + squares - 2 * x[s : s + 500] @ y.T, 0)).sum(axis=1) for s in range(0, len(x), 500)]
+            totals = distance_sums(x, y)
             k = int(a.column("k")[0].as_py())
-            return pa.table([a.column("run_id"), pa.array(names[np.asarray(a.column("own"))]), pa.array(np.full(len(x), names[k])), pa.array(np.concatenate(totals)), pa.array(np.full(len(x), len(y)))], schema=_ARROW)
+            return pa.table([a.column("run_id"), pa.array(names[np.asarray(a.column("own"))]), pa.array(np.full(len(x), names[k])), pa.array(totals), pa.array(np.full(len(x), len(y)))], schema=_ARROW)
 
         keys = ["k", "p", "q"]
         met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, SUMS)

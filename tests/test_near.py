@@ -1,5 +1,7 @@
 """Regions around pivots: rows within eps meet, whatever the regions, and far ones needn't."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -76,5 +78,19 @@ def test_silhouette_compares_only_what_can_be_nearest(spark, block):
     assert all_ == 86**2 and met < all_ * 0.6
 
 
+def test_distance_sums_take_bounded_memory(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(1200, 8)), rng.normal(size=(20_000, 8))
+    tracemalloc.start()
+    found = U.distance_sums(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    assert np.allclose(found[::100], [np.sqrt(((y - row) ** 2).sum(axis=1)).sum() for row in x[::100]])
+    assert U.distance_sums(x[:0], y).shape == (0,) and (U.distance_sums(x, y[:0]) == 0).all()
+    wide = spark.createDataFrame([(i, [float(i)] * 4096, i % 2) for i in range(4)], "run_id long, x array<double>, cluster long")
+    assert U.Silhouette(wide).block * 4096 * 8 <= U.SIDE_BYTES
+
+
 def test_silhouette_of_no_rows(spark):
     assert U.silhouette(spark.createDataFrame([], "run_id long, x array<double>, cluster int")).first()[0] is None
